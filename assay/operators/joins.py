@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import fixed_values as V
+from assay.session import local_rows
 
 
 def keep_keys(df: DataFrame, key: str, allow: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def align(log: DataFrame, examples: DataFrame, by: Sequence[str] = (), strict: b
 def label_map_frame(spark: SparkSession, label_map: Mapping[str, object], value_type: str = "string") -> DataFrame:
     """A label map as rows ``label``, ``value``, ``ord`` in map order."""
     rows = [(label, value, i) for i, (label, value) in enumerate(label_map.items())]
-    return spark.createDataFrame(rows, f"label string, value {value_type}, ord int")
+    return local_rows(spark, rows, f"label string, value {value_type}, ord int")
 
 
 def apply_label_map(df: DataFrame, pred: str, labels: DataFrame, out: str = "value") -> DataFrame:

@@ -17,6 +17,7 @@ from assay.functions import fixed_values as V
 from assay.functions.arrays import doubles, draw, l2_normalize, softmax
 from assay.functions.text import md5_uniform
 from assay.operators.vectors import BLOCK_BYTES, as_matrix, codebook_blocks, mean_vectors, nearest
+from assay.session import local_rows
 
 
 class Predictor(Protocol):
@@ -90,12 +91,11 @@ class CentroidPredictor:
             train.select(label).distinct().where(F.col(label).isNotNull()).orderBy(label).collect()
         )
         spark = train.sparkSession
-        numbered = spark.createDataFrame(
-            [(i, r[0]) for i, r in enumerate(codes)], T.StructType([T.StructField("code", T.IntegerType()), train.schema[label]])
-        )
+        schema = T.StructType([T.StructField("code", T.IntegerType()), train.schema[label]])
+        numbered = local_rows(spark, [(i, r[0]) for i, r in enumerate(codes)], schema)
         joined = numbered.join(means, label).select("code", F.col(label).alias("label"), "vector")
-        rows = sorted(joined.collect())
-        return CentroidPredictor(spark.createDataFrame(rows, joined.schema), vector)
+        rows = sorted(tuple(r) for r in joined.collect())
+        return CentroidPredictor(local_rows(spark, rows, joined.schema), vector)
 
     def apply(self, df: DataFrame) -> DataFrame:
         blocks = list(codebook_blocks(self.centroids, "code", "vector", BLOCK_BYTES))

@@ -21,7 +21,7 @@ from assay.functions import fixed_values as V
 from assay.functions.arrays import doubles, l2_normalize
 from assay.operators.ordinals import assign_ordinal
 from assay.operators.prepare import sample_n
-from assay.session import ensure_checkpoint_dir
+from assay.session import ensure_checkpoint_dir, local_rows
 
 BLOCK_BYTES = 64 * 1024 * 1024
 BEST = T.StructType([T.StructField("dist", T.DoubleType()), T.StructField("code", T.IntegerType())])
@@ -112,7 +112,7 @@ def _settle(codebook: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     spark = codebook.sparkSession
     head = codebook.limit(4096).collect()
     if len(head) < 4096 and sum(len(r["vector"]) for r in head) * 8 <= block_bytes:
-        return spark.createDataFrame(sorted(head), codebook.schema)
+        return local_rows(spark, sorted(tuple(r) for r in head), codebook.schema)
     ensure_checkpoint_dir(spark)
     return codebook.checkpoint()
 

@@ -12,6 +12,7 @@ from assay.functions import fixed_values as V
 from assay.functions.text import md5_uniform
 from assay.operators.joins import label_map_frame, score_label
 from assay.operators.predict import CentroidPredictor
+from assay.session import local_rows
 from assay.sources.results_log import format_line
 
 YES_NO = {"Yes": 1, "No": 0}
@@ -260,7 +261,7 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = page_records(spark, sf_dir).where(md5_uniform("key") < 0.5).select("key")
-    absent = spark.createDataFrame([("absent_1",), ("absent_2",)], "key string")
+    absent = local_rows(spark, [("absent_1",), ("absent_2",)], "key string")
     return present.unionByName(absent)
 
 

@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Settings that change results or plan shape; sizes of memory and cores are the deployment's business.
 ENGINE_CONF = {
@@ -64,3 +67,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few driver-side rows as a local relation, so the planner knows how small they are."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    table = pa.table(
+        {f.name: pa.array(list(column), to_arrow_type(f.dataType)) for f, column in zip(fields, columns)}
+    )
+    return spark.createDataFrame(table, fields)
