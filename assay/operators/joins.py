@@ -1,7 +1,8 @@
 """Joins of example tables, logs, label maps and run dimensions.
 
-No side is broadcast by hint here: Spark broadcasts a side when its measured size is below
+Sides that can grow carry no broadcast hint: Spark broadcasts a side whose size is known to be below
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merges, splitting skewed partitions at run time.
+Derived dimension tables, whose size the planner cannot know, are counted before they get a hint.
 """
 
 from __future__ import annotations
@@ -15,6 +16,14 @@ from assay.functions import fixed_values as V
 from assay.session import local_rows
 
 
+SMALL_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast if the table has at most ``rows`` rows; leave the join to the planner otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def keep_keys(df: DataFrame, key: str, allow: DataFrame) -> DataFrame:
     """Rows whose key is in ``allow``; listed keys without rows are ignored."""
     return df.join(allow.select(F.col(allow.columns[0]).alias(key)), key, "left_semi")
@@ -114,7 +123,9 @@ def run_matrix(runs: DataFrame, dials: DataFrame, examples: DataFrame | None = N
     ``dataset``, ``dial``. All three meet by equality of keys, so the result is as large as the work it lists.
     """
     matrix = runs.join(dials, "dataset")
-    return matrix if examples is None else matrix.join(examples, ["dataset", "dial"])
+    if examples is None:
+        return matrix
+    return examples.join(broadcast_if_small(matrix), ["dataset", "dial"])
 
 
 def unpivot_dialects(df: DataFrame, ids: Sequence[str], dials: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from assay.plans import projection_queries, source_queries  # noqa: F401
+from assay.plans import evaluation_queries, projection_queries, source_queries  # noqa: F401
 from assay.plans.registry import ORACLES, QUERIES  # noqa: F401
