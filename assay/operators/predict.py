@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions import fixed_values as V
-from assay.functions.arrays import doubles, draw, l2_normalize, softmax
+from assay.functions.arrays import doubles, draw, softmax
 from assay.functions.text import md5_uniform
 from assay.operators.vectors import BLOCK_BYTES, as_matrix, codebook_blocks, mean_vectors, nearest
 from assay.session import local_rows
@@ -99,7 +99,7 @@ class CentroidPredictor:
 
     def apply(self, df: DataFrame) -> DataFrame:
         blocks = list(codebook_blocks(self.centroids, "code", "vector", BLOCK_BYTES))
-        best = nearest(l2_normalize(self.vector), blocks)
+        best = nearest(self.vector, blocks)
         names = self.centroids.select(F.col("code").alias("_code"), F.col("label").cast("string").alias("pred"))
         out = df.withColumn("_code", best["code"]).join(names, "_code", "left").drop("_code")
         return out.withColumn("error", F.when(F.col("pred").isNull(), F.lit("no vector")))

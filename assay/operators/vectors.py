@@ -50,7 +50,7 @@ def codebook_blocks(codebook: DataFrame, code: str, vector: str, block_bytes: in
         yield np.array([r[0] for r in rows], dtype=np.int32), np.array([r[1] for r in rows], dtype=np.float64)
 
 
-def _closest(codes: np.ndarray, book: np.ndarray, cosine: bool):
+def _closest(codes: np.ndarray, book: np.ndarray, cosine: bool, normalize: bool):
     """Arrow function: nearest code of one block; the lowest code wins ties."""
     half = (book * book).sum(axis=1)
 
@@ -59,6 +59,8 @@ def _closest(codes: np.ndarray, book: np.ndarray, cosine: bool):
         dist = np.full(len(valid), np.nan)
         code = np.zeros(len(valid), dtype=np.int32)
         if z.shape[0]:
+            if normalize:
+                z = z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
             d = -(z @ book.T) if cosine else (z * z).sum(axis=1)[:, None] + half[None, :] - 2.0 * (z @ book.T)
             best = d.argmin(axis=1)
             dist[valid], code[valid] = d[np.arange(len(best)), best], codes[best]
@@ -68,9 +70,17 @@ def _closest(codes: np.ndarray, book: np.ndarray, cosine: bool):
     return F.arrow_udf(score, BEST)
 
 
-def nearest(vector: Column, blocks: Sequence[tuple[np.ndarray, np.ndarray]], cosine: bool = False) -> Column:
-    """Smallest (distance, code) of a vector over all codebook blocks."""
-    best = [_closest(codes, book, cosine)(vector) for codes, book in blocks]
+def nearest(
+    vector: Column | str,
+    blocks: Sequence[tuple[np.ndarray, np.ndarray]],
+    normalize: bool = True,
+    cosine: bool = False,
+) -> Column:
+    """Smallest (distance, code) of a vector over all codebook blocks.
+
+    The vector is normalised inside the function: higher-order expressions as its input are not always planned.
+    """
+    best = [_closest(codes, book, cosine, normalize)(doubles(vector)) for codes, book in blocks]
     return best[0] if len(best) == 1 else F.least(*best)
 
 
@@ -92,8 +102,7 @@ def assign_codes(
     blocks = list(codebook_blocks(codebook, code, code_vector, block_bytes))
     if not blocks:
         raise ValueError("empty codebook")
-    z = l2_normalize(vector) if normalize else doubles(vector)
-    out = df.withColumn("_best", nearest(z, blocks, cosine))
+    out = df.withColumn("_best", nearest(vector, blocks, normalize, cosine))
     out = out.select(*df.columns, F.col("_best.code").alias("code"), F.col("_best.dist").alias("dist"))
     if with_codeword:
         book = codebook.select(F.col(code).alias("code"), F.col(code_vector).alias("codeword"))
@@ -205,8 +214,8 @@ def update_codebook(
 
     A code without vectors takes part with its old vector. Returns ``code``, ``vector``, ``n``.
     """
-    unit = df.where(F.col(vector).isNotNull()).select(l2_normalize(vector).alias("z"))
-    fresh = mean_vectors(assign_codes(unit, codebook, "z", normalize=False), "code", F.col("z"))
+    assigned = assign_codes(df.where(F.col(vector).isNotNull()).select(vector), codebook, vector)
+    fresh = mean_vectors(assigned, "code", l2_normalize(vector))
     both = codebook.select("code", doubles("vector").alias("old")).join(fresh, "code", "left")
     target = F.coalesce(l2_normalize("vector"), F.col("old"))
     mixed = F.zip_with("old", target, lambda o, t: o * F.lit(decay) + t * F.lit(1.0 - decay))
