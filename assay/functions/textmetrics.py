@@ -1,7 +1,7 @@
 """BLEU and token-overlap scores as Column expressions.
 
 Each score needs one text pair only, so it is computed inside the row: no explode and no shuffle.
-Multisets are compared by sorting the two token lists together and walking the result once.
+Multisets are compared by sorting both token lists and merging them once.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ MAX_ORDER = 4
 
 
 def _split_spaces(text: Column) -> Column:
-    parts = F.split(text, f"{V.SPACE_CLASS}+")
-    return F.filter(parts, lambda t: t != "")
+    return F.array_remove(F.split(text, f"{V.SPACE_CLASS}+"), "")
 
 
 # Separation rules of the 13a tokeniser (public; fixed values).
@@ -59,26 +58,24 @@ def bleu_tokens(text: Column | str, base_code: str = "en") -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two string arrays."""
-    def tagged(tokens: Column, side: int) -> Column:
-        return F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+    """Size of the multiset intersection of two string arrays: one merge step per entry of the sorted arrays."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("hits"))
 
-    start = F.struct(
-        F.lit(None).cast("string").alias("t"), F.lit(0).alias("spare"), F.lit(0).alias("hits")
-    )
+    def move(s: Column, i: int, j: int) -> Column:
+        return F.struct((s["i"] + i).alias("i"), (s["j"] + j).alias("j"), (s["hits"] + i * j).alias("hits"))
+
+    def merge(pair: Column) -> Column:
+        x, y = pair["a"], pair["b"]
+
+        def step(s: Column, _: Column) -> Column:
+            u, v = F.get(x, s["i"]), F.get(y, s["j"])
+            # Past the end of either array the comparison is null and the state stays.
+            return F.when(u == v, move(s, 1, 1)).when(u < v, move(s, 1, 0)).when(u > v, move(s, 0, 1)).otherwise(s)
+
+        steps = F.sequence(F.lit(1), F.size(x) + F.size(y))
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), F.aggregate(steps, start, step, lambda s: s["hits"])).otherwise(0)
 
-    def walk(s: Column, e: Column) -> Column:
-        same = e["t"].eqNullSafe(s["t"])
-        from_a = F.struct(
-            e["t"].alias("t"),
-            F.when(same, s["spare"] + 1).otherwise(F.lit(1)).alias("spare"),
-            s["hits"].alias("hits"),
-        )
-        hit = F.struct(s["t"].alias("t"), (s["spare"] - 1).alias("spare"), (s["hits"] + 1).alias("hits"))
-        return F.when(e["side"] == 0, from_a).when(same & (s["spare"] > 0), hit).otherwise(s)
-
-    merged = F.array_sort(F.concat(tagged(a, 0), tagged(b, 1)))
-    return F.aggregate(merged, start, walk, lambda s: s["hits"])
+    return let(F.struct(F.sort_array(a).alias("a"), F.sort_array(b).alias("b")), merge)
 
 
 def ngrams(tokens: Column, order: int) -> Column:

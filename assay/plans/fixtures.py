@@ -12,7 +12,7 @@ from assay.functions import fixed_values as V
 from assay.functions.text import md5_uniform
 from assay.operators.joins import label_map_frame, score_label
 from assay.operators.predict import CentroidPredictor
-from assay.session import local_rows
+from assay.session import local_rows, spread
 from assay.sources.results_log import format_line
 
 YES_NO = {"Yes": 1, "No": 0}
@@ -166,7 +166,7 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = None
     for lang, code in PAIR_OF_LANG.items():
         pair = F.when(F.col("lang") == lang, code) if pair is None else pair.when(F.col("lang") == lang, code)
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"), "lang", pair.alias("pair"), F.array_join(kept, " ").alias("hyp"), F.col("text").alias("ref")
     )
 

@@ -17,6 +17,7 @@ from assay.functions.textmetrics import (
 from assay.operators import metrics as M
 from assay.plans import fixtures as fx
 from assay.plans.registry import query
+from assay.session import spread
 
 
 def _replace_all(text: str, rules) -> str:
@@ -77,12 +78,12 @@ def bleu_ctes(source: str, tokens) -> list[str]:
 
 @query("tokenize_13a", f"SELECT doc_id, array_to_string({tokens_13a_sql('text')}, ' ') AS tokens FROM documents")
 def tokenize_13a_query(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokenize_13a("text"), " ").alias("tokens"))
+    return spread(fx.table(spark, sf_dir, "documents")).select("doc_id", F.array_join(tokenize_13a("text"), " ").alias("tokens"))
 
 
 @query("tokenize_13a_markup", f"SELECT page_id, array_to_string({tokens_13a_sql('html')}, ' ') AS tokens FROM pages")
 def tokenize_13a_markup(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").select("page_id", F.array_join(tokenize_13a("html"), " ").alias("tokens"))
+    return spread(fx.table(spark, sf_dir, "pages")).select("page_id", F.array_join(tokenize_13a("html"), " ").alias("tokens"))
 
 
 @query("sentence_bleu", fx.with_([*fx.TRANSLATIONS_SQL, *bleu_ctes("translations", tokens_13a_sql)], "SELECT id, round(bleu, 6) AS bleu FROM bleu"))
@@ -100,7 +101,7 @@ def _zh(column):
 
 @query("tokenize_zh", f"SELECT doc_id, array_to_string({tokens_zh_sql(f'translate(text, {chr(39)}{CJK[0]}{chr(39)}, {chr(39)}{CJK[1]}{chr(39)})')}, ' ') AS tokens FROM documents")
 def tokenize_zh_query(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokenize_zh(_zh("text")), " ").alias("tokens"))
+    return spread(fx.table(spark, sf_dir, "documents")).select("doc_id", F.array_join(tokenize_zh(_zh("text")), " ").alias("tokens"))
 
 
 @query(
@@ -195,7 +196,7 @@ def document_overlap(spark, sf_dir):
     """Token F1 of whole documents, however long, against a reference item each."""
     items = fx.table(spark, sf_dir, "benchmark")
     n = items.count()
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("item_id"))
+    docs = spread(fx.table(spark, sf_dir, "documents")).select("doc_id", "text", (F.col("doc_id") % n).alias("item_id"))
     pairs = docs.join(items.select("item_id", F.col("text").alias("ref")), "item_id")
     f1 = f1_of_tokens(answer_tokens("text"), answer_tokens("ref"))
     return pairs.select("doc_id", F.round(f1, 6).alias("f1"))

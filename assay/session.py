@@ -77,3 +77,13 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: str | T.StructTyp
         {f.name: pa.array(list(column), to_arrow_type(f.dataType)) for f, column in zip(fields, columns)}
     )
     return spark.createDataFrame(table, fields)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a table stored in fewer files than there are task slots evenly among the tasks.
+
+    Meant before work that is heavy per row. A table of many files is returned as it is: its scan already is
+    parallel, and shuffling it would only cost.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
