@@ -19,6 +19,12 @@ SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same characters as one string, for trimming.
+SPACES = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # ASCII punctuation, as in string.punctuation.
 PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
 

@@ -54,8 +54,8 @@ def model_short_name(model: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    """Remove leading and trailing whitespace of any kind (``trim`` removes spaces only)."""
-    return F.regexp_replace(as_col(text), f"^{V.SPACE_CLASS}+|{V.SPACE_CLASS}+$", "")
+    """Remove leading and trailing whitespace of any kind (plain ``trim`` removes spaces only)."""
+    return F.btrim(as_col(text), F.lit(V.SPACES))
 
 
 def encode_pred(pred: Column | str) -> Column:

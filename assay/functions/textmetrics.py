@@ -39,7 +39,7 @@ def _separate(text: Column) -> Column:
 
 
 def tokenize_13a(text: Column | str) -> Column:
-    out = F.regexp_replace(as_col(text), f"{V.SPACE_CLASS}+$", "")
+    out = F.rtrim(as_col(text), F.lit(V.SPACES))
     for old, new in [("<skipped>", ""), ("-\n", ""), ("\n", " "), *ENTITIES_13A]:
         out = F.replace(out, F.lit(old), F.lit(new))
     return _separate(F.concat(F.lit(" "), out, F.lit(" ")))

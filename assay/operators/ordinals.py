@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 20_000
 SAMPLES_PER_BUCKET = 20
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def _bounds(keys: DataFrame, buckets: int, rows: int) -> list:
@@ -21,7 +22,7 @@ def _bounds(keys: DataFrame, buckets: int, rows: int) -> list:
     step = F.greatest(F.floor(F.size("s") / F.lit(buckets)), F.lit(1)).cast("int")
     picks = F.transform(F.sequence(step, F.size("s"), step), lambda i: F.element_at("s", i))
     picks = F.when(F.size("s") >= step, picks)
-    json = ranked.select(F.to_json(picks, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("j"))
+    json = ranked.select(F.to_json(picks, {"timestampFormat": TIME_FORMAT}).alias("j"))
     return json.first()["j"]
 
 
@@ -70,9 +71,8 @@ def assign_ordinal(
     sample = df.select(key.alias("k"))
     json = _bounds(sample, buckets, rows)
     array_type = f"array<{sample.schema['k'].dataType.simpleString()}>"
-    bounds = F.array_sort(
-        F.from_json(F.lit(json), array_type, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
-    )
+    # A constant: sort_array of from_json of a literal is folded once, before the tasks start.
+    bounds = F.sort_array(F.from_json(F.lit(json), array_type, {"timestampFormat": TIME_FORMAT}))
     cut = len(df.sparkSession.range(1).select(bounds.alias("b")).first()["b"] or [])
     if cut == 0:
         return assign_ordinal(df, order_cols, by, name, rows_per_bucket=max(rows, 1), total=rows)

@@ -16,8 +16,16 @@ from pyspark.sql import types as T
 from assay.functions import fixed_values as V
 from assay.functions.arrays import doubles, draw, softmax
 from assay.functions.text import md5_uniform
-from assay.operators.vectors import BLOCK_BYTES, as_matrix, codebook_blocks, mean_vectors, nearest
-from assay.session import local_rows
+from assay.operators.ordinals import assign_ordinal
+from assay.operators.vectors import (
+    BLOCK_BYTES,
+    as_matrix,
+    codebook_blocks,
+    dimension,
+    mean_vectors,
+    nearest,
+    settle,
+)
 
 
 class Predictor(Protocol):
@@ -86,16 +94,12 @@ class CentroidPredictor:
 
     @staticmethod
     def fit(train: DataFrame, label: str, vector: str = "embedding") -> CentroidPredictor:
-        means = mean_vectors(train.where(F.col(vector).isNotNull()), label, doubles(vector))
-        codes = (
-            train.select(label).distinct().where(F.col(label).isNotNull()).orderBy(label).collect()
-        )
-        spark = train.sparkSession
-        schema = T.StructType([T.StructField("code", T.IntegerType()), train.schema[label]])
-        numbered = local_rows(spark, [(i, r[0]) for i, r in enumerate(codes)], schema)
-        joined = numbered.join(means, label).select("code", F.col(label).alias("label"), "vector")
-        rows = sorted(tuple(r) for r in joined.collect())
-        return CentroidPredictor(local_rows(spark, rows, joined.schema), vector)
+        """Mean vector of every label; codes number the labels in order."""
+        rows = train.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
+        means = mean_vectors(rows, label, doubles(vector)).withColumnRenamed(label, "label")
+        means = settle(means.select("label", "vector"), dimension(rows, vector))
+        numbered = assign_ordinal(means, ["label"], name="code")
+        return CentroidPredictor(numbered.select(F.col("code").cast("int").alias("code"), "label", "vector"), vector)
 
     def apply(self, df: DataFrame) -> DataFrame:
         blocks = list(codebook_blocks(self.centroids, "code", "vector", BLOCK_BYTES))
@@ -106,22 +110,24 @@ class CentroidPredictor:
 
     def scores(self, df: DataFrame, out: str = "scores") -> DataFrame:
         """Add ``array<struct<label, score>>``: the dot product with every centroid, in label order."""
-        rows = self.centroids.orderBy("code").collect()
-        book = np.array([r["vector"] for r in rows], dtype=np.float64)
-
-        def dots(vectors: pa.Array) -> pa.Array:
-            z, valid = as_matrix(vectors)
-            full = np.zeros((len(valid), len(book)))
-            if z.shape[0]:
-                full[valid] = z @ book.T
-            ends = np.arange(0, full.size + 1, len(book), dtype=np.int32)
-            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(full.ravel()))
-            return values if valid.all() else pa.array([v if ok else None for v, ok in zip(values.to_pylist(), valid)], values.type)
-
-        scored = F.arrow_udf(dots, T.ArrayType(T.DoubleType()))(doubles(self.vector))
-        names = F.array(*[F.lit(r["label"]) for r in rows])
+        blocks = list(codebook_blocks(self.centroids, "code", "vector", BLOCK_BYTES))
+        dots = [_dots(book)(doubles(self.vector)) for _, book in blocks]
+        labels = [r["label"] for r in self.centroids.orderBy("code").select("label").collect()]
+        names = F.array(*[F.lit(label) for label in labels])
         pairs = F.zip_with(names, F.col(out), lambda n, s: F.struct(n.alias("label"), s.alias("score")))
-        return df.withColumn(out, scored).withColumn(out, pairs)
+        return df.withColumn(out, F.concat(*dots)).withColumn(out, pairs)
+
+
+def _dots(book: np.ndarray):
+    """Arrow function: dot products of a vector with every row of a matrix."""
+
+    def multiply(vectors: pa.Array) -> pa.Array:
+        z, valid = as_matrix(vectors)
+        products = (z @ book.T).ravel() if z.shape[0] else np.zeros(0)
+        ends = np.concatenate([[0], np.cumsum(valid * len(book))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(products), mask=pa.array(~valid))
+
+    return F.arrow_udf(multiply, T.ArrayType(T.DoubleType()))
 
 
 def argmax_label(scores: Column, allowed: Sequence | None = None) -> Column:

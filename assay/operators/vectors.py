@@ -116,13 +116,22 @@ def mean_vectors(df: DataFrame, by: str, vector: Column) -> DataFrame:
     return df.groupBy(by).agg(vector_to_array(mean).alias("vector"), F.count(F.lit(1)).alias("n"))
 
 
-def _settle(codebook: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Cut the lineage of a codebook: kept as literal rows when small, checkpointed otherwise."""
-    spark = codebook.sparkSession
-    head = codebook.limit(4096).collect()
-    if len(head) < 4096 and sum(len(r["vector"]) for r in head) * 8 <= block_bytes:
-        return local_rows(spark, sorted(tuple(r) for r in head), codebook.schema)
-    ensure_checkpoint_dir(spark)
+def dimension(df: DataFrame, vector: str) -> int:
+    first = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    return max(1, first[0]) if first else 1
+
+
+def settle(codebook: DataFrame, dim: int, rows: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Cut the lineage of a codebook: literal rows if it fits in one block, a checkpoint otherwise.
+
+    ``rows`` is its row count where known.
+    """
+    cap = max(1, block_bytes // (8 * dim))
+    if rows is None or rows <= cap:
+        head = codebook.limit(cap + 1).collect() if rows is None else codebook.collect()
+        if len(head) <= cap:
+            return local_rows(codebook.sparkSession, sorted(tuple(r) for r in head), codebook.schema)
+    ensure_checkpoint_dir(codebook.sparkSession)
     return codebook.checkpoint()
 
 
@@ -147,19 +156,22 @@ def kmeans(
     empty cluster keeps its mean. Every round is one pass over the vectors that shuffles ``k`` rows per task.
     """
     points = df.where(F.col(vector).isNotNull()).select(key, vector)
-    means = _settle(initial_means(points, key, vector, k, seed).withColumn("n", F.lit(0).cast("bigint")))
+    dim = dimension(points, vector)
+    means = settle(initial_means(points, key, vector, k, seed).withColumn("n", F.lit(0).cast("bigint")), dim, k)
     for _ in range(iters):
         assigned = assign_codes(points, means, vector, normalize=False, cosine=cosine)
         fresh = mean_vectors(assigned, "code", doubles(vector))
         moved = l2_normalize("f.vector") if cosine else F.col("f.vector")
-        means = _settle(
+        means = settle(
             means.alias("m")
             .join(fresh.alias("f"), "code", "left")
             .select(
                 "code",
                 F.coalesce(moved, F.col("m.vector")).alias("vector"),
                 F.coalesce("f.n", F.lit(0).cast("bigint")).alias("n"),
-            )
+            ),
+            dim,
+            k,
         )
     return means
 
