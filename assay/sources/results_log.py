@@ -9,8 +9,8 @@ from assay.functions import fixed_values as V
 from assay.functions.text import as_col, decode_pred, encode_pred
 
 RUN_COLUMNS = ["dataset", "model", "dial"]
-# <dataset>_..._Results/<run type>_<model>/<dial>_outs.txt
-FLAT_PATH = r"([^/]+?)(?:_tmp)?_Results/[^/_]+_([^/]+)/([^/]+)_outs\.txt$"
+# <dataset>_<run tag>_Results/<run type>_<model>/<dial>_outs.txt
+FLAT_PATH = r"([^/]+)_Results/[^/_]+_([^/]+)/([^/]+)_outs\.txt$"
 
 
 def format_line(row_id: Column | str, pred: Column | str, score: Column | str) -> Column:
@@ -54,18 +54,24 @@ def parse_lines(df: DataFrame, line: str = "value", mode: str = "strict") -> Dat
     )
 
 
+def _dataset_of(folder: Column) -> Column:
+    """Known evaluation set a folder name starts with; else the name without its ``_tmp`` tag."""
+    known = [F.when(folder.startswith(name), F.lit(name)) for name in V.EVAL_SETS]
+    return F.coalesce(*known, F.regexp_replace(folder, "_tmp$", ""))
+
+
 def read_results_log(spark: SparkSession, path: str, mode: str = "strict", layout: str = "partitioned") -> DataFrame:
     """Read logs with their run columns ``dataset``, ``model``, ``dial``.
 
     ``partitioned`` is the layout ``write_results_log`` makes: filters on run columns skip whole folders.
-    ``flat`` takes the run columns from ``<dataset>_tmp_Results/<type>_<model>/<dial>_outs.txt`` paths.
+    ``flat`` takes the run columns from ``<dataset>_<tag>_Results/<type>_<model>/<dial>_outs.txt`` paths.
     """
     if layout == "partitioned":
         lines = spark.read.schema("value string, dataset string, model string, dial string").text(path)
     elif layout == "flat":
-        where = F.col("_metadata.file_path")
+        folder, model, dial = [F.regexp_extract("_metadata.file_path", FLAT_PATH, i) for i in (1, 2, 3)]
         lines = spark.read.text(path).select(
-            "value", *[F.regexp_extract(where, FLAT_PATH, i + 1).alias(c) for i, c in enumerate(RUN_COLUMNS)]
+            "value", _dataset_of(folder).alias("dataset"), model.alias("model"), dial.alias("dial")
         )
     else:
         raise ValueError(f"unknown layout {layout!r}")
