@@ -49,6 +49,7 @@ def assign_ordinal(
     name: str = "ordinal",
     rows_per_bucket: int = ROWS_PER_BUCKET,
     total: int | None = None,
+    descending: bool = False,
 ) -> DataFrame:
     """Add a 0-based row number in ``order_cols`` order, over the table or within each ``by`` group.
 
@@ -62,7 +63,7 @@ def assign_ordinal(
     rows = df.count() if total is None else total
     buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket)) if rows else 1
     group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
-    order = [F.col(c) for c in order_cols]
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     if buckets <= 1:
         window = W.partitionBy(group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint") - 1)
@@ -75,15 +76,15 @@ def assign_ordinal(
     bounds = F.sort_array(F.from_json(F.lit(json), array_type, {"timestampFormat": TIME_FORMAT}))
     cut = len(df.sparkSession.range(1).select(bounds.alias("b")).first()["b"] or [])
     if cut == 0:
-        return assign_ordinal(df, order_cols, by, name, rows_per_bucket=max(rows, 1), total=rows)
-    spread = df.withColumn("_bucket", _bucket(key, bounds, cut)).withColumn("_group", group)
+        return assign_ordinal(df, order_cols, by, name, max(rows, 1), rows, descending)
+    place = _bucket(key, bounds, cut)
+    spread = df.withColumn("_bucket", F.lit(cut) - place if descending else place).withColumn("_group", group)
 
     # Only the first group of a range can have rows in earlier ranges, and there it is always the last group.
     sizes = spread.groupBy("_bucket", "_group").agg(F.count(F.lit(1)).alias("n"))
+    first, last, at_last = (F.max, F.min, F.min_by) if descending else (F.min, F.max, F.max_by)
     ends = sizes.groupBy("_bucket").agg(
-        F.min("_group").alias("first"),
-        F.max("_group").alias("last"),
-        F.max_by("n", "_group").alias("last_n"),
+        first("_group").alias("first"), last("_group").alias("last"), at_last("n", "_group").alias("last_n")
     )
     running = W.partitionBy("last").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     along = W.partitionBy(F.lit(0)).orderBy("_bucket")

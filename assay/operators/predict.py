@@ -111,7 +111,7 @@ class CentroidPredictor:
     def scores(self, df: DataFrame, out: str = "scores") -> DataFrame:
         """Add ``array<struct<label, score>>``: the dot product with every centroid, in label order."""
         blocks = list(codebook_blocks(self.centroids, "code", "vector", BLOCK_BYTES))
-        dots = [_dots(book)(doubles(self.vector)) for _, book in blocks]
+        dots = [_dots(book)(self.vector) for _, book in blocks]
         labels = [r["label"] for r in self.centroids.orderBy("code").select("label").collect()]
         names = F.array(*[F.lit(label) for label in labels])
         pairs = F.zip_with(names, F.col(out), lambda n, s: F.struct(n.alias("label"), s.alias("score")))

@@ -26,11 +26,15 @@ def session_steps(events: DataFrame, start: DataFrame | None = None) -> DataFram
     marks = _take(marks.withColumn("step", held).drop("held"), 0)
     for i in range(1, len(STEP_EVENTS)):
         before = F.col(f"at{i}")
-        later = events.where(F.col("kind") == STEP_EVENTS[i]).join(marks, "session").where(
-            # Without the previous milestone in this input, only a session that came with that step goes on.
-            F.when(before.isNotNull(), F.col("pos") > before).otherwise(F.col("step") >= i)
+        # Without the previous milestone in this input, only a session that came with that step goes on.
+        follows = F.when(before.isNotNull(), F.col("pos") > before).otherwise(F.col("step") >= i)
+        kept = [c for c in marks.columns if c != "session"]
+        marks = (
+            marks.join(events.where(F.col("kind") == STEP_EVENTS[i]).select("session", "pos"), "session", "left")
+            .groupBy("session")
+            .agg(*[F.max(c).alias(c) for c in kept], F.min(F.when(follows, F.col("pos"))).alias("_at"))
         )
-        marks = _take(marks.join(later.groupBy("session").agg(F.min("pos").alias("_at")), "session", "left"), i)
+        marks = _take(marks, i)
     return marks.select("session", "step", "at1", "at2", "at3")
 
 

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions import fixed_values as V
-from assay.functions.arrays import doubles, l2_normalize
-from assay.operators.ordinals import assign_ordinal
+from assay.functions.arrays import doubles, l2_normalize, standardize
+from assay.functions.text import as_col
+from assay.operators.joins import broadcast_if_small
+from assay.operators.ordinals import ROWS_PER_BUCKET, assign_ordinal
 from assay.operators.prepare import sample_n
 from assay.session import ensure_checkpoint_dir, local_rows
 
@@ -50,18 +52,27 @@ def codebook_blocks(codebook: DataFrame, code: str, vector: str, block_bytes: in
         yield np.array([r[0] for r in rows], dtype=np.int32), np.array([r[1] for r in rows], dtype=np.float64)
 
 
+def unit_rows(z: np.ndarray) -> np.ndarray:
+    return z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def distances(z: np.ndarray, book: np.ndarray, cosine: bool) -> np.ndarray:
+    """Squared distance (or negative dot product) of every row of ``z`` to every row of ``book``."""
+    products = z @ book.T
+    if cosine:
+        return -products
+    return (z * z).sum(axis=1)[:, None] + (book * book).sum(axis=1)[None, :] - 2.0 * products
+
+
 def _closest(codes: np.ndarray, book: np.ndarray, cosine: bool, normalize: bool):
     """Arrow function: nearest code of one block; the lowest code wins ties."""
-    half = (book * book).sum(axis=1)
 
     def score(vectors: pa.Array) -> pa.Array:
         z, valid = as_matrix(vectors)
         dist = np.full(len(valid), np.nan)
         code = np.zeros(len(valid), dtype=np.int32)
         if z.shape[0]:
-            if normalize:
-                z = z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
-            d = -(z @ book.T) if cosine else (z * z).sum(axis=1)[:, None] + half[None, :] - 2.0 * (z @ book.T)
+            d = distances(unit_rows(z) if normalize else z, book, cosine)
             best = d.argmin(axis=1)
             dist[valid], code[valid] = d[np.arange(len(best)), best], codes[best]
         parts = [pa.array(dist, pa.float64()), pa.array(code, pa.int32())]
@@ -70,6 +81,27 @@ def _closest(codes: np.ndarray, book: np.ndarray, cosine: bool, normalize: bool)
     return F.arrow_udf(score, BEST)
 
 
+def _partial_means(codes: np.ndarray, book: np.ndarray, cosine: bool, normalize: bool):
+    """Arrow batch function: one row per code used in a task, with the mean and count of its vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(book.shape), np.zeros(len(book), dtype=np.int64)
+        for batch in batches:
+            z, _ = as_matrix(batch.column(0))
+            if z.shape[0]:
+                z = unit_rows(z) if normalize else z
+                best = distances(z, book, cosine).argmin(axis=1)
+                np.add.at(sums, best, z)
+                counts += np.bincount(best, minlength=len(book))
+        used = np.flatnonzero(counts)
+        means = sums[used] / counts[used, None]
+        ends = np.arange(0, means.size + 1, book.shape[1], dtype=np.int32)
+        columns = [pa.array(codes[used]), pa.ListArray.from_arrays(pa.array(ends), pa.array(means.ravel())), pa.array(counts[used])]
+        yield pa.RecordBatch.from_arrays(columns, names=["code", "mean", "n"])
+
+    return run
+
+
 def nearest(
     vector: Column | str,
     blocks: Sequence[tuple[np.ndarray, np.ndarray]],
@@ -80,7 +112,7 @@ def nearest(
 
     The vector is normalised inside the function: higher-order expressions as its input are not always planned.
     """
-    best = [_closest(codes, book, cosine, normalize)(doubles(vector)) for codes, book in blocks]
+    best = [_closest(codes, book, cosine, normalize)(as_col(vector)) for codes, book in blocks]
     return best[0] if len(best) == 1 else F.least(*best)
 
 
@@ -116,6 +148,30 @@ def mean_vectors(df: DataFrame, by: str, vector: Column) -> DataFrame:
     return df.groupBy(by).agg(vector_to_array(mean).alias("vector"), F.count(F.lit(1)).alias("n"))
 
 
+def code_means(
+    df: DataFrame,
+    codebook: DataFrame,
+    vector: str,
+    normalize: bool,
+    cosine: bool = False,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Mean and count of the (normalised) vectors nearest to each code: ``code``, ``vector``, ``n``; used codes only.
+
+    With a codebook of one block, each task assigns and sums its vectors in one pass and emits a row per code.
+    A larger codebook is assigned block by block and averaged by Spark's aggregation.
+    """
+    blocks = list(codebook_blocks(codebook, "code", "vector", block_bytes))
+    rows = df.where(F.col(vector).isNotNull()).select(vector)
+    if len(blocks) == 1:
+        step = _partial_means(*blocks[0], cosine, normalize)
+        partial = rows.mapInArrow(step, "code int, mean array<double>, n bigint")
+        mean = Summarizer.mean(array_to_vector("mean"), F.col("n").cast("double"))
+        return partial.groupBy("code").agg(vector_to_array(mean).alias("vector"), F.sum("n").alias("n"))
+    assigned = rows.withColumn("code", nearest(vector, blocks, normalize, cosine)["code"])
+    return mean_vectors(assigned, "code", l2_normalize(vector) if normalize else doubles(vector))
+
+
 def dimension(df: DataFrame, vector: str) -> int:
     first = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
     return max(1, first[0]) if first else 1
@@ -137,8 +193,10 @@ def settle(codebook: DataFrame, dim: int, rows: int | None = None, block_bytes:
 
 def initial_means(df: DataFrame, key: str, vector: str, k: int, seed: int = V.SPLIT_SEED) -> DataFrame:
     """``k`` sampled vectors as codes 0..k-1."""
-    picked = sample_n(df.select(key, vector), key, k, seed)
-    return picked.select(F.col("draw").cast("int").alias("code"), doubles(vector).alias("vector"))
+    rows = df.where(F.col(vector).isNotNull()).select(key, vector)
+    picked = sample_n(rows, key, k, seed)
+    means = picked.select(F.col("draw").cast("int").alias("code"), doubles(vector).alias("vector"))
+    return settle(means, dimension(rows, vector), k)
 
 
 def kmeans(
@@ -157,10 +215,9 @@ def kmeans(
     """
     points = df.where(F.col(vector).isNotNull()).select(key, vector)
     dim = dimension(points, vector)
-    means = settle(initial_means(points, key, vector, k, seed).withColumn("n", F.lit(0).cast("bigint")), dim, k)
+    means = initial_means(points, key, vector, k, seed).withColumn("n", F.lit(0).cast("bigint"))
     for _ in range(iters):
-        assigned = assign_codes(points, means, vector, normalize=False, cosine=cosine)
-        fresh = mean_vectors(assigned, "code", doubles(vector))
+        fresh = code_means(points, means, vector, False, cosine)
         moved = l2_normalize("f.vector") if cosine else F.col("f.vector")
         means = settle(
             means.alias("m")
@@ -189,21 +246,19 @@ def ema(
     order: Sequence[str],
     value: str,
     decay: float = V.EMA_DECAY,
-    rows_per_bucket: int | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """``m = m * decay + new * (1 - decay)`` per key in batch order from 0, as one weighted sum.
 
-    The weight of a batch depends on its distance from the last one only, so partial sums merge and a key with
-    most of the rows is not collected anywhere.
+    A batch weighs ``decay`` to the number of batches after it, so batches are numbered from the last one back
+    and partial sums merge: a key with most of the rows is not collected anywhere.
     """
-    options = {} if rows_per_bucket is None else {"rows_per_bucket": rows_per_bucket}
-    steps = assign_ordinal(df.select(key, *order, value), order, by=[key], name="_i", **options)
-    last = steps.groupBy(key).agg(F.max("_i").alias("_last"))
-    weight = F.pow(F.lit(decay), (F.col("_last") - F.col("_i")).cast("double"))
-    return (
-        steps.join(last, key)
-        .groupBy(key)
-        .agg(F.sum(F.col(value) * F.lit(1.0 - decay) * weight).alias("ema"), F.count(F.lit(1)).alias("n"))
+    steps = assign_ordinal(
+        df.select(key, *order, value), order, by=[key], name="_after", rows_per_bucket=rows_per_bucket, descending=True
+    )
+    weight = F.pow(F.lit(decay), F.col("_after").cast("double"))
+    return steps.groupBy(key).agg(
+        F.sum(F.col(value) * F.lit(1.0 - decay) * weight).alias("ema"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -219,6 +274,12 @@ def fit_standardize(df: DataFrame, arr: str, ids: Sequence[str] = ()) -> DataFra
     return flat.groupBy(*ids).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
+def standardize_by_group(df: DataFrame, arr: str, ids: Sequence[str], out: str = "standardized") -> DataFrame:
+    """Standardise every array by the fitted mean and deviation of its group."""
+    fit = fit_standardize(df, arr, ids)
+    return df.join(broadcast_if_small(fit), list(ids)).withColumn(out, standardize(arr, F.col("mean"), F.col("std")))
+
+
 def update_codebook(
     codebook: DataFrame, df: DataFrame, vector: str = "embedding", decay: float = V.EMA_DECAY
 ) -> DataFrame:
@@ -226,8 +287,7 @@ def update_codebook(
 
     A code without vectors takes part with its old vector. Returns ``code``, ``vector``, ``n``.
     """
-    assigned = assign_codes(df.where(F.col(vector).isNotNull()).select(vector), codebook, vector)
-    fresh = mean_vectors(assigned, "code", l2_normalize(vector))
+    fresh = code_means(df, codebook, vector, True)
     both = codebook.select("code", doubles("vector").alias("old")).join(fresh, "code", "left")
     target = F.coalesce(l2_normalize("vector"), F.col("old"))
     mixed = F.zip_with("old", target, lambda o, t: o * F.lit(decay) + t * F.lit(1.0 - decay))

@@ -116,20 +116,22 @@ def positional_align_join(spark, sf_dir):
 
 @query(
     "run_matrix_cross",
-    """SELECT r.m_type, r.model, d.lang AS dial, d.doc_id AS id FROM documents d,
-       (VALUES ('e2e', 'm_len'), ('e2e', 'm_line'), ('pipe', 'm_the')) AS r(m_type, model)""",
+    """SELECT r.dataset, r.m_type, r.model, d.lang AS dial, d.doc_id AS id
+       FROM (SELECT *, CASE WHEN n_chars >= 400 THEN 'long' ELSE 'short' END AS dataset FROM documents) d
+       JOIN (VALUES ('long', 'e2e', 'm_len'), ('long', 'pipe', 'm_line'), ('short', 'e2e', 'm_the')) AS r(dataset, m_type, model)
+         ON r.dataset = d.dataset""",
 )
 def run_matrix_cross(spark, sf_dir):
-    dataset = "sarcasm"
     runs = local_rows(
-        spark, [(dataset, "e2e", "m_len"), (dataset, "e2e", "m_line"), (dataset, "pipe", "m_the")],
+        spark, [("long", "e2e", "m_len"), ("long", "pipe", "m_line"), ("short", "e2e", "m_the")],
         "dataset string, m_type string, model string",
     )
     examples = fx.table(spark, sf_dir, "documents").select(
-        F.lit(dataset).alias("dataset"), F.col("lang").alias("dial"), F.col("doc_id").alias("id")
+        F.when(F.col("n_chars") >= 400, "long").otherwise("short").alias("dataset"),
+        F.col("lang").alias("dial"), F.col("doc_id").alias("id"),
     )
     dials = examples.select("dataset", "dial").distinct()
-    return J.run_matrix(runs, dials, examples).select("m_type", "model", "dial", "id")
+    return J.run_matrix(runs, dials, examples).select("dataset", "m_type", "model", "dial", "id")
 
 
 @query(

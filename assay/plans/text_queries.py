@@ -57,10 +57,16 @@ def bleu_ctes(source: str, tokens) -> list[str]:
     return [
         f"tok AS (SELECT id, {tokens('hyp')} AS h, {tokens('ref')} AS r FROM {source})",
         "orders(n) AS (VALUES (1), (2), (3), (4))",
+        """words AS (
+  SELECT id, side, t, lead(t, 1) OVER w AS t2, lead(t, 2) OVER w AS t3, lead(t, 3) OVER w AS t4
+  FROM (SELECT id, 'h' AS side, unnest(h) AS t, unnest(range(len(h))) AS i FROM tok
+        UNION ALL SELECT id, 'r', unnest(r), unnest(range(len(r))) FROM tok)
+  WINDOW w AS (PARTITION BY id, side ORDER BY i))""",
         """grams AS (
-  SELECT id, n, side, array_to_string(w[i:i + n - 1], ' ') AS gram, count(*) AS c
-  FROM (SELECT id, n, side, w, unnest(range(1, len(w) - n + 2)) AS i
-        FROM (SELECT id, 'h' AS side, h AS w FROM tok UNION ALL SELECT id, 'r', r FROM tok), orders) GROUP BY ALL)""",
+  SELECT id, n, side, gram, count(*) AS c FROM (
+    SELECT id, n, side, CASE n WHEN 1 THEN t WHEN 2 THEN t || ' ' || t2 WHEN 3 THEN t || ' ' || t2 || ' ' || t3
+                                   ELSE t || ' ' || t2 || ' ' || t3 || ' ' || t4 END AS gram
+    FROM words CROSS JOIN orders) WHERE gram IS NOT NULL GROUP BY id, n, side, gram)""",
         """clipped AS (
   SELECT a.id, a.n, sum(least(a.c, b.c)) AS c FROM grams a JOIN grams b USING (id, n, gram)
   WHERE a.side = 'h' AND b.side = 'r' GROUP BY a.id, a.n)""",

@@ -96,9 +96,7 @@ def standardize(spark, sf_dir):
     ),
 )
 def standardize_fitted(spark, sf_dir):
-    df = vectors(spark, sf_dir)
-    joined = df.join(O.fit_standardize(df, "embedding", ["label"]), "label")
-    return cells(joined, A.standardize("embedding", F.col("mean"), F.col("std")))
+    return cells(O.standardize_by_group(vectors(spark, sf_dir), "embedding", ["label"]), "standardized")
 
 
 @query(

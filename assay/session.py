@@ -11,16 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-# Settings that change results or plan shape; sizes of memory and cores are the deployment's business.
+# Session settings that change results or plan shape; memory and cores are the deployment's business.
 ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join partition even where a grouping by the same key follows: the partial aggregates are then
+    # shuffled once more, which is little next to one task holding a third of all rows.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the engine's settings to a session made elsewhere."""
+    for key, value in ENGINE_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(app: str = "assay", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     """A single-node session for tests and the bench; on a cluster pass your own session instead."""
     builder = (
@@ -80,10 +90,10 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: str | T.StructTyp
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share a table stored in fewer files than there are task slots evenly among the tasks.
+    """Share a table whose scan has fewer tasks than there are slots evenly among the slots.
 
-    Meant before work that is heavy per row. A table of many files is returned as it is: its scan already is
-    parallel, and shuffling it would only cost.
+    Meant before work that is heavy per row. A table with a wide scan is returned as it is: shuffling it would
+    only cost.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)

@@ -10,16 +10,22 @@ from assay.functions import fixed_values as V
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", na_values: list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    sep: str = ",",
+    na_values: list[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Header CSV/TSV with an explicit schema; every missing-value spelling becomes null.
 
-    Fields are read as text first, because a CSV source knows only one null spelling.
+    Fields are read as text first, because a CSV source knows only one null spelling. ``multi_line`` allows line
+    breaks inside quoted fields, at the price that a file is read by one task.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.csv(path, schema=as_text, sep=sep, header=True, multiLine=False, escape='"')
+    raw = spark.read.csv(path, schema=as_text, sep=sep, header=True, multiLine=multi_line, escape='"')
     missing = V.NA_VALUES if na_values is None else na_values
     return raw.select(
         *[
