@@ -26,7 +26,7 @@ SPACES = (
 )
 
 # ASCII punctuation, as in string.punctuation.
-PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # Characters the Chinese BLEU tokeniser isolates (public sacrebleu ranges as they take effect).
 CJK_CLASS = (

@@ -22,12 +22,19 @@ def _split_spaces(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{V.SPACE_CLASS}+"), "")
 
 
-# Separation rules of the 13a tokeniser (public; fixed values).
+def _one_of(chars: str) -> str:
+    """Character class that lists its members: a plain bit set, many times faster in Java than a union of ranges."""
+    return "[" + "".join(f"\\{c}" if not c.isalnum() else c for c in chars) + "]"
+
+
+# Separation rules of the 13a tokeniser (public; fixed values). Its first class also holds the space, which only
+# multiplies spaces and is left out.
+SYMBOLS_13A = "{|}~[\\]^_`!\"#$%&()*+:;<=>?@/"
 RULES_13A = [
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
-    (r"([^0-9])([\.,])", "$1 $2 "),
-    (r"([\.,])([^0-9])", " $1 $2"),
-    (r"([0-9])(-)", "$1 $2 "),
+    (f"({_one_of(SYMBOLS_13A)})", " $1 "),
+    (r"([^0123456789])([.,])", "$1 $2 "),
+    (r"([.,])([^0123456789])", " $1 $2"),
+    (r"([0123456789])(-)", "$1 $2 "),
 ]
 ENTITIES_13A = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 
@@ -127,7 +134,7 @@ def sentence_bleu(hyp: Column | str, ref: Column | str, base_code: str = "en") -
 
 def answer_tokens(text: Column | str) -> Column:
     """Lower-cased words without ASCII punctuation."""
-    return _split_spaces(F.regexp_replace(F.lower(as_col(text)), V.PUNCTUATION_CLASS, ""))
+    return _split_spaces(F.regexp_replace(F.lower(as_col(text)), _one_of(V.PUNCTUATION), ""))
 
 
 def f1_of_tokens(a: Column, b: Column) -> Column:

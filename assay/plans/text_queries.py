@@ -138,7 +138,7 @@ def translation_scores(spark, sf_dir):
 
 
 def answer_words_sql(text: str) -> str:
-    return words_sql(f"regexp_replace(lower({text}), '{V.PUNCTUATION_CLASS.replace(chr(39), chr(39) * 2)}', '', 'g')")
+    return words_sql(f"regexp_replace(lower({text}), '[!-/:-@\\[-`{{-~]', '', 'g')")
 
 
 # Token F1 of qa candidates against every reference, by counting tokens in rows.
