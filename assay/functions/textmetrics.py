@@ -1,7 +1,7 @@
 """BLEU and token-overlap scores as Column expressions.
 
 Each score needs one text pair only, so it is computed inside the row: no explode and no shuffle.
-Multisets are compared by sorting both token lists and merging them once.
+Multisets are compared by hash set first and by one merge of their sorted repeats after that.
 """
 
 from __future__ import annotations
@@ -65,32 +65,44 @@ def bleu_tokens(text: Column | str, base_code: str = "en") -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two string arrays: one merge step per entry of the sorted arrays."""
+    """Size of the multiset intersection of two string arrays.
+
+    Common distinct entries count once each, by a hash set; what is left is the overlap of the repeats, the
+    entries of either sorted array that equal the one before them.
+    """
+    def repeats(s: Column) -> Column:
+        return F.filter(s, lambda t, i: t == F.get(s, i - 1))
+
+    def count(pair: Column) -> Column:
+        common = F.size(F.array_intersect(pair["a"], pair["b"]))
+        return common + let(F.struct(repeats(pair["a"]).alias("a"), repeats(pair["b"]).alias("b")), _merge_overlap)
+
+    return let(F.struct(F.sort_array(a).alias("a"), F.sort_array(b).alias("b")), count)
+
+
+def _merge_overlap(pair: Column) -> Column:
+    """Overlap of the sorted arrays ``a`` and ``b``: one merge step per entry."""
+    x, y = pair["a"], pair["b"]
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("hits"))
 
     def move(s: Column, i: int, j: int) -> Column:
         return F.struct((s["i"] + i).alias("i"), (s["j"] + j).alias("j"), (s["hits"] + i * j).alias("hits"))
 
-    def merge(pair: Column) -> Column:
-        x, y = pair["a"], pair["b"]
-
-        def step(s: Column, _: Column) -> Column:
-            u, v = F.get(x, s["i"]), F.get(y, s["j"])
-            # Past the end of either array the comparison is null and the state stays.
-            return F.when(u == v, move(s, 1, 1)).when(u < v, move(s, 1, 0)).when(u > v, move(s, 0, 1)).otherwise(s)
+    def step(s: Column, _: Column) -> Column:
+        u, v = F.get(x, s["i"]), F.get(y, s["j"])
+        # Past the end of either array the comparison is null and the state stays.
+        return F.when(u == v, move(s, 1, 1)).when(u < v, move(s, 1, 0)).when(u > v, move(s, 0, 1)).otherwise(s)
 
-        steps = F.sequence(F.lit(1), F.size(x) + F.size(y))
-        return F.when((F.size(x) > 0) & (F.size(y) > 0), F.aggregate(steps, start, step, lambda s: s["hits"])).otherwise(0)
+    steps = F.sequence(F.lit(1), F.size(x) + F.size(y))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.aggregate(steps, start, step, lambda s: s["hits"])).otherwise(0)
 
-    return let(F.struct(F.sort_array(a).alias("a"), F.sort_array(b).alias("b")), merge)
 
-
-def ngrams(tokens: Column, order: int) -> Column:
-    if order == 1:
-        return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - (order - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, order), " "))
-    return F.when(F.size(tokens) >= order, grams).otherwise(F.array().cast("array<string>"))
+def longer_grams(grams: Column, tokens: Column, order: int) -> Column:
+    """n-grams of one order from those of the order below, by appending one token each."""
+    left = F.greatest(F.size(tokens) - (order - 1), F.lit(0))
+    return F.zip_with(
+        F.slice(grams, 1, left), F.slice(tokens, order, left), lambda g, t: F.concat(g, F.lit(" "), t)
+    )
 
 
 def bleu_from_counts(hits: Column, hyp_len: Column, ref_len: Column) -> Column:
@@ -116,11 +128,26 @@ def bleu_from_counts(hits: Column, hyp_len: Column, ref_len: Column) -> Column:
     return F.when(scored, brevity * F.exp(mean_log)).otherwise(F.lit(0.0))
 
 
+def clipped_matches(hyp_tokens: Column, ref_tokens: Column) -> Column:
+    """Clipped n-gram matches of two token arrays, an entry per order."""
+
+    def from_order(pair: Column, tokens: Column, order: int) -> Column:
+        here = F.array(multiset_overlap(pair["h"], pair["r"]))
+        if order == MAX_ORDER:
+            return here
+        longer = F.struct(
+            longer_grams(pair["h"], tokens["h"], order + 1).alias("h"),
+            longer_grams(pair["r"], tokens["r"], order + 1).alias("r"),
+        )
+        return F.concat(here, let(longer, lambda p: from_order(p, tokens, order + 1)))
+
+    return let(F.struct(hyp_tokens.alias("h"), ref_tokens.alias("r")), lambda p: from_order(p, p, 1))
+
+
 def bleu_of_tokens(hyp_tokens: Column, ref_tokens: Column) -> Column:
     def score(pair: Column) -> Column:
-        h, r = pair["h"], pair["r"]
-        hits = F.array(*[multiset_overlap(ngrams(h, n), ngrams(r, n)) for n in range(1, MAX_ORDER + 1)])
-        return let(hits, lambda c: bleu_from_counts(c, F.size(h), F.size(r)))
+        hits = clipped_matches(pair["h"], pair["r"])
+        return let(hits, lambda c: bleu_from_counts(c, F.size(pair["h"]), F.size(pair["r"])))
 
     return let(F.struct(hyp_tokens.alias("h"), ref_tokens.alias("r")), score)
 
