@@ -110,7 +110,8 @@ def nearest(
 ) -> Column:
     """Smallest (distance, code) of a vector over all codebook blocks.
 
-    The vector is normalised inside the function: higher-order expressions as its input are not always planned.
+    Give it a stored column: Spark 4.1 may fail to plan a Python function whose input holds a lambda expression,
+    which is also why normalising happens inside the function.
     """
     best = [_closest(codes, book, cosine, normalize)(as_col(vector)) for codes, book in blocks]
     return best[0] if len(best) == 1 else F.least(*best)

@@ -45,9 +45,9 @@ def sql_rows(con, sql):
     return normal([c[0] for c in cursor.description], cursor.fetchall())
 
 
-def check(spark, con, sf_dir, name, fn, sql) -> str | None:
+def check(con, df, sql) -> str | None:
     """None when both sides agree, else the first difference."""
-    got = spark_rows(fn(spark, sf_dir))
+    got = spark_rows(df)
     if sql is None:
         return None if got[1] else "no rows"
     want = sql_rows(con, sql)
@@ -79,7 +79,7 @@ def main(argv):
             continue
         t0 = time.time()
         try:
-            problem = check(spark, con, sf_dir, name, fn, oracle.get(name))
+            problem = check(con, fn(spark, sf_dir), oracle.get(name))
         except Exception as e:  # noqa: BLE001 - report and go on
             problem = f"{type(e).__name__}: {str(e)[:900]}"
         failed += problem is not None

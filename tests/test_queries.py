@@ -18,9 +18,13 @@ def database():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, sf_dir, database, name):
-    problem = compare.check(spark, database, sf_dir, name, QUERIES[name], ORACLES.get(name))
+    df = QUERIES[name](spark, sf_dir)
+    problem = compare.check(database, df, ORACLES.get(name))
     # A filter on few rows may leave nothing on the smallest tables; both sides must then agree on that.
     assert problem in (None, "both empty")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert costly not in plan
 
 
 def test_oracles_belong_to_queries():
@@ -31,3 +35,27 @@ def test_entry_has_rows(spark):
     result = entry.entry(spark)
     assert result.columns == ["run", "accuracy", "f1_weighted", "n"]
     assert result.count() == 2
+
+
+def plan_of(spark, sf_dir, name):
+    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    plan = plan_of(spark, sf_dir, "drop_null_target")
+    assert "PushedFilters: [IsNotNull(quality)" in plan and "text" not in plan
+    assert "ReadSchema: struct<doc_id:bigint>" in plan_of(spark, sf_dir, "existence_left_join")
+
+
+@pytest.mark.parametrize("name", ["sentence_bleu_zh", "max_over_references", "softmax_temperature", "frame_windows", "l2_normalize"])
+def test_row_local_work_groups_nothing(spark, sf_dir, name):
+    assert "Aggregate" not in plan_of(spark, sf_dir, name)
+
+
+def test_results_do_not_depend_on_partitioning(spark, sf_dir):
+    for name in ("assign_ordinal_in_groups", "f1_weighted", "ema_over_batches", "kmeans_cosine", "session_step_machine"):
+        rows = []
+        for partitions in ("3", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rows.append(compare.spark_rows(QUERIES[name](spark, sf_dir)))
+        assert rows[0] == rows[1], name
