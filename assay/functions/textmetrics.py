@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import fixed_values as V
 from assay.functions.arrays import let
-from assay.functions.text import as_col, strip
+from assay.functions.text import as_col, language_parts, strip
 
 MAX_ORDER = 4
 
@@ -159,6 +159,18 @@ def sentence_bleu(hyp: Column | str, ref: Column | str, base_code: str = "en") -
     return F.when(hyp.isNotNull() & ref.isNotNull(), score)
 
 
+def pair_bleu(hyp: Column | str, ref: Column | str, pair: Column | str) -> Column:
+    """BLEU with the tokeniser of each row's pair code (``en_zh-CN``): Chinese for zh targets, else 13a.
+
+    A Japanese target fails the job: its tokeniser needs a dictionary that is not bundled.
+    """
+    base = language_parts(pair)[2]
+    refuse = F.raise_error(F.lit("Japanese BLEU needs a morphological tokeniser; none is bundled")).cast("double")
+    return (
+        F.when(base == "zh", sentence_bleu(hyp, ref, "zh")).when(base == "ja", refuse).otherwise(sentence_bleu(hyp, ref))
+    )
+
+
 def answer_tokens(text: Column | str) -> Column:
     """Lower-cased words without ASCII punctuation."""
     return _split_spaces(F.regexp_replace(F.lower(as_col(text)), _one_of(V.PUNCTUATION), ""))

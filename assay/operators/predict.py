@@ -70,6 +70,37 @@ class BatchPredictor:
         return df.mapInPandas(run, schema)
 
 
+@dataclass
+class BatchScorer:
+    """An external answer scorer behind ``load() -> scorer`` and ``scorer(reference, prediction, question) -> number``.
+
+    Each row gets the best score over its references; one without references or with a failing scorer gets null.
+    """
+
+    load: Callable[[], Callable[[str, str, str], float]]
+    references: str = "answers"
+    prediction: str = "pred"
+    question: str = "question"
+
+    def apply(self, df: DataFrame, out: str = "score") -> DataFrame:
+        load, refs, pred, question = self.load, self.references, self.prediction, self.question
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer = load()
+
+            def best(row: dict) -> float | None:
+                try:
+                    return float(max(scorer(ref, row[pred], row[question]) for ref in row[refs]))
+                except Exception:  # noqa: BLE001 - a failed row has no score
+                    return None
+
+            for batch in batches:
+                scores = pd.array([best(row) for row in batch.to_dict("records")], dtype="Float64")
+                yield batch.assign(**{out: scores})
+
+        return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+
+
 @dataclass
 class ColumnPredictor:
     """A rule model given as one Column expression; a null result is a failure."""

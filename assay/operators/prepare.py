@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions import fixed_values as V
-from assay.functions.text import as_col, md5_uniform
+from assay.functions.text import as_col, lookup, md5_uniform
 from assay.operators.ordinals import assign_ordinal
 
 
@@ -54,10 +54,14 @@ def normalize_keys(df: DataFrame, key: str) -> DataFrame:
 def decode_labels(
     df: DataFrame, code: str, names: Sequence[str] | Mapping[int, str], out: str = "label_name", strict: bool = True
 ) -> DataFrame:
-    """Integer code -> name by a short fixed list; an unknown code fails when ``strict``, else gives null."""
-    table = dict(enumerate(names)) if not isinstance(names, Mapping) else dict(names)
-    pairs = [F.lit(part) for item in table.items() for part in item]
-    name = F.try_element_at(F.create_map(*pairs), F.col(code).cast("int"))
+    """Integer code -> name by a short fixed list; an unknown code fails when ``strict``, else gives null.
+
+    A list is indexed by the code; a mapping, for codes with gaps, is searched.
+    """
+    if isinstance(names, Mapping):
+        name = lookup(F.col(code).cast("int"), dict(names))
+    else:
+        name = F.get(F.array(*[F.lit(n) for n in names]), F.col(code).cast("int"))
     if strict:
         unknown = F.raise_error(F.concat(F.lit(f"no name for {code} "), F.coalesce(F.col(code).cast("string"), F.lit("null"))))
         name = F.coalesce(name, unknown)
@@ -96,15 +100,22 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = V.SPLIT_SEED) -> DataF
     return draws.join(numbered, "_pick").select(*df.columns, "draw")
 
 
-def check_labels(labels: DataFrame, task: str = "task", label: str = "label") -> DataFrame:
-    """Per task: labels, labels of several words, distinct first words, and whether first words are unique."""
+def check_labels(labels: DataFrame, task: str = "task", label: str = "label", strict: bool = False) -> DataFrame:
+    """Per task: labels, labels of several words, distinct first words, and whether first words are unique.
+
+    Under ``strict`` a task whose labels collide after truncation fails the job.
+    """
     first = F.get(F.split(label, " "), F.lit(0))
     checked = labels.groupBy(task).agg(
         F.count(F.lit(1)).alias("n_labels"),
         F.sum((F.size(F.split(label, " ")) > 1).cast("bigint")).alias("n_multi_word"),
         F.count_distinct(first).alias("n_distinct"),
     )
-    return checked.withColumn("is_unique", F.col("n_labels") == F.col("n_distinct"))
+    unique = F.col("n_labels") == F.col("n_distinct")
+    if strict:
+        collide = F.raise_error(F.concat(F.lit("labels are not unique in "), F.col(task))).cast("boolean")
+        unique = F.when(unique, F.lit(True)).otherwise(collide)
+    return checked.withColumn("is_unique", unique)
 
 
 def truncate_label(label: Column | str) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.functions import fixed_values as V
 from assay.functions.text import md5_uniform
+from assay.operators.ordinals import positional_shards
 from assay.operators.preferences import append_preferences
 from assay.plans import fixtures as fx
 from assay.plans.registry import query
@@ -196,6 +198,22 @@ def publish_splits(spark, sf_dir):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query(
+    "publish_shards",
+    """WITH u AS (SELECT length(text) AS chars, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, count(*) OVER () // 14 AS step
+                  FROM conversations WHERE role = 'user')
+       SELECT 'train.' || (i // step)::VARCHAR AS split, count(*) AS n, sum(chars)::BIGINT AS chars FROM u WHERE i < 14 * step GROUP BY ALL""",
+)
+def publish_shards(spark, sf_dir):
+    """Fourteen numbered splits of the user turns."""
+    asked = fx.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    shards = positional_shards(asked.select("conv_id", "turn", "text"), ["conv_id", "turn"], V.SHARD_COUNT)
+    path = scratch_path(spark, "shards")
+    publish(shards.withColumn("split", F.concat(F.lit("train."), F.col("shard").cast("string"))), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
 @query("preference_append", fx.with_(fx.VOTES_SQL, "SELECT session, event_id, audio_hash, best FROM votes"))
 def preference_append(spark, sf_dir):
     path = scratch_path(spark, "votes")

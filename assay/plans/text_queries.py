@@ -9,12 +9,15 @@ from assay.functions.textmetrics import (
     answer_tokens,
     best_over_references,
     f1_of_tokens,
+    pair_bleu,
     sentence_bleu,
     token_f1,
     tokenize_13a,
     tokenize_zh,
 )
 from assay.operators import metrics as M
+from assay.operators import prepare as P
+from assay.operators.predict import BatchScorer
 from assay.plans import fixtures as fx
 from assay.plans.registry import query
 from assay.session import spread
@@ -124,16 +127,20 @@ def sentence_bleu_zh(spark, sf_dir):
     return pairs.select("id", F.round(sentence_bleu(_zh("hyp"), _zh("ref"), "zh"), 6).alias("bleu"))
 
 
+def _pair_tokens_sql(text: str) -> str:
+    return f"CASE WHEN pair LIKE '%!_zh%' ESCAPE '!' THEN {tokens_zh_sql(text)} ELSE {tokens_13a_sql(text)} END"
+
+
 @query(
     "translation_scores",
     fx.with_(
-        [*fx.TRANSLATIONS_SQL, *bleu_ctes("translations", tokens_13a_sql)],
-        "SELECT pair, round(avg(bleu), 6) AS mean_score, count(*) AS n_scored FROM bleu JOIN translations USING (id) WHERE pair <> 'en_zh-CN' GROUP BY pair",
+        [*fx.TRANSLATIONS_SQL, *bleu_ctes("translations", _pair_tokens_sql)],
+        "SELECT pair, round(avg(bleu), 6) AS mean_score, count(*) AS n_scored FROM bleu JOIN translations USING (id) GROUP BY pair",
     ),
 )
 def translation_scores(spark, sf_dir):
-    pairs = fx.translations(spark, sf_dir).where(F.col("pair") != "en_zh-CN")
-    scored = pairs.select("pair", sentence_bleu("hyp", "ref").alias("score"))
+    """Mean BLEU per language pair, each with the tokeniser of its target language."""
+    scored = fx.translations(spark, sf_dir).select("pair", pair_bleu("hyp", "ref", "pair").alias("score"))
     return M.mean_skip_na(scored, ["pair"]).withColumn("mean_score", F.round("mean_score", 6))
 
 
@@ -189,6 +196,29 @@ def pluggable_scorer(spark, sf_dir):
     return fx.qa(spark, sf_dir).select("id", best_over_references("answers.text", "pred", same_start).alias("score"))
 
 
+def _load_length_scorer():
+    def scorer(reference, prediction, question):
+        if "?" in question:
+            raise ValueError("unscorable")
+        return len(prediction) / (len(prediction) + len(reference))
+
+    return scorer
+
+
+@query(
+    "pluggable_scorer_external",
+    fx.with_(
+        [*fx.QA_SQL, "refs AS (SELECT id, pred, unnest(answers) AS ref FROM qa WHERE NOT contains(question, '?'))"],
+        """SELECT id, round((SELECT max(length(pred)::DOUBLE / (length(pred) + length(ref))) FROM refs r WHERE r.id = qa.id), 6) AS score
+           FROM qa""",
+    ),
+)
+def pluggable_scorer_external(spark, sf_dir):
+    """A Python scorer behind the batch contract; a row it fails on has no score."""
+    pairs = P.extract_field(fx.qa(spark, sf_dir), "answers", "text")
+    return BatchScorer(_load_length_scorer).apply(pairs).select("id", F.round("score", 6).alias("score"))
+
+
 @query(
     "document_overlap",
     f"""WITH tok AS (SELECT d.doc_id, {answer_words_sql('d.text')} AS h, {answer_words_sql('b.text')} AS r

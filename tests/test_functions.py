@@ -202,6 +202,15 @@ def test_bleu_by_hand(spark):
         TM.sentence_bleu("h", "r", "ja")
 
 
+def test_bleu_by_pair(spark):
+    df = local_rows(spark, [(0, "en_zh-CN"), (1, "en_de")], "i int, pair string")
+    # Two characters are two Chinese tokens but one 13a token.
+    scores = results(df, TM.pair_bleu(F.lit("我说你好吗"), F.lit("我说你好吗"), "pair"))
+    assert scores == pytest.approx([100.0, 0.0])
+    with pytest.raises(Exception, match="Japanese"):
+        spark.range(1).select(TM.pair_bleu(F.lit("a"), F.lit("a"), F.lit("en_ja"))).collect()
+
+
 def test_tokenizers(spark):
     cases = {
         "Hello, world!": "Hello , world !",

@@ -147,6 +147,7 @@ def test_pending_and_policy(spark):
 def test_decode_labels_is_strict(spark):
     df = local_rows(spark, [(0,), (4,)], "label int")
     assert "no name for label 4" in failure(lambda: P.decode_labels(df, "label", V.EMOTIONS_4).collect())
+    assert P.decode_labels(df, "label", {4: "four"}, strict=False).where("label_name = 'four'").count() == 1
     names = P.decode_labels(df, "label", V.EMOTIONS_4, strict=False).orderBy("label").collect()
     assert [r["label_name"] for r in names] == ["angry", None]
 
@@ -198,6 +199,7 @@ def test_label_check(spark):
     df = local_rows(spark, [("t", "Yes"), ("t", "No"), ("u", "very good"), ("u", "very bad")], "task string, label string")
     rows = {r["task"]: (r["n_multi_word"], r["is_unique"]) for r in P.check_labels(df).collect()}
     assert rows == {"t": (0, True), "u": (2, False)}
+    assert "labels are not unique in u" in failure(lambda: P.check_labels(df, strict=True).collect())
 
 
 # ---- prediction ------------------------------------------------------------------------------------------------
