@@ -26,20 +26,31 @@ def _bounds(keys: DataFrame, buckets: int, rows: int) -> list:
     return json.first()["j"]
 
 
-def _bucket(key: Column, bounds: Column, count: int) -> Column:
-    """How many bounds are <= key, by binary search. A pure function of the row, so recomputed tasks agree."""
-    start = F.struct(F.lit(0).alias("lo"), F.lit(count).alias("hi"))
+def _below(values: list[Column], bound: list[Column]) -> Column:
+    """Whether a tuple sorts before another, column by column, nulls first."""
+    out = F.lit(False)
+    for value, other in reversed(list(zip(values, bound))):
+        less = F.coalesce(value < other, value.isNull() & other.isNotNull())
+        out = less | (value.eqNullSafe(other) & out)
+    return out
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / F.lit(2)).cast("int")
-        right = F.get(bounds, mid) <= key
-        moved = F.struct(
-            F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi")
-        )
-        return F.when(s["lo"] >= s["hi"], s).otherwise(moved)
 
-    rounds = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(count + 1)))))
-    return F.aggregate(rounds, start, halve, lambda s: s["lo"])
+def _with_bucket(df: DataFrame, keys: Sequence[str], bounds: Column, count: int) -> DataFrame:
+    """Add ``_bucket``, the number of bounds not above the row's key.
+
+    A binary search unrolled into one projection per step, so that it compiles to plain comparisons. It depends on
+    the row alone, so recomputed tasks agree.
+    """
+    values = [F.col(f"`{c}`") for c in keys]
+    columns = [bounds[f"k{i}"] for i in range(len(keys))]
+    out = df.withColumn("_bucket", F.lit(0))
+    step = 1 << (count.bit_length() - 1)
+    while step:
+        at = F.col("_bucket") + F.lit(step - 1)
+        passed = (at < count) & ~_below(values, [F.get(c, at) for c in columns])
+        out = out.withColumn("_bucket", F.col("_bucket") + F.when(passed, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return out
 
 
 def assign_ordinal(
@@ -77,8 +88,10 @@ def assign_ordinal(
     cut = len(df.sparkSession.range(1).select(bounds.alias("b")).first()["b"] or [])
     if cut == 0:
         return assign_ordinal(df, order_cols, by, name, max(rows, 1), rows, descending)
-    place = _bucket(key, bounds, cut)
-    spread = df.withColumn("_bucket", F.lit(cut) - place if descending else place).withColumn("_group", group)
+    spread = _with_bucket(df, keys, bounds, cut)
+    if descending:
+        spread = spread.withColumn("_bucket", F.lit(cut) - F.col("_bucket"))
+    spread = spread.withColumn("_group", group)
 
     # Only the first group of a range can have rows in earlier ranges, and there it is always the last group.
     sizes = spread.groupBy("_bucket", "_group").agg(F.count(F.lit(1)).alias("n"))
