@@ -35,22 +35,21 @@ def _below(values: list[Column], bound: list[Column]) -> Column:
     return out
 
 
-def _with_bucket(df: DataFrame, keys: Sequence[str], bounds: Column, count: int) -> DataFrame:
-    """Add ``_bucket``, the number of bounds not above the row's key.
+def _bucket(keys: Sequence[str], bounds: Column, count: int) -> Column:
+    """The number of bounds not above the row's key, by binary search over constant arrays, one per key column.
 
-    A binary search unrolled into one projection per step, so that it compiles to plain comparisons. It depends on
-    the row alone, so recomputed tasks agree.
+    It depends on the row alone, so recomputed tasks agree.
     """
     values = [F.col(f"`{c}`") for c in keys]
     columns = [bounds[f"k{i}"] for i in range(len(keys))]
-    out = df.withColumn("_bucket", F.lit(0))
-    step = 1 << (count.bit_length() - 1)
-    while step:
-        at = F.col("_bucket") + F.lit(step - 1)
-        passed = (at < count) & ~_below(values, [F.get(c, at) for c in columns])
-        out = out.withColumn("_bucket", F.col("_bucket") + F.when(passed, F.lit(step)).otherwise(F.lit(0)))
-        step //= 2
-    return out
+
+    def advance(passed: Column, step: Column) -> Column:
+        at = passed + step - 1
+        further = (at < count) & ~_below(values, [F.get(c, at) for c in columns])
+        return passed + F.when(further, step).otherwise(F.lit(0))
+
+    steps = [1 << i for i in reversed(range(count.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
 
 
 def assign_ordinal(
@@ -88,10 +87,8 @@ def assign_ordinal(
     cut = len(df.sparkSession.range(1).select(bounds.alias("b")).first()["b"] or [])
     if cut == 0:
         return assign_ordinal(df, order_cols, by, name, max(rows, 1), rows, descending)
-    spread = _with_bucket(df, keys, bounds, cut)
-    if descending:
-        spread = spread.withColumn("_bucket", F.lit(cut) - F.col("_bucket"))
-    spread = spread.withColumn("_group", group)
+    place = _bucket(keys, bounds, cut)
+    spread = df.withColumn("_bucket", F.lit(cut) - place if descending else place).withColumn("_group", group)
 
     # Only the first group of a range can have rows in earlier ranges, and there it is always the last group.
     sizes = spread.groupBy("_bucket", "_group").agg(F.count(F.lit(1)).alias("n"))
