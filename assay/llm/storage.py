@@ -46,3 +46,27 @@ def dense_rank_in_blocks(df: DataFrame, group: list[str], order: str, rank: str,
     within = Window.partitionBy(*group, "_block").orderBy(order)
     numbered = parted.withColumn("_row", F.row_number().over(within) - 1)
     return numbered.join(shifts, [*group, "_block"]).withColumn(rank, F.col("_shift") + F.col("_row")).drop("_block", "_shift", "_row")
+
+
+def runs(batches, keys: list[str]):
+    """Runs of equal keys in a sorted stream of Arrow batches, each as one table; only the open run is held."""
+    import numpy as np
+    import pyarrow as pa
+
+    open_run = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        here = pa.Table.from_batches([batch])
+        if open_run is not None:
+            here = pa.concat_tables([open_run, here])
+        change = np.zeros(here.num_rows - 1, bool)
+        for key in keys:
+            values = here[key].combine_chunks().to_numpy(zero_copy_only=False)
+            change |= values[1:] != values[:-1]
+        cuts = np.flatnonzero(change) + 1
+        for low, high in zip(np.concatenate([[0], cuts]), cuts):
+            yield here.slice(low, high - low)
+        open_run = here.slice(int(cuts[-1]) if len(cuts) else 0)
+    if open_run is not None:
+        yield open_run
