@@ -284,11 +284,29 @@ def verified_links(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_verify, "a long, b long")
 
 
+def required(both):
+    """Shingles that two sets of ``both`` shingles together must share to be similar."""
+    return -(-PERCENT * both // (100 + PERCENT))
+
+
+def least_shared(n, m):
+    """Prefix shingles that two similar sets of n and m shingles share at least.
+
+    The prefix that ends first in the global order lies, as far as the other set has it, in the other's prefix; of its
+    shingles at most n - required are not in the other set.
+    """
+    need = required(n + m)
+    prefix = lambda k: k - -(-PERCENT * k // 100) + 1
+    return np.maximum(1, np.minimum(prefix(n) - (n - need), prefix(m) - (m - need)))
+
+
 def _compare_blocks(batches):
+    found, size = [], 0
+    pack = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["a", "b", "least", "weight"])
     for run in runs(batches, ["token", "i", "j"]):
         part, rep, comp, n = (run[k].to_numpy() for k in ("part", "rep", "comp", "n"))
         sketch = np.frombuffer(b"".join(run["sketch"].to_pylist()), np.uint64).reshape(len(rep), -1)
-        i, j = run["i"][0].as_py(), run["j"][0].as_py()
+        i, j, weight = run["i"][0].as_py(), run["j"][0].as_py(), run["weight"][0].as_py()
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         for x in left:
             ys = right[right > x] if i == j else right
@@ -297,9 +315,14 @@ def _compare_blocks(batches):
                 continue
             apart = np.bitwise_count(sketch[ys] ^ sketch[x]).sum(1)
             both = n[ys] + n[x]
-            ys = ys[apart <= both - 2 * -(-PERCENT * both // (100 + PERCENT))]
-            if len(ys):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[ys], rep[x])), pa.array(np.maximum(rep[ys], rep[x]))], names=["a", "b"])
+            ys = ys[apart <= both - 2 * required(both)]
+            found.append((np.minimum(rep[ys], rep[x]), np.maximum(rep[ys], rep[x]), least_shared(n[ys], n[x]), np.full(len(ys), weight)))
+        size += len(left)
+        if size >= 10_000:
+            yield pack(found)
+            found, size = [], 0
+    if found:
+        yield pack(found)
 
 
 def classes_of_similar(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -322,10 +345,10 @@ def classes_of_similar(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = written(dealt.mapInArrow(_hubs, "token long, salt int, c1 long, hub long"), "shared-shingles")
 
     # Star links: to the hub of the shingle, and from the hubs of a frequent shingle's salts to the least of them.
-    stars = shared.select("c1", "hub").where("c1 <> hub").distinct()
+    stars = shared.where("c1 <> hub").groupBy("c1", "hub").agg(F.count("*").alias("shared"))
     salted = shared.where("salt > 0").select("token", "hub").distinct()
     tops = written(salted.groupBy("token").agg(F.min("hub").alias("top")), "top-hubs")
-    stars = stars.union(salted.join(tops, "token").where("hub <> top").select("hub", "top").distinct())
+    stars = stars.union(salted.join(tops, "token").where("hub <> top").select("hub", "top").distinct().withColumn("shared", F.lit(None).cast("long")))
     left = reps.select("c1", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
     right = reps.select(F.col("c1").alias("hub"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
     paired = stars.join(left, "c1").join(right, "hub").where(F.col("x") != F.col("y"))
@@ -333,18 +356,22 @@ def classes_of_similar(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = written(verified_links(written(near, "pairs"), docs), "similar")
     found = written(components(links), "components")
 
-    # Shingles whose holders are still in several components: compare those holders across components.
+    # Shingles whose holders are still in several components: compare those holders across components. Shingles with
+    # the same holders (a passage has many) count as one of that weight.
     state = reps.join(found, reps["rep"] == found["node"], "left").select("c1", "rep", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
     state = written(state, "set-state")
     held = written(shared.select("token", "c1").distinct().join(state.select("c1", "rep", "comp"), "c1").select("token", "rep", "comp"), "holders")
-    mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
-    mixed = written(mixed.select("token", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")), "mixed")
+    holders = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), *holders).where("low <> high")
+    mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+    mixed = written(mixed.select("token", "weight", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")), "mixed")
     rows = held.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = rows.join(state.select("rep", "n", "sketch"), "rep")
     blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "n", "sketch")
+    blocks = blocks.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "n", "sketch", "weight")
     dealt = blocks.repartition(partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    rest = written(dealt.mapInArrow(_compare_blocks, "a long, b long").distinct(), "pairs")
+    tried = dealt.mapInArrow(_compare_blocks, "a long, b long, least long, weight long").groupBy("a", "b", "least").agg(F.sum("weight").alias("shared"))
+    rest = written(tried.where("shared >= least").select("a", "b"), "pairs")
     more = written(verified_links(rest, docs), "similar")
     found = written(components(links.union(more)), "components")
     classed = reps.join(found, reps["rep"] == found["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
@@ -353,12 +380,14 @@ def classes_of_similar(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _near(batches):
     """Pairs (hub, member) whose sizes and sketches allow the threshold; the bits in which two parity sketches differ are at most the
-    shingles in which the sets differ."""
+    shingles in which the sets differ. Pairs that share far fewer prefix shingles than similar sets must are left to the blocks,
+    which count all that two sets share; a hub sees only those of which it is the first holder."""
     for batch in batches:
         x, y, xn, yn = (batch[k].to_numpy() for k in ("x", "y", "xn", "yn"))
         xs, ys = (np.frombuffer(b"".join(batch[k].to_pylist()), np.uint64).reshape(len(x), -1) for k in ("xs", "ys"))
         both = xn + yn
-        keep = (np.minimum(xn, yn) * 100 >= np.maximum(xn, yn) * PERCENT) & (np.bitwise_count(xs ^ ys).sum(1) <= both - 2 * -(-PERCENT * both // (100 + PERCENT)))
+        keep = (np.minimum(xn, yn) * 100 >= np.maximum(xn, yn) * PERCENT) & (np.bitwise_count(xs ^ ys).sum(1) <= both - 2 * required(both))
+        keep &= batch["shared"].fill_null(1 << 40).to_numpy() * 2 >= least_shared(xn, yn)
         yield pa.RecordBatch.from_arrays([pa.array(y[keep]), pa.array(x[keep])], names=["a", "b"])
 
 

@@ -106,7 +106,7 @@ def words_of(column: pa.Array, word_bytes: np.ndarray) -> Words:
         upto = max(done + 1, int(np.searchsorted(end, low + BLOCK, "right")))
         size = int(end[upto - 1] - low)
         if len(power) < size:
-            power, back = powers(int(_BASE), max(size, BLOCK)), powers(inverse, max(size, BLOCK))
+            power, back = powers(int(_BASE), size), powers(inverse, size)
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(codes[data[low : low + size]] * power[:size], out=sums[1:])
         s, e = start[done:upto] - low, end[done:upto] - low
