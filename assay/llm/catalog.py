@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from assay.llm import decontamination, jaccard  # noqa: F401
+from assay.llm import decontamination, jaccard, packing, passages, quality, sharding  # noqa: F401
 from assay.llm.registry import ORACLES, QUERIES  # noqa: F401

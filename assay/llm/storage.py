@@ -31,8 +31,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dense_rank_in_blocks(df: DataFrame, group: list[str], order: str, rank: str, blocks: int) -> DataFrame:
-    """Number the rows of each group from 0 in the order of ``order``, a uniformly spread 64-bit hash.
+def dense_rank_in_blocks(df: DataFrame, group: list[str], order: str, rank: str, blocks: int, tie: str) -> DataFrame:
+    """Number the rows of each group from 0 in the order of ``order``, a uniformly spread 64-bit hash, then ``tie``.
 
     The hash range is cut into ``blocks`` equal parts; rows are numbered inside (group, part) and shifted by the
     counts of the parts before. So a group of any size spreads over ``blocks`` tasks, evenly, whatever the data are.
@@ -43,7 +43,7 @@ def dense_rank_in_blocks(df: DataFrame, group: list[str], order: str, rank: str,
     counts = parted.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy(*group, "_block").orderBy(order)
+    within = Window.partitionBy(*group, "_block").orderBy(F.shiftrightunsigned(order, 32), order, tie)
     numbered = parted.withColumn("_row", F.row_number().over(within) - 1)
     return numbered.join(shifts, [*group, "_block"]).withColumn(rank, F.col("_shift") + F.col("_row")).drop("_block", "_shift", "_row")
 
@@ -70,3 +70,27 @@ def runs(batches, keys: list[str]):
         open_run = here.slice(int(cuts[-1]) if len(cuts) else 0)
     if open_run is not None:
         yield open_run
+
+
+def whole_runs(batches, keys: list[str]):
+    """A sorted stream of numeric Arrow batches as (columns, bounds): numpy arrays that hold whole runs of equal keys;
+    run r is rows ``bounds[r]:bounds[r + 1]``. Only the open run is held over."""
+    import numpy as np
+
+    names, rest = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.schema.names
+        columns = {k: batch[k].to_numpy() for k in names}
+        if rest is not None:
+            columns = {k: np.concatenate([rest[k], columns[k]]) for k in names}
+        change = np.zeros(len(columns[names[0]]) - 1, bool)
+        for key in keys:
+            change |= columns[key][1:] != columns[key][:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(change) + 1])
+        rest = {k: v[bounds[-1] :] for k, v in columns.items()}
+        if len(bounds) > 1:
+            yield columns, bounds
+    if rest is not None:
+        yield rest, np.array([0, len(rest[names[0]])])
