@@ -22,6 +22,7 @@ FEATURES = BUCKETS + len(CLASSES) + 2
 HIDDEN, GATE = 32, 16
 #: Labelled documents that training reads at most, those whose hashed ids are smallest; the only bound on learning.
 TRAINING_ROWS = 6000
+SHRINK = 16  # words
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.01, 1e-4
 CHUNK = 1 << 20  # bytes encoded at a time
 
@@ -132,7 +133,7 @@ class AttentionPooling:
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> AttentionPooling:
         everything = np.concatenate(bags)
         self.mean, self.scale = everything.mean(0), everything.std(0) + 1e-3
-        bags = [(b - self.mean) / self.scale for b in bags]
+        bags = [self.scaled(b) for b in bags]
         rng, moment, square, step = np.random.default_rng(seed), {}, {}, 0
         for epoch in range(EPOCHS):
             rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
@@ -149,7 +150,14 @@ class AttentionPooling:
         return self
 
     def score(self, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return self.forward((x - self.mean) / self.scale, offsets)["y"]
+        return self.forward(self.scaled(x), offsets)["y"]
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Standard features; the trigram shares of a passage count less the fewer words they come from."""
+        out = (x - self.mean) / self.scale
+        words = x[:, -2:-1] * PASSAGE
+        out[:, :BUCKETS] *= words / (words + SHRINK)
+        return out
 
 
 def held_out() -> F.Column:
