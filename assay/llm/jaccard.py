@@ -76,9 +76,16 @@ class Frequent:
 
     def __init__(self, size: int):
         self.size, self.keys, self.counts = size, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
 
     def add(self, values: np.ndarray) -> None:
-        keys, counts = np.unique(values, return_counts=True)
+        self.waiting.append(values)
+        if sum(map(len, self.waiting)) > 20 * self.size:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, counts = np.unique(np.concatenate([*self.waiting, np.zeros(0, np.uint64)]), return_counts=True)
+        self.waiting = []
         merged, place = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
         total = np.bincount(place, np.concatenate([self.counts, counts]), len(merged)).astype(np.int64)
         if len(merged) > self.size:
@@ -98,6 +105,7 @@ def _profile(batches):
         size = batch.num_rows
         none = pa.nulls(size, pa.int64())
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets)), pa.array(c1), pa.array(c2), pa.array(sketch, pa.binary()), none, none], names=names)
+    frequent.merge()
     keep = frequent.counts > 1
     size = int(keep.sum())
     none = pa.nulls(size, pa.int64())

@@ -8,15 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assay.session import configure
 
+# Arrow batches of whole texts stay this small, so that Python workers need little memory beside the executor's heap.
+BATCH_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "16384"}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that these operators rely on."""
+    for key, value in BATCH_CONF.items():
+        spark.conf.set(key, value)
+    return configure(spark)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: fn(configure(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return fn
