@@ -1,4 +1,15 @@
 """All queries of this subpackage."""
 
-from assay.llm import decontamination, jaccard, packing, passages, quality, sharding  # noqa: F401
+from assay.llm import (  # noqa: F401
+    decontamination,
+    dialogues,
+    embeddings,
+    jaccard,
+    licenses,
+    packing,
+    passages,
+    quality,
+    sharding,
+    token_files,
+)
 from assay.llm.registry import ORACLES, QUERIES  # noqa: F401

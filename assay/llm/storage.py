@@ -9,11 +9,11 @@ from pyspark.sql.window import Window
 from assay.session import scratch_path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The rows, written once to the shared folder and read back: lineage ends there, retries see the same rows."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
