@@ -100,9 +100,9 @@ def shared_windows(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     distinct = written(distinct.withColumn("window_id", F.monotonically_increasing_id()), "windows")
     place = F.shiftrightunsigned("print", 64 - FILTER_BITS)
     cells = distinct.groupBy(F.shiftright(place, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
+    found = cells.toArrow()
     known = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for cell, bits in cells.collect():
-        known[cell] = bits
+    known[found["cell"].to_numpy()] = found["bits"].to_numpy()
     sizes = sorted(r[0] for r in distinct.select("size").distinct().collect())
     keyed = documents.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text")
     schema = "_row long, doc_id long, n_words long, candidates array<struct<start:int,size:int,print:long,words:string>>"
@@ -184,4 +184,4 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = 10
     """The rows of ``documents`` that hold no window of the benchmark, with all their columns."""
     marked = contamination(documents, benchmark, window)
     dirty = marked.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return documents.join(dirty, documents["doc_id"].cast("long") == F.col("_dirty"), "left_anti")
+    return documents.join(dirty, documents["doc_id"].cast("long") == dirty["_dirty"], "left_anti")

@@ -219,9 +219,9 @@ def rows_with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     It spares most rows the shuffle of the join that follows; 8 MB at any size of ``ids``.
     """
     cells = ids.select(F.col("id").cast("long")).where("id IS NOT NULL").mapInArrow(_filter_cells, "cell int, bits long")
+    found = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     known = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for cell, bits in cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).collect():
-        known[cell] = bits
+    known[found["cell"].to_numpy()] = found["bits"].to_numpy()
     return df.mapInArrow(_known(df.sparkSession.sparkContext.broadcast(known.view(np.uint64)), key), df.schema)
 
 
@@ -342,8 +342,8 @@ def classes_of_similar(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = written(docs.mapInArrow(_profile, "doc_id long, n long, c1 long, c2 long, sketch binary, token long, count long"), "shingle-profile")
     counted = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM)
-    frequent = counted.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    tokens = np.array([r[0] for r in frequent], np.int64).view(np.uint64)
+    frequent = counted.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    tokens = frequent["token"].to_numpy().view(np.uint64)
     by_hash = np.argsort(tokens)
     place = np.arange(len(tokens))[::-1][by_hash]
     sets = profile.where("token IS NULL AND n > 0 AND doc_id IS NOT NULL")
@@ -434,4 +434,4 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose doc_id is the smallest of its class, with all their columns."""
     classes = similarity_classes(documents)
     copies = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return documents.join(copies, documents["doc_id"].cast("long") == F.col("_copy"), "left_anti")
+    return documents.join(copies, documents["doc_id"].cast("long") == copies["_copy"], "left_anti")
