@@ -79,15 +79,15 @@ def _candidates(sizes: list[int], bits):
             )
             ends = np.searchsorted(starts, words.offsets).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch["_row"], batch["doc_id"], pa.array(words.counts()), pa.ListArray.from_arrays(pa.array(ends), values)],
-                names=["_row", "doc_id", "n_words", "candidates"],
+                [batch["_row"], batch["doc_id"], batch["text_hash"], pa.array(words.counts()), pa.ListArray.from_arrays(pa.array(ends), values)],
+                names=["_row", "doc_id", "text_hash", "n_words", "candidates"],
             )
 
     return run
 
 
 def shared_windows(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (``_row``, ``doc_id``, ``n_words``), their hits (``_row``, ``start``, ``size``, ``window_id``), and the
+    """Documents (``_row``, ``doc_id``, ``text_hash``, ``n_words``), their hits (``_row``, ``start``, ``size``, ``window_id``), and the
     items of each window (``window_id``, ``item_id``).
 
     ``documents`` needs (doc_id, text), ``benchmark`` (item_id, text); other columns are not read. ``_row`` tells rows
@@ -104,13 +104,13 @@ def shared_windows(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     known = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     known[found["cell"].to_numpy()] = found["bits"].to_numpy()
     sizes = sorted(r[0] for r in distinct.select("size").distinct().collect())
-    keyed = documents.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text")
-    schema = "_row long, doc_id long, n_words long, candidates array<struct<start:int,size:int,print:long,words:string>>"
+    keyed = documents.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    schema = "_row long, doc_id long, text_hash long, n_words long, candidates array<struct<start:int,size:int,print:long,words:string>>"
     docs = written(keyed.mapInArrow(_candidates(sizes, spark.sparkContext.broadcast(known.view(np.uint64))), schema), "document-words")
     candidates = docs.select("_row", F.inline("candidates"))
     hits = candidates.join(distinct, ["print", "words", "size"]).select("_row", "start", "size", "window_id")
     holders = windows.join(distinct, ["print", "words", "size"]).select("window_id", "item_id")
-    return docs.select("_row", "doc_id", "n_words"), hits, holders
+    return docs.select("_row", "doc_id", "text_hash", "n_words"), hits, holders
 
 
 def covered(spans) -> F.Column:
@@ -124,9 +124,9 @@ def covered(spans) -> F.Column:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """One row per row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
+    """One row per row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, text_hash.
 
-    ``spans`` lists the (start, end) word positions of every hit window. Documents that hit the same windows form one
+    ``text_hash`` is xxhash64 of the text. ``spans`` lists the (start, end) word positions of every hit window. Documents that hit the same windows form one
     class; the items of a class are gathered once. Without text, words or hits: zeros, the digest of the empty string,
     no spans. Repeated rows are judged one by one.
     """
@@ -151,6 +151,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
         F.coalesce("items_sha256", none).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        "text_hash",
     )
 
 
@@ -177,11 +178,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     """,
 )
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "text_hash")
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``documents`` that hold no window of the benchmark, with all their columns."""
-    marked = contamination(documents, benchmark, window)
-    dirty = marked.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return documents.join(dirty, documents["doc_id"].cast("long") == dirty["_dirty"], "left_anti")
+    """The rows of ``documents`` that hold no window of the benchmark, with all their columns.
+
+    A row is known by its doc_id, null or not, and its text.
+    """
+    dirty = contamination(documents, benchmark, window).where("contaminated").select("doc_id", "text_hash").distinct()
+    same = documents["doc_id"].cast("long").eqNullSafe(dirty["doc_id"]) & (F.xxhash64(documents["text"]) == dirty["text_hash"])
+    return documents.join(dirty, same, "left_anti")

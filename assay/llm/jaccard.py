@@ -431,7 +431,10 @@ def op3_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is the smallest of its class, with all their columns."""
+    """The rows of ``documents`` whose doc_id is the smallest of its class, with all their columns.
+
+    Rows that share a doc_id are one document and stay or go together; a row without doc_id can't be named and stays.
+    """
     classes = similarity_classes(documents)
     copies = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
     return documents.join(copies, documents["doc_id"].cast("long") == copies["_copy"], "left_anti")
