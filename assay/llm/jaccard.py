@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.graph import components
 from assay.llm.registry import query, table
-from assay.llm.storage import discard, partitions, runs, written
+from assay.llm.storage import partitions, runs, whole_runs, written
 from assay.llm.words import mix, shingles, unspaced, window_starts, words_of
 
 SHINGLE = 5
@@ -31,8 +31,10 @@ FREQUENT_FROM = 16
 SALTS = 64
 TRIE_ROWS = 256
 BLOCK_ROWS = 512
-SKETCH_BITS = 1024
+# Bits of the parity sketch of a set: the second for sets of more shingles than the first has bits.
+SKETCH_BITS = (1024, 8192)
 FILTER_BITS = 26
+ROUNDS, HUBS = 2, 8
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,14 +95,41 @@ class Frequent:
         self.keys, self.counts = merged[total > 0], total[total > 0]
 
 
+def parity_sketch(values: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes: whether an odd number of them falls there."""
+    size = SKETCH_BITS[len(values) > SKETCH_BITS[0]]
+    bits = (values & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=size) & 1).astype(bool)).tobytes()
+
+
+class Sketches:
+    """Parity sketches of a batch: all of them folded to the smaller size, and the larger ones as they are."""
+
+    def __init__(self, column: pa.Array):
+        parts = [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
+        small = SKETCH_BITS[0] // 64
+        self.large = np.array([len(p) > small for p in parts], bool)
+        self.folded = np.array([np.bitwise_xor.reduce(p.reshape(-1, small)) for p in parts], np.uint64).reshape(-1, small)
+        self.place = np.cumsum(self.large) - 1
+        self.whole = np.array([p for p in parts if len(p) > small], np.uint64).reshape(-1, SKETCH_BITS[1] // 64)
+
+    def apart(self, i: np.ndarray, other: "Sketches", j: np.ndarray) -> np.ndarray:
+        """Shingles that differ at least between set i[k] and the other set j[k]: the bits in which sketches differ."""
+        out = np.bitwise_count(self.folded[i] ^ other.folded[j]).sum(1).astype(np.int64)
+        both = self.large[i] & other.large[j]
+        if both.any():
+            a, b = self.whole[self.place[i[both]]], other.whole[other.place[j[both]]]
+            out[both] = np.bitwise_count(a ^ b).sum(1)
+        return out
+
+
 def _profile(batches):
     frequent = Frequent(COUNTERS)
     names = ["doc_id", "n", "c1", "c2", "sketch", "token", "count"]
     for batch in batches:
         values, offsets = shingle_sets(batch["text"])
         c1, c2 = digests(values, offsets)
-        bits = (values >> np.uint64(54)).astype(np.int64)
-        sketch = [np.packbits((np.bincount(bits[a:b], minlength=SKETCH_BITS) & 1).astype(bool)).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+        sketch = [parity_sketch(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         frequent.add(values)
         size = batch.num_rows
         none = pa.nulls(size, pa.int64())
@@ -146,50 +175,26 @@ def _prefixes(frequent):
             if owner:
                 owner = np.concatenate(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.diff(offsets)[owner]), pa.array(c1[owner])], names=["token", "salt", "n", "c1"]
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(c1[owner])], names=["token", "salt", "c1"]
                 )
 
     return run
 
 
 def _hubs(batches):
-    """Rows of shingles that several classes share, each with the hub of its (shingle, salt): the first class, or the
-    first that is not too short for it. Sorted input; a frequent shingle keeps its rows even where its salt has one."""
-    last = None  # (token, salt, n, c1, hub, hub_n, emitted) of the row before
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token, salt, n, c1 = (batch[k].to_numpy() for k in ("token", "salt", "n", "c1"))
-        if last is not None:
-            token, salt, n, c1 = (np.concatenate([[x], y]) for x, y in zip(last[:4], (token, salt, n, c1)))
-        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-        fresh = np.concatenate([[True], ~(same & (c1[1:] == c1[:-1]))])
-        opens = np.concatenate([[True], ~same])
-        joined = np.concatenate([same, [False]]) | ~opens | (salt > 0)
-        hub = c1.copy()
-        hub_n = n.copy()
-        if last is not None:
-            hub[0], hub_n[0] = last[4], last[5]
-        # A run changes its hub where its sizes leave the hub's reach, so the hubs are found run by run.
-        firsts = np.flatnonzero(opens)
-        for a, b in zip(firsts, np.append(firsts[1:], len(token))):
-            if b - a == 1:
-                continue
-            low, h, hn = a, hub[a], hub_n[a]
-            while low < b:
-                high = low + int(np.searchsorted(n[low:b] * PERCENT, hn * 100, "right"))
-                hub[low:high], hub_n[low:high] = h, hn
-                low = high
-                if low < b:
-                    h, hn = c1[low], n[low]
-        keep = fresh & joined
-        if last is not None:
-            keep[0] &= not last[6]
-        keep[-1] &= bool(~opens[-1] | (salt[-1] > 0))
-        done = bool(keep[-1]) or (last is not None and len(token) == 1 and last[6])
-        if not fresh[-1]:
-            done = True
-        last = (token[-1], salt[-1], n[-1], c1[-1], hub[-1], hub_n[-1], done)
+    """Rows of shingles that several classes share, each with the hub of its (shingle, salt): the first class there.
+
+    Sorted input. Repeated rows go; a frequent shingle keeps its rows even where its salt has one class.
+    """
+    for columns, bounds in whole_runs(batches, ["token", "salt"]):
+        token, salt, c1 = (columns[k][: bounds[-1]] for k in ("token", "salt", "c1"))
+        starts, sizes = bounds[:-1], np.diff(bounds)
+        fresh = np.ones(len(c1), bool)
+        fresh[1:] = c1[1:] != c1[:-1]
+        fresh[starts] = True
+        shared = np.repeat(np.add.reduceat(fresh.astype(np.int64), starts) > 1, sizes)
+        keep = fresh & (shared | (salt > 0))
+        hub = np.repeat(c1[starts], sizes)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, salt, c1, hub)], names=["token", "salt", "c1", "hub"])
 
 
@@ -313,7 +318,7 @@ def _compare_blocks(batches):
     pack = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["a", "b", "least", "weight"])
     for run in runs(batches, ["token", "i", "j"]):
         part, rep, comp, n = (run[k].to_numpy() for k in ("part", "rep", "comp", "n"))
-        sketch = np.frombuffer(b"".join(run["sketch"].to_pylist()), np.uint64).reshape(len(rep), -1)
+        sketch = Sketches(run["sketch"].combine_chunks())
         i, j, weight = run["i"][0].as_py(), run["j"][0].as_py(), run["weight"][0].as_py()
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         for x in left:
@@ -321,7 +326,7 @@ def _compare_blocks(batches):
             ys = ys[(comp[ys] != comp[x]) & (n[ys] * 100 >= n[x] * PERCENT) & (n[x] * 100 >= n[ys] * PERCENT)]
             if not len(ys):
                 continue
-            apart = np.bitwise_count(sketch[ys] ^ sketch[x]).sum(1)
+            apart = sketch.apart(np.full(len(ys), x), sketch, ys)
             both = n[ys] + n[x]
             ys = ys[apart <= both - 2 * required(both)]
             found.append((np.minimum(rep[ys], rep[x]), np.maximum(rep[ys], rep[x]), least_shared(n[ys], n[x]), np.full(len(ys), weight)))
@@ -348,33 +353,51 @@ def classes_of_similar(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = np.arange(len(tokens))[::-1][by_hash]
     sets = profile.where("token IS NULL AND n > 0 AND doc_id IS NOT NULL")
     reps = written(sets.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
-    prefixes = docs.mapInArrow(_prefixes(spark.sparkContext.broadcast((tokens[by_hash], place))), "token long, salt int, n long, c1 long")
-    dealt = prefixes.repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "n", "c1")
+    prefixes = docs.mapInArrow(_prefixes(spark.sparkContext.broadcast((tokens[by_hash], place))), "token long, salt int, c1 long")
+    dealt = prefixes.repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "c1")
     shared = written(dealt.mapInArrow(_hubs, "token long, salt int, c1 long, hub long"), "shared-shingles")
 
     # Star links: to the hub of the shingle, and from the hubs of a frequent shingle's salts to the least of them.
-    stars = shared.where("c1 <> hub").groupBy("c1", "hub").agg(F.count("*").alias("shared"))
+    stars = shared.where("c1 <> hub").select("c1", "hub").distinct()
     salted = shared.where("salt > 0").select("token", "hub").distinct()
     tops = written(salted.groupBy("token").agg(F.min("hub").alias("top")), "top-hubs")
-    stars = stars.union(salted.join(tops, "token").where("hub <> top").select("hub", "top").distinct().withColumn("shared", F.lit(None).cast("long")))
-    left = reps.select("c1", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
-    right = reps.select(F.col("c1").alias("hub"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
-    paired = stars.join(left, "c1").join(right, "hub").where(F.col("x") != F.col("y"))
-    near = paired.mapInArrow(_near, "a long, b long").distinct()
-    links = written(verified_links(written(near, "pairs"), docs), "similar")
+    stars = stars.union(salted.join(tops, "token").where("hub <> top").select("hub", "top").distinct())
+    names = reps.select("c1", "rep")
+    stars = stars.join(names, "c1").join(names.toDF("hub", "hub_rep"), "hub").select(F.col("hub_rep").alias("a"), F.col("rep").alias("b"))
+    links = written(verified_links(written(_near_pairs(stars, reps), "pairs"), docs), "similar")
     found = written(components(links), "components")
 
-    # Shingles whose holders are still in several components: compare those holders across components. Shingles with
-    # the same holders (a passage has many) count as one of that weight.
-    state = reps.join(found, reps["rep"] == found["node"], "left").select("c1", "rep", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
-    state = written(state, "set-state")
-    held = written(shared.select("token", "c1").distinct().join(state.select("c1", "rep", "comp"), "c1").select("token", "rep", "comp"), "holders")
+    # Shingles whose holders are still in several components. Shingles with the same holders (a passage has many) count
+    # as one of that weight.
+    held = shared.select("token", "c1").distinct().join(names, "c1").select("token", "rep")
     holders = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    held = written(_with_component(held, found), "holders")
     mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), *holders).where("low <> high")
-    mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
-    mixed = written(mixed.select("token", "weight", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")), "mixed")
+    mixed = written(mixed.groupBy("size", "h1", "h2").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "weight"), "mixed")
+    held = written(held.join(mixed, "token"), "holders")
+
+    # Their holders meet a few other hubs in each round, the same ones wherever it can be, so that near copies come
+    # together by a few tries each.
+    for turn in range(ROUNDS):
+        drawn = [F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn * HUBS + k))).alias(f"hub{k}") for k in range(HUBS)]
+        hubs = held.groupBy("token").agg(*drawn, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        hubs = hubs.select("token", F.inline(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))))
+        hubs = written(hubs.toDF("token", "hub", "hub_comp"), "hubs")
+        met = held.join(hubs, "token").where(F.col("comp") != F.col("hub_comp"))
+        stars = met.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        pairs = written(_near_pairs(stars, reps), "pairs")
+        if pairs.first() is None:
+            break
+        links = written(links.union(verified_links(pairs, docs)), "similar")
+        found = written(components(links), "components")
+        held = held.drop("comp").join(hubs.select("token"), "token", "left_semi")
+        held = written(_with_component(held, found), "holders")
+
+    # What is still in different components is compared across components, block by block.
+    mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
+    mixed = written(mixed.select("token", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")), "mixed")
     rows = held.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rows = rows.join(state.select("rep", "n", "sketch"), "rep")
+    rows = rows.join(reps.select("rep", "n", "sketch"), "rep")
     blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = blocks.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "n", "sketch", "weight")
     dealt = blocks.repartition(partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
@@ -386,17 +409,25 @@ def classes_of_similar(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return profile.where("token IS NULL").select("doc_id", "n", "c1", "c2"), classed
 
 
+def _with_component(held: DataFrame, found: DataFrame) -> DataFrame:
+    return held.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _near_pairs(stars: DataFrame, reps: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that sizes and sketches allow to be similar."""
+    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
+    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
+    sized = stars.where("a <> b").distinct().join(left, "a").join(right, "b").where(f"least(xn, yn) * 100 >= greatest(xn, yn) * {PERCENT}")
+    return sized.mapInArrow(_near, "a long, b long")
+
+
 def _near(batches):
-    """Pairs (hub, member) whose sizes and sketches allow the threshold; the bits in which two parity sketches differ are at most the
-    shingles in which the sets differ. Pairs that share far fewer prefix shingles than similar sets must are left to the blocks,
-    which count all that two sets share; a hub sees only those of which it is the first holder."""
     for batch in batches:
-        x, y, xn, yn = (batch[k].to_numpy() for k in ("x", "y", "xn", "yn"))
-        xs, ys = (np.frombuffer(b"".join(batch[k].to_pylist()), np.uint64).reshape(len(x), -1) for k in ("xs", "ys"))
-        both = xn + yn
-        keep = (np.minimum(xn, yn) * 100 >= np.maximum(xn, yn) * PERCENT) & (np.bitwise_count(xs ^ ys).sum(1) <= both - 2 * required(both))
-        keep &= batch["shared"].fill_null(1 << 40).to_numpy() * 2 >= least_shared(xn, yn)
-        yield pa.RecordBatch.from_arrays([pa.array(y[keep]), pa.array(x[keep])], names=["a", "b"])
+        both = batch["xn"].to_numpy() + batch["yn"].to_numpy()
+        rows = np.arange(batch.num_rows)
+        apart = Sketches(batch["xs"]).apart(rows, Sketches(batch["ys"]), rows)
+        keep = pa.array(apart <= both - 2 * required(both))
+        yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
 
 
 def similarity_classes(documents: DataFrame) -> DataFrame:
