@@ -9,7 +9,7 @@ with it.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 
 import numpy as np
@@ -23,74 +23,23 @@ from assay.llm.storage import discard, partitions, written
 from assay.session import scratch_path
 
 END = 0  # id that ends each document
-CACHED = 400_000  # pieces of text whose ids a task remembers
-CHUNK = 1 << 21  # characters encoded at a time
-# The code points of Unicode's white space, which the tokenizer's own splitting rule uses.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# The tokenizer never joins what this splits: a run without white space with the space before it, and white space.
-PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+CHUNK = 1 << 18  # characters encoded at a time
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level tokenizer, remembering the ids of the pieces between its splits."""
+    """Ids of whole texts by a tokenizer file, on one thread: Spark's tasks are the parallelism."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.added = [t.content for t in added]
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.index) + len(pieces) > CACHED:
-            self.forget()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.array([len(i) for i in ids], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.array([x for i in ids for x in i], np.uint32)])
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of the texts."""
-        pieces, counts = [], []
-        whole: dict[int, np.ndarray] = {}
-        for i, text in enumerate(texts):
-            if any(a in text for a in self.added):
-                # An added token may take white space apart that belongs together.
-                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                found = []
-            else:
-                found = PIECES.findall(text)
-            pieces += found
-            counts.append(len(found))
-        known = set(pieces)
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.index]
-        if fresh:
-            before = len(self.index)
-            self._learn(fresh)
-            if len(self.index) < before + len(fresh):
-                rest = [p for p in known if p not in self.index]
-                if rest:
-                    self._learn(rest)
-                if any(p not in self.index for p in known):
-                    # More pieces than are remembered: let the tokenizer take the texts as they are.
-                    ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                    return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-        codes = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size[codes]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[codes] - ends[:-1], size) + np.arange(ends[-1])]
-        offsets = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        if whole:
-            parts = [whole.get(i, ids[offsets[i] : offsets[i + 1]]) for i in range(len(texts))]
-            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return ids, offsets
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), offsets
 
 
 def code(ranks: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[bytes]]:
