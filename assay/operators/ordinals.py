@@ -2,54 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 20_000
-SAMPLES_PER_BUCKET = 20
-TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+from assay.session import written
 
-
-def _bounds(keys: DataFrame, buckets: int, rows: int) -> list:
-    """JSON text of at most ``buckets`` sorted key tuples that cut a sample of the keys evenly."""
-    share = min(1.0, SAMPLES_PER_BUCKET * buckets / rows)
-    ranked = keys.sample(share, 7).agg(F.array_sort(F.collect_list("k")).alias("s"))
-    step = F.greatest(F.floor(F.size("s") / F.lit(buckets)), F.lit(1)).cast("int")
-    picks = F.transform(F.sequence(step, F.size("s"), step), lambda i: F.element_at("s", i))
-    picks = F.when(F.size("s") >= step, picks)
-    json = ranked.select(F.to_json(picks, {"timestampFormat": TIME_FORMAT}).alias("j"))
-    return json.first()["j"]
-
-
-def _below(values: list[Column], bound: list[Column]) -> Column:
-    """Whether a tuple sorts before another, column by column, nulls first."""
-    out = F.lit(False)
-    for value, other in reversed(list(zip(values, bound))):
-        less = F.coalesce(value < other, value.isNull() & other.isNotNull())
-        out = less | (value.eqNullSafe(other) & out)
-    return out
-
-
-def _bucket(keys: Sequence[str], bounds: Column, count: int) -> Column:
-    """The number of bounds not above the row's key, by binary search over constant arrays, one per key column.
-
-    It depends on the row alone, so recomputed tasks agree.
-    """
-    values = [F.col(f"`{c}`") for c in keys]
-    columns = [bounds[f"k{i}"] for i in range(len(keys))]
-
-    def advance(passed: Column, step: Column) -> Column:
-        at = passed + step - 1
-        further = (at < count) & ~_below(values, [F.get(c, at) for c in columns])
-        return passed + F.when(further, step).otherwise(F.lit(0))
-
-    steps = [1 << i for i in reversed(range(count.bit_length()))]
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+# monotonically_increasing_id holds the task in its upper bits and the row of the task in the lower ones.
+ROW_BITS = 33
 
 
 def assign_ordinal(
@@ -57,68 +19,56 @@ def assign_ordinal(
     order_cols: Sequence[str],
     by: Sequence[str] = (),
     name: str = "ordinal",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    total: int | None = None,
+    ranges: int | None = None,
     descending: bool = False,
+    check_unique: bool = False,
 ) -> DataFrame:
-    """Add a 0-based row number in ``order_cols`` order, over the table or within each ``by`` group.
+    """Add a 0-based row number in ``order_cols`` order (nulls first), over the table or within each ``by`` group.
 
-    ``by + order_cols`` should be unique; ties are numbered in any order. Rows are cut into key ranges of about
-    ``rows_per_bucket`` rows by sampled bounds, numbered inside each range, and shifted by the rows before it. A
-    group as large as the table is therefore spread over many tasks. The bounds and the per-range offsets are the
-    only data broadcast: at most ``MAX_BUCKETS`` entries each. Reads ``df`` up to four times, the first three
-    times only its key columns.
+    Rows are sorted into ``ranges`` key ranges (as many as shuffle partitions by default) and written to the shared
+    folder; a row's number is its place in its range plus the rows before that range. The ranges are the tasks of one
+    global sort, so a group as large as the table spreads over all of them, at any size and by one path. Rows with
+    equal keys keep the order they are read in, and may lie in several ranges. ``check_unique`` raises on equal
+    keys. The input is read twice, once to sample its keys; only a row per range is broadcast.
     """
-    keys = [*by, *order_cols]
-    rows = df.count() if total is None else total
-    buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket)) if rows else 1
-    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
-    order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    if buckets <= 1:
-        window = W.partitionBy(group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint") - 1)
-
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
-    sample = df.select(key.alias("k"))
-    json = _bounds(sample, buckets, rows)
-    array_type = f"array<{sample.schema['k'].dataType.simpleString()}>"
-    # A constant: sort_array of from_json of a literal is folded once, before the tasks start.
-    bounds = F.sort_array(F.from_json(F.lit(json), array_type, {"timestampFormat": TIME_FORMAT}))
-    cut = len(df.sparkSession.range(1).select(bounds.alias("b")).first()["b"] or [])
-    if cut == 0:
-        return assign_ordinal(df, order_cols, by, name, max(rows, 1), rows, descending)
-    place = _bucket(keys, bounds, cut)
-    spread = df.withColumn("_bucket", F.lit(cut) - place if descending else place).withColumn("_group", group)
-
+    spark = df.sparkSession
+    n = ranges or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [F.col(f"`{c}`").desc() if descending else F.col(f"`{c}`").asc() for c in order_cols]
+    keys = [*[F.col(f"`{c}`").asc() for c in by], *keys, F.col("_read")]
+    tagged = df.withColumn("_read", F.monotonically_increasing_id())
+    placed = tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    stored = written(placed.drop("_read"), "ordered")
+    row = F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)
+    stored = stored.withColumn("_range", F.shiftright("_place", ROW_BITS).cast("int"))
+    if check_unique:
+        # Equal keys may lie in two ranges, so they are counted over all of them.
+        copies = stored.groupBy(*[F.col(f"`{c}`") for c in (*by, *order_cols)]).count()
+        if copies.where("count > 1").first() is not None:
+            raise ValueError(f"equal keys in {[*by, *order_cols]}")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # over one row per range
+    if not by:
+        sizes = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+        shifts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+        return stored.join(F.broadcast(shifts), "_range").select(*columns, (row + F.col("_before")).cast("bigint").alias(name))
+    group = F.struct(*[F.col(f"`{c}`") for c in by])
+    sizes = stored.groupBy("_range", group.alias("_group")).agg(F.count(F.lit(1)).alias("n"))
     # Only the first group of a range can have rows in earlier ranges, and there it is always the last group.
-    sizes = spread.groupBy("_bucket", "_group").agg(F.count(F.lit(1)).alias("n"))
-    first, last, at_last = (F.max, F.min, F.min_by) if descending else (F.min, F.max, F.max_by)
-    ends = sizes.groupBy("_bucket").agg(
-        first("_group").alias("first"), last("_group").alias("last"), at_last("n", "_group").alias("last_n")
-    )
-    running = W.partitionBy("last").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    along = W.partitionBy(F.lit(0)).orderBy("_bucket")
+    ends = sizes.groupBy("_range").agg(F.min("_group").alias("first"), F.max("_group").alias("last"), F.max_by("n", "_group").alias("last_n"))
+    running = W.partitionBy("last").orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    along = W.orderBy("_range")
     ends = ends.withColumn("run", F.sum("last_n").over(running))
-    carry = ends.select(
-        "_bucket",
-        F.col("first").alias("_group"),
-        F.lag("last").over(along).alias("before"),
-        F.lag("run").over(along).alias("carry"),
-    )
-    carry = carry.where(F.col("before") == F.col("_group")).select("_bucket", "_group", "carry")
-    local = F.row_number().over(W.partitionBy("_bucket", "_group").orderBy(*order))
-    numbered = spread.withColumn("_row", local).join(F.broadcast(carry), ["_bucket", "_group"], "left")
-    ordinal = (F.col("_row") + F.coalesce("carry", F.lit(0)) - 1).cast("bigint")
-    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], ordinal.alias(name))
+    carry = ends.select("_range", F.col("first").alias("_group"), F.lag("last").over(along).alias("last"), F.lag("run").over(along).alias("_before"))
+    carry = carry.where(F.col("last") == F.col("_group")).select("_range", "_group", "_before")
+    local = F.row_number().over(W.partitionBy("_range", "_group").orderBy("_place"))
+    numbered = stored.withColumn("_group", group).withColumn("_row", local).join(F.broadcast(carry), ["_range", "_group"], "left")
+    return numbered.select(*columns, (F.col("_row") + F.coalesce("_before", F.lit(0)) - 1).cast("bigint").alias(name))
 
 
-def positional_shards(
-    df: DataFrame, order_cols: Sequence[str], k: int, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
+def positional_shards(df: DataFrame, order_cols: Sequence[str], k: int, ranges: int | None = None) -> DataFrame:
     """``k`` contiguous shards of ``n // k`` rows each; the trailing ``n % k`` rows are left out by definition."""
-    rows = df.count()
-    size = rows // k
-    numbered = assign_ordinal(df, order_cols, rows_per_bucket=rows_per_bucket, total=rows)
+    numbered = assign_ordinal(df, order_cols, ranges=ranges)
+    size = numbered.count() // k
     if size == 0:
         return numbered.where(F.lit(False)).withColumn("shard", F.lit(0).cast("bigint"))
     kept = numbered.where(F.col("ordinal") < k * size)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import fixed_values as V
 from assay.functions.text import progress_text
-from assay.operators.ordinals import ROWS_PER_BUCKET, assign_ordinal
+from assay.operators.ordinals import assign_ordinal
 
 
 def append_preferences(df: DataFrame, path: str) -> None:
@@ -25,10 +25,10 @@ def preference_tally(df: DataFrame, best: str = "best") -> DataFrame:
 
 def preference_counter(
     df: DataFrame, goal: int = V.VOTE_GOAL, session: str = "session", order: tuple[str, ...] = ("ts", "event_id"),
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add the vote's number within its session, whether the goal is reached, and the progress text."""
-    counted = assign_ordinal(df, order, by=[session], name="_i", rows_per_bucket=rows_per_bucket)
+    counted = assign_ordinal(df, order, by=[session], name="_i", ranges=ranges)
     n = F.col("_i") + 1
     return counted.withColumns(
         {"n_votes": n, "completed": n >= goal, "progress": progress_text(n, goal)}

@@ -80,13 +80,20 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = V.SPLIT_SEED) -> DataF
 
     Adds ``draw``, the 0-based draw number. ``n`` is the size of the wanted sample, e.g. a codebook.
     """
-    rows = df.count()
+    ranked = df.withColumn("_rank", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    # Rows by the first four digits of the digest, at most 65,536 counts: up to which of them the n smallest reach.
+    heads = ranked.groupBy(F.substring("_rank", 1, 4).alias("head")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sum(r["n"] for r in heads)
     if rows == 0:
         return df.withColumn("draw", F.lit(0).cast("bigint"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     if rows >= n:
-        top = df.withColumn("_rank", digest).orderBy("_rank", key).limit(n)
-        return assign_ordinal(top, ["_rank", key], name="draw", total=n).drop("_rank")
+        found, last = 0, ""
+        for last, count in sorted((r["head"], r["n"]) for r in heads):
+            found += count
+            if found >= n:
+                break
+        top = ranked.where(F.substring("_rank", 1, 4) <= last)
+        return assign_ordinal(top, ["_rank", key], name="draw").where(F.col("draw") < n).drop("_rank")
     draws = df.sparkSession.range(n).select(
         F.col("id").alias("draw"),
         F.pmod(
@@ -96,7 +103,7 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = V.SPLIT_SEED) -> DataF
             F.lit(rows),
         ).alias("_pick"),
     )
-    numbered = assign_ordinal(df, [key], name="_pick", total=rows)
+    numbered = assign_ordinal(df, [key], name="_pick")
     return draws.join(numbered, "_pick").select(*df.columns, "draw")
 
 
@@ -105,7 +112,7 @@ def check_labels(labels: DataFrame, task: str = "task", label: str = "label", st
 
     Under ``strict`` a task whose labels collide after truncation fails the job.
     """
-    first = F.get(F.split(label, " "), F.lit(0))
+    first = truncate_label(label)
     checked = labels.groupBy(task).agg(
         F.count(F.lit(1)).alias("n_labels"),
         F.sum((F.size(F.split(label, " ")) > 1).cast("bigint")).alias("n_multi_word"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,6 +43,7 @@ def local_session(app: str = "assay", cpus: int | str = "*", memory: str = "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="assay-"))
     )
     for key, value in ENGINE_CONF.items():
         builder = builder.config(key, value)
@@ -53,7 +55,8 @@ def local_session(app: str = "assay", cpus: int | str = "*", memory: str = "8g")
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A machine-local temporary folder stands in only when the session itself is local.
+    Where it is unset, a temporary folder stands in if all executors are threads of this process; any other session
+    must name one.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -62,7 +65,7 @@ def shared_root(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="assay-")
     context.setCheckpointDir(root)
@@ -74,6 +77,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written once to the shared folder and read back: their lineage ends there."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
