@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from assay.functions import fixed_values as V
 from assay.functions.text import as_col, decode_pred, encode_pred
 
-RUN_COLUMNS = ["dataset", "model", "dial"]
-# <dataset>_<run tag>_Results/<run type>_<model>/<dial>_outs.txt
-FLAT_PATH = r"([^/]+)_Results/[^/_]+_([^/]+)/([^/]+)_outs\.txt$"
+RUN_COLUMNS = ["dataset", "m_type", "model", "dial"]
+# <dataset>_<run tag>_Results/<run type>_<model>/<dial>_outs.txt, a file or a folder of files
+FLAT_PATH = r"([^/]+)_Results/([^/_]+)_([^/]+)/([^/]+)_outs\.txt(/[^/]*)?$"
 
 
 def format_line(row_id: Column | str, pred: Column | str, score: Column | str) -> Column:
-    """One log line; a null score is written as ``NA``."""
+    """One log line. A null score is written as ``NA``, a null prediction as the error text; a null id is an error."""
+    no_id = F.raise_error(F.lit("a result line needs an id")).cast("string")
     return F.concat_ws(
         V.FIELD_SEP,
-        as_col(row_id).cast("string"),
-        encode_pred(pred),
+        F.coalesce(as_col(row_id).cast("string"), no_id),
+        encode_pred(F.coalesce(as_col(pred), F.lit(V.ERROR_TEXT))),
         F.coalesce(as_col(score).cast("string"), F.lit(V.MISSING_SCORE)),
     )
 
@@ -61,17 +62,18 @@ def _dataset_of(folder: Column) -> Column:
 
 
 def read_results_log(spark: SparkSession, path: str, mode: str = "strict", layout: str = "partitioned") -> DataFrame:
-    """Read logs with their run columns ``dataset``, ``model``, ``dial``.
+    """Read logs with their run columns ``dataset``, ``m_type``, ``model``, ``dial``.
 
     ``partitioned`` is the layout ``write_results_log`` makes: filters on run columns skip whole folders.
     ``flat`` takes the run columns from ``<dataset>_<tag>_Results/<type>_<model>/<dial>_outs.txt`` paths.
     """
     if layout == "partitioned":
-        lines = spark.read.schema("value string, dataset string, model string, dial string").text(path)
+        schema = ", ".join(f"{c} string" for c in ("value", *RUN_COLUMNS))
+        lines = spark.read.schema(schema).text(path, lineSep="\n")
     elif layout == "flat":
-        folder, model, dial = [F.regexp_extract("_metadata.file_path", FLAT_PATH, i) for i in (1, 2, 3)]
-        lines = spark.read.text(path).select(
-            "value", _dataset_of(folder).alias("dataset"), model.alias("model"), dial.alias("dial")
+        folder, m_type, model, dial = [F.regexp_extract("_metadata.file_path", FLAT_PATH, i) for i in (1, 2, 3, 4)]
+        lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True).select(
+            "value", _dataset_of(folder).alias("dataset"), m_type.alias("m_type"), model.alias("model"), dial.alias("dial")
         )
     else:
         raise ValueError(f"unknown layout {layout!r}")
@@ -81,6 +83,9 @@ def read_results_log(spark: SparkSession, path: str, mode: str = "strict", layou
 
 
 def write_results_log(df: DataFrame, root: str, mode: str = "errorifexists") -> None:
-    """Write ``id``, ``pred``, ``score`` of every run below one root, a folder per dataset, model and dial."""
+    """Write ``id``, ``pred``, ``score`` of every run below one root, a folder per run.
+
+    A run is a dataset, a run type, a model and a dial.
+    """
     lines = df.select(*RUN_COLUMNS, format_line("id", "pred", "score").alias("value"))
-    lines.hint("rebalance", *RUN_COLUMNS).write.mode(mode).partitionBy(*RUN_COLUMNS).text(root)
+    lines.hint("rebalance", *RUN_COLUMNS).write.mode(mode).partitionBy(*RUN_COLUMNS).text(root, lineSep="\n")
