@@ -12,21 +12,15 @@ from assay.session import scratch_path
 from assay.sources.results_log import read_results_log
 from assay.streaming import runs as R
 
-FEED_FILES = 3
+FEED_FILES = 6
 
 
 def feed(spark, sf_dir, label):
-    """The events as a stream of files in time order, read a file per micro-batch at most."""
+    """The events as a stream of files in no order: each file holds events of all times, two come per micro-batch."""
     root = scratch_path(spark, label)
     events = fx.table(spark, sf_dir, "events")
-    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    step = (ends["hi"] - ends["lo"]) / FEED_FILES
-    for i in range(FEED_FILES):
-        part = events if i == 0 else events.where(F.col("ts") >= F.lit(ends["lo"] + i * step))
-        if i < FEED_FILES - 1:
-            part = part.where(F.col("ts") < F.lit(ends["lo"] + (i + 1) * step))
-        part.write.mode("append").parquet(root)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    events.repartition(FEED_FILES, F.xxhash64("event_id")).write.parquet(root)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(root)
 
 
 @query("stream_preference_tally", fx.with_(fx.VOTES_SQL, "SELECT best, count(*) AS votes FROM votes GROUP BY best"))
@@ -73,7 +67,7 @@ def stream_session_steps(spark, sf_dir):
     "stream_results_flush",
     fx.with_(
         fx.VOTES_SQL,
-        """SELECT 'votes' AS dataset, 'model_' || best AS model, 'd' || (session % 3)::VARCHAR AS dial, event_id::VARCHAR AS id, audio_hash AS pred,
+        """SELECT 'votes' AS dataset, 'e2e' AS m_type, 'model_' || best AS model, 'd' || (session % 3)::VARCHAR AS dial, event_id::VARCHAR AS id, audio_hash AS pred,
                   CASE WHEN event_id % 13 = 0 THEN NULL ELSE (event_id % 2)::DOUBLE END AS score FROM votes""",
     ),
 )
@@ -81,6 +75,7 @@ def stream_results_flush(spark, sf_dir):
     votes = fx.votes_of(feed(spark, sf_dir, "feed"))
     results = votes.select(
         F.lit("votes").alias("dataset"),
+        F.lit("e2e").alias("m_type"),
         F.concat(F.lit("model_"), "best").alias("model"),
         F.concat(F.lit("d"), (F.col("session") % 3).cast("string")).alias("dial"),
         F.col("event_id").alias("id"),

@@ -1,85 +1,108 @@
 """Structured Streaming jobs over vote, session and result feeds.
 
-Each query runs what is available, keeps its progress in its own checkpoint, and writes every micro-batch to a
-folder named after the batch id. A batch that is retried after a failure overwrites its own folder only, so
-results hold each input once.
+Each query keeps its progress in its own checkpoint and its state as one snapshot per micro-batch, made from the
+snapshot before and the batch: nothing older is read again, and older snapshots are deleted. A batch that is retried
+after a failure overwrites its own folder only, so results hold each input once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from assay.functions import fixed_values as V
 from assay.functions.text import progress_text
-from assay.operators.sessions import session_steps
+from assay.operators.sessions import STEP_EVENTS, open_candidates, session_steps
+from assay.session import written
 from assay.sources.results_log import RUN_COLUMNS, format_line
 
+AVAILABLE = {"availableNow": True}
 
-def run_available(
-    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+
+def run_batches(
+    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict = AVAILABLE, wait: bool = True
 ) -> StreamingQuery:
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(each)
-        .start()
-    )
-    query.awaitTermination()
+    """Start the query; with the default trigger it ends when all that is available is done, and is waited for."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    query = writer.trigger(**trigger).foreachBatch(each).start()
+    if wait:
+        query.awaitTermination()
     return query
 
 
-def _save(df: DataFrame, root: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/batch={batch}")
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def keep_snapshot(
+    stream: DataFrame,
+    root: str,
+    checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame],
+    merge: Callable[[DataFrame], DataFrame],
+    **how,
+) -> StreamingQuery:
+    """State after batch i, below ``root/batch=i``: ``merge`` of the state after batch i - 1 and ``prepare`` of the batch."""
+
+    def advance(batch_rows: DataFrame, batch: int) -> None:
+        spark, state = batch_rows.sparkSession, prepare(batch_rows)
+        if batch:
+            state = state.unionByName(spark.read.schema(state.schema).parquet(f"{root}/batch={batch - 1}"))
+        merge(state).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+        if batch > 1:
+            _delete(spark, f"{root}/batch={batch - 2}")
 
+    return run_batches(stream, advance, checkpoint, **how)
 
-def stream_tally(stream: DataFrame, root: str, checkpoint: str, best: str = "best") -> DataFrame:
-    """Running votes per model. Counts only grow, so the largest stored count of a model is its latest."""
-    counts = stream.groupBy(best).agg(F.count(F.lit(1)).alias("votes"))
-    run_available(counts, lambda df, batch: _save(df, root, batch), checkpoint, "update")
-    return stream.sparkSession.read.parquet(root).groupBy(best).agg(F.max("votes").alias("votes"))
 
+def last_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The newest state; only that folder is read."""
+    saved = spark.read.parquet(root)
+    newest = saved.agg(F.max("batch")).first()[0]
+    return saved.where(F.col("batch") == newest).drop("batch")
 
-def stream_counter(
-    stream: DataFrame, root: str, checkpoint: str, goal: int = V.VOTE_GOAL, session: str = "session"
-) -> DataFrame:
-    """Votes per session with completion; only sessions touched by a batch are written for it."""
-    counts = stream.groupBy(session).agg(F.count(F.lit(1)).alias("n_votes"))
-    run_available(counts, lambda df, batch: _save(df, root, batch), checkpoint, "update")
-    latest = stream.sparkSession.read.parquet(root).groupBy(session).agg(F.max("n_votes").alias("n_votes"))
-    return latest.withColumns(
-        {"completed": F.col("n_votes") >= goal, "progress": progress_text("n_votes", goal)}
-    )
 
+def stream_tally(stream: DataFrame, root: str, checkpoint: str, best: str = "best", **how) -> DataFrame:
+    """Running votes per model."""
+    counts = lambda df: df.groupBy(best).agg(F.count(F.lit(1)).alias("votes"))
+    merged = lambda df: df.groupBy(best).agg(F.sum("votes").alias("votes"))
+    keep_snapshot(stream, root, checkpoint, counts, merged, **how)
+    return last_snapshot(stream.sparkSession, root)
 
-def stream_session_steps(stream: DataFrame, root: str, checkpoint: str) -> DataFrame:
-    """Step of every session after all events so far (``session``, ``kind``, ``pos``).
 
-    The step a session holds is the largest one stored by earlier batches; each batch moves on from there.
+def stream_counter(stream: DataFrame, root: str, checkpoint: str, goal: int = V.VOTE_GOAL, session: str = "session", **how) -> DataFrame:
+    """Votes per session with completion."""
+    counts = lambda df: df.groupBy(session).agg(F.count(F.lit(1)).alias("n_votes"))
+    merged = lambda df: df.groupBy(session).agg(F.sum("n_votes").alias("n_votes"))
+    keep_snapshot(stream, root, checkpoint, counts, merged, **how)
+    latest = last_snapshot(stream.sparkSession, root)
+    return latest.withColumns({"completed": F.col("n_votes") >= goal, "progress": progress_text("n_votes", goal)})
+
+
+def stream_session_steps(stream: DataFrame, root: str, checkpoint: str, **how) -> DataFrame:
+    """Step of every session after all events so far (``session``, ``kind``, ``pos``), in whatever order they came.
+
+    The state holds the events that are, or may yet become, milestones, and a row for each session seen.
     """
-    spark = stream.sparkSession
-    stored = "session " + stream.schema["session"].dataType.simpleString() + ", step int, batch int"
 
-    def advance(events: DataFrame, batch: int) -> None:
-        session = events.sparkSession
-        events = events.persist()
-        earlier = None
-        if batch > 0:
-            history = session.read.schema(stored).parquet(root).where(F.col("batch") < batch)
-            earlier = history.groupBy("session").agg(F.max("step").alias("step"))
-        _save(session_steps(events, earlier).select("session", "step"), root, batch)
-        events.unpersist()
+    def prepare(events: DataFrame) -> DataFrame:
+        named = events.select("session", "kind", "pos").where(F.col("kind").isin(STEP_EVENTS))
+        seen = events.select("session").distinct()
+        return named.unionByName(seen.select("session", F.lit(None).cast("string").alias("kind"), F.lit(None).cast(events.schema["pos"].dataType).alias("pos")))
+
+    def merge(candidates: DataFrame) -> DataFrame:
+        return open_candidates(candidates, written(session_steps(candidates), "steps"))
 
-    run_available(stream, advance, checkpoint)
-    return spark.read.schema(stored).parquet(root).groupBy("session").agg(F.max("step").alias("step"))
+    keep_snapshot(stream, root, checkpoint, prepare, merge, **how)
+    return session_steps(last_snapshot(stream.sparkSession, root)).select("session", "step")
 
 
-def stream_results(stream: DataFrame, root: str, checkpoint: str) -> None:
-    """Append result lines as they come, below ``root/dataset=/model=/dial=/batch=``."""
+def stream_results(stream: DataFrame, root: str, checkpoint: str, **how) -> None:
+    """Append result lines as they come, below ``root/dataset=/m_type=/model=/dial=/batch=``."""
     keys = [*RUN_COLUMNS, "batch"]
 
     def flush(df: DataFrame, batch: int) -> None:
@@ -87,8 +110,9 @@ def stream_results(stream: DataFrame, root: str, checkpoint: str) -> None:
         (
             lines.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("lineSep", "\n")
             .partitionBy(*keys)
             .text(root)
         )
 
-    run_available(stream, flush, checkpoint)
+    run_batches(stream, flush, checkpoint, **how)
