@@ -2,7 +2,7 @@
 
 Sides that can grow carry no broadcast hint: Spark broadcasts a side whose size is known to be below
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merges, splitting skewed partitions at run time.
-Derived dimension tables, whose size the planner cannot know, are counted before they get a hint.
+No side gets a hint: at run time the real size of a derived dimension table decides.
 """
 
 from __future__ import annotations
@@ -13,15 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import fixed_values as V
-from assay.session import local_rows
-
-
-SMALL_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast if the table has at most ``rows`` rows; leave the join to the planner otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+from assay.session import local_rows, written
 
 
 def keep_keys(df: DataFrame, key: str, allow: DataFrame) -> DataFrame:
@@ -30,17 +22,19 @@ def keep_keys(df: DataFrame, key: str, allow: DataFrame) -> DataFrame:
 
 
 def attach_existing(df: DataFrame, key: str, manifest: DataFrame, name: str = "name", path: str = "path") -> DataFrame:
-    """Attach the listed path to each row, null where the name is not listed. Every row stays, once."""
+    """Attach the listed path to each row, null where the name is not listed. Every row stays, once.
+
+    The listing is written before the join: both sides are then shuffled for the join alone, so that a name which many
+    rows share is split among tasks.
+    """
     listed = manifest.groupBy(F.col(name).alias(key)).agg(F.min(path).alias(path))
-    return df.join(listed, key, "left")
+    return df.join(written(listed, "listing"), key, "left")
 
 
 def match_rate(df: DataFrame, path: str = "path") -> DataFrame:
     return df.agg(F.count(path).alias("n_found"), F.count(F.lit(1)).alias("n_rows"))
 
 
-
-
 def assemble_folds(
     folds: DataFrame, labels: DataFrame, texts: DataFrame, key: str = "file_id", strict: bool = True
 ) -> DataFrame:
@@ -64,7 +58,8 @@ def assemble_folds(
 def align(log: DataFrame, examples: DataFrame, by: Sequence[str] = (), strict: bool = True) -> DataFrame:
     """Pair the i-th log line with the i-th example of its run.
 
-    Both sides carry ``ordinal``; the log also carries ``stored``, the index written in the line. Log lines
+    Both sides carry ``ordinal``; the log also carries ``stored``, the index written in the line, by which its lines
+    are numbered: a gap or a repeated index shows, the order of the lines in their file is not looked at. Log lines
     beyond the last example are ignored. Under ``strict`` a missing line or a stored index that differs from the
     position fails the job; otherwise the pair is kept with ``aligned = false``.
     """
@@ -125,7 +120,7 @@ def run_matrix(runs: DataFrame, dials: DataFrame, examples: DataFrame | None = N
     matrix = runs.join(dials, "dataset")
     if examples is None:
         return matrix
-    return examples.join(broadcast_if_small(matrix), ["dataset", "dial"])
+    return examples.join(matrix, ["dataset", "dial"])
 
 
 def unpivot_dialects(df: DataFrame, ids: Sequence[str], dials: Sequence[str]) -> DataFrame:

@@ -23,8 +23,8 @@ from assay.operators.vectors import (
     codebook_blocks,
     dimension,
     mean_vectors,
-    nearest,
     settle,
+    with_nearest,
 )
 
 
@@ -40,65 +40,92 @@ def predict(df: DataFrame, predictor: Predictor) -> DataFrame:
     return out.withColumn("pred", F.when(F.col("error").isNull(), F.col("pred")).otherwise(F.lit(V.ERROR_TEXT)))
 
 
+def _in_calls(inputs: list, call: Callable[[list], list], size: int) -> Iterator[tuple[object, str | None]]:
+    """Output and error of every input. A call that fails is repeated input by input, so a bad one costs only itself."""
+    for low in range(0, len(inputs), size):
+        part = inputs[low : low + size]
+        try:
+            outputs = list(call(part))
+            if len(outputs) != len(part):
+                raise ValueError(f"{len(outputs)} outputs for {len(part)} inputs")
+            yield from ((o, None) for o in outputs)
+        except Exception as problem:  # noqa: BLE001 - the contract is to keep going
+            if len(part) == 1:
+                yield None, f"{type(problem).__name__}: {problem}"
+            else:
+                yield from _in_calls(part, call, 1)
+
+
 @dataclass
 class BatchPredictor:
-    """An external model behind ``load() -> model`` and ``model(row dict) -> text``.
+    """An external model behind ``load() -> model`` and ``model(list of row dicts) -> list of texts``.
 
-    The model is loaded once per task, rows arrive in Arrow batches, and a row that raises keeps its id and gets
-    an error instead of failing the job.
+    The model is loaded once per task and called with ``size`` rows at a time, which hold ``columns`` only; no other
+    column leaves the JVM. A row that fails keeps its id and gets an error instead of failing the job.
     """
 
-    load: Callable[[], Callable[[dict], str]]
+    load: Callable[[], Callable[[list[dict]], list[str]]]
+    columns: Sequence[str]
+    size: int = 16
 
     def apply(self, df: DataFrame) -> DataFrame:
-        load = self.load
+        load, size = self.load, self.size
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = load()
             for batch in batches:
-                preds, errors = [], []
-                for row in batch.to_dict("records"):
-                    try:
-                        preds.append(str(model(row)))
-                        errors.append(None)
-                    except Exception as problem:  # noqa: BLE001 - the contract is to keep going
-                        preds.append(None)
-                        errors.append(f"{type(problem).__name__}: {problem}")
-                yield batch.assign(pred=preds, error=errors)
+                found = list(_in_calls(batch.to_dict("records"), model, size))
+                preds = [None if error else str(out) for out, error in found]
+                yield pd.DataFrame({"pred": pd.Series(preds, dtype=object), "error": pd.Series([e for _, e in found], dtype=object)})
 
-        schema = T.StructType([*df.schema.fields, T.StructField("pred", T.StringType()), T.StructField("error", T.StringType())])
-        return df.mapInPandas(run, schema)
+        called = F.pandas_udf(_annotated(run), "pred string, error string").asNondeterministic()(F.struct(*self.columns))
+        return df.withColumn("_called", called).select(*df.columns, "_called.pred", "_called.error")
 
 
 @dataclass
 class BatchScorer:
-    """An external answer scorer behind ``load() -> scorer`` and ``scorer(reference, prediction, question) -> number``.
+    """An external answer scorer behind ``load() -> scorer`` and
+    ``scorer(list of (reference, prediction, question)) -> list of numbers``.
 
-    Each row gets the best score over its references; one without references or with a failing scorer gets null.
+    Each row gets the best score over its references; one without references or with a failing scorer gets null. Only
+    the three columns leave the JVM.
     """
 
-    load: Callable[[], Callable[[str, str, str], float]]
+    load: Callable[[], Callable[[list[tuple[str, str, str]]], list[float]]]
     references: str = "answers"
     prediction: str = "pred"
     question: str = "question"
+    size: int = 64
 
     def apply(self, df: DataFrame, out: str = "score") -> DataFrame:
-        load, refs, pred, question = self.load, self.references, self.prediction, self.question
+        load, size = self.load, self.size
+        refs, pred, question = self.references, self.prediction, self.question
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             scorer = load()
+            for batch in batches:
+                rows = [[] if r is None else list(r) for r in batch[refs]]
+                triples = [(ref, p, q) for r, p, q in zip(rows, batch[pred], batch[question]) for ref in r]
+                found = iter(list(_in_calls(triples, scorer, size)))
+                scores = []
+                for r in rows:
+                    mine = [next(found) for _ in r]
+                    fine = mine and all(error is None for _, error in mine)
+                    scores.append(float(max(score for score, _ in mine)) if fine else None)
+                yield pd.Series(scores, dtype="Float64")
 
-            def best(row: dict) -> float | None:
-                try:
-                    return float(max(scorer(ref, row[pred], row[question]) for ref in row[refs]))
-                except Exception:  # noqa: BLE001 - a failed row has no score
-                    return None
+        called = F.pandas_udf(_annotated(run, series=True), "double").asNondeterministic()(F.struct(refs, pred, question))
+        return df.withColumn(out, called)
 
-            for batch in batches:
-                scores = pd.array([best(row) for row in batch.to_dict("records")], dtype="Float64")
-                yield batch.assign(**{out: scores})
 
-        return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+def _annotated(run, series: bool = False):
+    """Type hints by which Spark knows an iterator function over frames; a nested function's own are not resolved.
+
+    The functions made of it are declared non-deterministic, or Spark would call the model once for each field that is
+    read of its result.
+    """
+    run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series if series else pd.DataFrame]}
+    return run
 
 
 @dataclass
@@ -133,10 +160,9 @@ class CentroidPredictor:
         return CentroidPredictor(numbered.select(F.col("code").cast("int").alias("code"), "label", "vector"), vector)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        blocks = list(codebook_blocks(self.centroids, "code", "vector", BLOCK_BYTES))
-        best = nearest(self.vector, blocks)
+        best = with_nearest(df, self.centroids, self.vector)
         names = self.centroids.select(F.col("code").alias("_code"), F.col("label").cast("string").alias("pred"))
-        out = df.withColumn("_code", best["code"]).join(names, "_code", "left").drop("_code")
+        out = best.withColumn("_code", F.col("_best.code")).join(names, "_code", "left").drop("_code", "_best")
         return out.withColumn("error", F.when(F.col("pred").isNull(), F.lit("no vector")))
 
     def scores(self, df: DataFrame, out: str = "scores") -> DataFrame:

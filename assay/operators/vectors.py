@@ -2,7 +2,7 @@
 
 Distances are matrix products on Arrow batches inside the tasks; Spark partitions the vectors, partially
 aggregates the per-code sums and shuffles only one row per code and task. A codebook is sent to the tasks in
-blocks of checked size, so its row count is not limited by one broadcast.
+blocks of checked size, one after the other: driver and tasks never hold more than one of them.
 """
 
 from __future__ import annotations
@@ -20,21 +20,35 @@ from pyspark.sql import types as T
 from assay.functions import fixed_values as V
 from assay.functions.arrays import doubles, l2_normalize, standardize
 from assay.functions.text import as_col
-from assay.operators.joins import broadcast_if_small
-from assay.operators.ordinals import ROWS_PER_BUCKET, assign_ordinal
+from assay.operators.ordinals import assign_ordinal
 from assay.operators.prepare import sample_n
-from assay.session import ensure_checkpoint_dir, local_rows
+from assay.session import ensure_checkpoint_dir, local_rows, written
 
 BLOCK_BYTES = 64 * 1024 * 1024
+# Bytes of one matrix of distances; rows of a batch are cut to fit.
+DISTANCE_BYTES = 16 * 1024 * 1024
 BEST = T.StructType([T.StructField("dist", T.DoubleType()), T.StructField("code", T.IntegerType())])
 
 
-def as_matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of an Arrow list column as a 2-d array, and which rows are null (left out of the array)."""
+def as_matrix(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Usable rows of an Arrow list column as a 2-d array, and which rows those are.
+
+    A row that is null or holds a null or NaN is left out. Rows of different lengths, or not of ``width`` entries,
+    raise an error.
+    """
     valid = vectors.is_valid().to_numpy(zero_copy_only=False)
-    flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = int(valid.sum())
-    return (flat.reshape(rows, -1) if rows else np.zeros((0, 0))), valid
+    present = vectors.drop_null()
+    flat = present.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if not len(present):
+        return np.zeros((0, width or 0)), valid
+    lengths = np.unique(present.value_lengths().to_numpy())
+    if len(lengths) > 1 or width is not None and lengths[0] != width:
+        raise ValueError(f"vectors of {', '.join(map(str, lengths))} entries" + (f" against {width}" if width is not None else ""))
+    matrix = flat.reshape(len(present), -1)
+    whole = ~np.isnan(matrix).any(axis=1)
+    valid = valid.copy()
+    valid[valid] = whole
+    return matrix[whole], valid
 
 
 def codebook_blocks(codebook: DataFrame, code: str, vector: str, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -64,17 +78,27 @@ def distances(z: np.ndarray, book: np.ndarray, cosine: bool) -> np.ndarray:
     return (z * z).sum(axis=1)[:, None] + (book * book).sum(axis=1)[None, :] - 2.0 * products
 
 
+def closest(z: np.ndarray, book: np.ndarray, cosine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row of ``book`` nearest to each row of ``z`` and its distance; the first wins ties."""
+    best, dist = np.zeros(len(z), dtype=np.int64), np.zeros(len(z))
+    step = max(1, DISTANCE_BYTES // (8 * len(book)))
+    for low in range(0, len(z), step):
+        d = distances(z[low : low + step], book, cosine)
+        best[low : low + step] = d.argmin(axis=1)
+        dist[low : low + step] = d[np.arange(len(d)), best[low : low + step]]
+    return best, dist
+
+
 def _closest(codes: np.ndarray, book: np.ndarray, cosine: bool, normalize: bool):
     """Arrow function: nearest code of one block; the lowest code wins ties."""
 
     def score(vectors: pa.Array) -> pa.Array:
-        z, valid = as_matrix(vectors)
+        z, valid = as_matrix(vectors, book.shape[1])
         dist = np.full(len(valid), np.nan)
         code = np.zeros(len(valid), dtype=np.int32)
         if z.shape[0]:
-            d = distances(unit_rows(z) if normalize else z, book, cosine)
-            best = d.argmin(axis=1)
-            dist[valid], code[valid] = d[np.arange(len(best)), best], codes[best]
+            best, dist[valid] = closest(unit_rows(z) if normalize else z, book, cosine)
+            code[valid] = codes[best]
         parts = [pa.array(dist, pa.float64()), pa.array(code, pa.int32())]
         return pa.StructArray.from_arrays(parts, names=["dist", "code"], mask=pa.array(~valid))
 
@@ -87,10 +111,10 @@ def _partial_means(codes: np.ndarray, book: np.ndarray, cosine: bool, normalize:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros(book.shape), np.zeros(len(book), dtype=np.int64)
         for batch in batches:
-            z, _ = as_matrix(batch.column(0))
+            z, _ = as_matrix(batch.column(0), book.shape[1])
             if z.shape[0]:
                 z = unit_rows(z) if normalize else z
-                best = distances(z, book, cosine).argmin(axis=1)
+                best, _ = closest(z, book, cosine)
                 np.add.at(sums, best, z)
                 counts += np.bincount(best, minlength=len(book))
         used = np.flatnonzero(counts)
@@ -102,19 +126,33 @@ def _partial_means(codes: np.ndarray, book: np.ndarray, cosine: bool, normalize:
     return run
 
 
-def nearest(
-    vector: Column | str,
-    blocks: Sequence[tuple[np.ndarray, np.ndarray]],
+def with_nearest(
+    df: DataFrame,
+    codebook: DataFrame,
+    vector: str,
+    code: str = "code",
+    code_vector: str = "vector",
     normalize: bool = True,
     cosine: bool = False,
-) -> Column:
-    """Smallest (distance, code) of a vector over all codebook blocks.
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Add ``_best``, the smallest (distance, code) of each vector over all blocks of the codebook.
 
-    Give it a stored column: Spark 4.1 may fail to plan a Python function whose input holds a lambda expression,
-    which is also why normalising happens inside the function.
+    A block is collected, compared and forgotten before the next: the best so far is written to the shared folder in
+    between. ``vector`` is a stored column: Spark 4.1 may fail to plan a Python function whose input holds a lambda
+    expression, which is also why normalising happens inside the function.
     """
-    best = [_closest(codes, book, cosine, normalize)(as_col(vector)) for codes, book in blocks]
-    return best[0] if len(best) == 1 else F.least(*best)
+    out = None
+    for codes, book in codebook_blocks(codebook, code, code_vector, block_bytes):
+        here = _closest(codes, book, cosine, normalize)(as_col(vector))
+        if out is None:
+            out = df.withColumn("_best", here)
+        else:
+            out = written(out, "nearest").withColumn("_here", here)
+            out = out.withColumn("_best", F.least("_best", "_here")).drop("_here")
+    if out is None:
+        raise ValueError("empty codebook")
+    return out
 
 
 def assign_codes(
@@ -130,12 +168,10 @@ def assign_codes(
 ) -> DataFrame:
     """Add the nearest code and its squared distance, one row out per row in.
 
-    Vectors are L2-normalised first unless ``normalize`` is false. A null vector gets a null code.
+    Vectors are L2-normalised first unless ``normalize`` is false. A vector that is null or holds a null or NaN gets a
+    null code; one of another length than the codebook's is an error.
     """
-    blocks = list(codebook_blocks(codebook, code, code_vector, block_bytes))
-    if not blocks:
-        raise ValueError("empty codebook")
-    out = df.withColumn("_best", nearest(vector, blocks, normalize, cosine))
+    out = with_nearest(df, codebook, vector, code, code_vector, normalize, cosine, block_bytes)
     out = out.select(*df.columns, F.col("_best.code").alias("code"), F.col("_best.dist").alias("dist"))
     if with_codeword:
         book = codebook.select(F.col(code).alias("code"), F.col(code_vector).alias("codeword"))
@@ -162,17 +198,22 @@ def code_means(
     With a codebook of one block, each task assigns and sums its vectors in one pass and emits a row per code.
     A larger codebook is assigned block by block and averaged by Spark's aggregation.
     """
-    blocks = list(codebook_blocks(codebook, "code", "vector", block_bytes))
     rows = df.where(F.col(vector).isNotNull()).select(vector)
-    if len(blocks) == 1:
-        step = _partial_means(*blocks[0], cosine, normalize)
+    if book_bytes(codebook, "vector") <= block_bytes:
+        step = _partial_means(*next(codebook_blocks(codebook, "code", "vector", block_bytes)), cosine, normalize)
         partial = rows.mapInArrow(step, "code int, mean array<double>, n bigint")
         mean = Summarizer.mean(array_to_vector("mean"), F.col("n").cast("double"))
         return partial.groupBy("code").agg(vector_to_array(mean).alias("vector"), F.sum("n").alias("n"))
-    assigned = rows.withColumn("code", nearest(vector, blocks, normalize, cosine)["code"])
+    assigned = with_nearest(rows, codebook, vector, normalize=normalize, cosine=cosine, block_bytes=block_bytes)
+    assigned = assigned.where(F.col("_best").isNotNull()).withColumn("code", F.col("_best.code"))
     return mean_vectors(assigned, "code", l2_normalize(vector) if normalize else doubles(vector))
 
 
+def book_bytes(codebook: DataFrame, vector: str) -> int:
+    shape = codebook.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
+    return 8 * shape["n"] * (shape["d"] or 0)
+
+
 def dimension(df: DataFrame, vector: str) -> int:
     first = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
     return max(1, first[0]) if first else 1
@@ -208,17 +249,19 @@ def kmeans(
     seed: int = V.SPLIT_SEED,
     key: str = "vec_id",
     vector: str = "embedding",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Lloyd's rounds from sampled means: ``code``, ``vector``, ``n`` of the last assignment.
 
     With ``cosine`` the nearest mean is the one with the largest dot product, and means are re-normalised. An
     empty cluster keeps its mean. Every round is one pass over the vectors that shuffles ``k`` rows per task.
     """
-    points = df.where(F.col(vector).isNotNull()).select(key, vector)
+    # Read and projected once for all rounds; what memory can't hold goes to disk.
+    points = df.where(F.col(vector).isNotNull()).select(key, vector).persist()
     dim = dimension(points, vector)
     means = initial_means(points, key, vector, k, seed).withColumn("n", F.lit(0).cast("bigint"))
     for _ in range(iters):
-        fresh = code_means(points, means, vector, False, cosine)
+        fresh = code_means(points, means, vector, False, cosine, block_bytes)
         moved = l2_normalize("f.vector") if cosine else F.col("f.vector")
         means = settle(
             means.alias("m")
@@ -230,7 +273,9 @@ def kmeans(
             ),
             dim,
             k,
+            block_bytes,
         )
+    points.unpersist()
     return means
 
 
@@ -247,7 +292,7 @@ def ema(
     order: Sequence[str],
     value: str,
     decay: float = V.EMA_DECAY,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    ranges: int | None = None,
 ) -> DataFrame:
     """``m = m * decay + new * (1 - decay)`` per key in batch order from 0, as one weighted sum.
 
@@ -255,7 +300,7 @@ def ema(
     and partial sums merge: a key with most of the rows is not collected anywhere.
     """
     steps = assign_ordinal(
-        df.select(key, *order, value), order, by=[key], name="_after", rows_per_bucket=rows_per_bucket, descending=True
+        df.select(key, *order, value), order, by=[key], name="_after", ranges=ranges, descending=True
     )
     weight = F.pow(F.lit(decay), F.col("_after").cast("double"))
     return steps.groupBy(key).agg(
@@ -277,18 +322,17 @@ def fit_standardize(df: DataFrame, arr: str, ids: Sequence[str] = ()) -> DataFra
 
 def standardize_by_group(df: DataFrame, arr: str, ids: Sequence[str], out: str = "standardized") -> DataFrame:
     """Standardise every array by the fitted mean and deviation of its group."""
-    fit = fit_standardize(df, arr, ids)
-    return df.join(broadcast_if_small(fit), list(ids)).withColumn(out, standardize(arr, F.col("mean"), F.col("std")))
+    return df.join(fit_standardize(df, arr, ids), list(ids)).withColumn(out, standardize(arr, F.col("mean"), F.col("std")))
 
 
 def update_codebook(
-    codebook: DataFrame, df: DataFrame, vector: str = "embedding", decay: float = V.EMA_DECAY
+    codebook: DataFrame, df: DataFrame, vector: str = "embedding", decay: float = V.EMA_DECAY, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """One refresh: normalised mean of each code's vectors, averaged into the old vector, normalised again.
 
     A code without vectors takes part with its old vector. Returns ``code``, ``vector``, ``n``.
     """
-    fresh = code_means(df, codebook, vector, True)
+    fresh = code_means(df, codebook, vector, True, block_bytes=block_bytes)
     both = codebook.select("code", doubles("vector").alias("old")).join(fresh, "code", "left")
     target = F.coalesce(l2_normalize("vector"), F.col("old"))
     mixed = F.zip_with("old", target, lambda o, t: o * F.lit(decay) + t * F.lit(1.0 - decay))

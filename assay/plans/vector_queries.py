@@ -145,13 +145,24 @@ def codebook(spark, sf_dir, k=16):
     return O.initial_means(vectors(spark, sf_dir), "vec_id", "embedding", k)
 
 
+CODED_SQL = f"""SELECT vec_id, code::INT AS code, {rounded('dist')} AS dist, unnest(range(len(vector)))::INT AS pos, round(unnest(vector), 6) + 0.0 AS value
+  FROM assigned"""
+
+
 @query(
     "nearest_codeword",
-    fx.with_(NEAREST_SQL, f"SELECT vec_id, code::INT AS code, {rounded('dist')} AS dist, {rounded('vector[1]')} AS first FROM assigned"),
+    fx.with_(NEAREST_SQL, CODED_SQL),
 )
 def nearest_codeword(spark, sf_dir):
     coded = O.assign_codes(vectors(spark, sf_dir), codebook(spark, sf_dir), with_codeword=True)
-    return coded.select("vec_id", "code", F.round("dist", 6).alias("dist"), F.round(F.get("codeword", F.lit(0)), 6).alias("first"))
+    return cells(coded.withColumn("dist", F.round("dist", 6)), "codeword", ("vec_id", "code", "dist"))
+
+
+@query("nearest_codeword_blocks", fx.with_(NEAREST_SQL, CODED_SQL))
+def nearest_codeword_blocks(spark, sf_dir):
+    """The same with five codes in a block, so that the best of several blocks is kept."""
+    coded = O.assign_codes(vectors(spark, sf_dir), codebook(spark, sf_dir), with_codeword=True, block_bytes=5 * 64 * 8)
+    return cells(coded.withColumn("dist", F.round("dist", 6)), "codeword", ("vec_id", "code", "dist"))
 
 
 def kmeans_sql(k: int, iters: int, cosine: bool) -> str:
@@ -180,6 +191,13 @@ def kmeans(spark, sf_dir):
     return cells(means, "vector", ("code", "n"))
 
 
+@query("kmeans_blocks", kmeans_sql(8, 2, False))
+def kmeans_blocks(spark, sf_dir):
+    """Two rounds with three means in a block."""
+    means = O.kmeans(vectors(spark, sf_dir), 8, iters=2, block_bytes=3 * 64 * 8)
+    return cells(means, "vector", ("code", "n"))
+
+
 @query("kmeans_cosine", kmeans_sql(8, 3, True))
 def kmeans_cosine(spark, sf_dir):
     means = O.kmeans(vectors(spark, sf_dir), 8, iters=3, cosine=True)
