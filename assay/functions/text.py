@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from assay.functions import fixed_values as V
 
@@ -123,13 +120,6 @@ def fingerprint(content: Column | str) -> Column:
     return F.substring(F.md5(as_col(content).cast("binary")), 1, 8)
 
 
-@F.arrow_udf(T.StringType())
-def xxh32_fingerprint(content: pa.Array) -> pa.Array:
-    """8 hex digits of xxh32 with seed 0 over the raw bytes; Spark has only the 64-bit variant."""
-    raw = content.cast(pa.binary())
-    return pa.array([None if v is None else xxhash.xxh32_hexdigest(v) for v in raw.to_pylist()], pa.string())
-
-
 def progress_text(votes: Column | str, goal: int = V.VOTE_GOAL, code: str = V.COMPLETION_CODE) -> Column:
     votes = as_col(votes)
     running = F.format_string(V.PROGRESS_TEXT.replace("{}", "%s"), votes.cast("string"), F.lit(str(goal)))

@@ -1,7 +1,8 @@
 """BLEU and token-overlap scores as Column expressions.
 
 Each score needs one text pair only, so it is computed inside the row: no explode and no shuffle.
-Multisets are compared by hash set first and by one merge of their sorted repeats after that.
+Tokens and n-grams are compared as 64-bit hashes, multisets by hash set, and by one merge of their sorted repeats only
+where both sides have repeats.
 """
 
 from __future__ import annotations
@@ -65,19 +66,29 @@ def bleu_tokens(text: Column | str, base_code: str = "en") -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two string arrays.
+    """Size of the multiset intersection of two arrays.
 
-    Common distinct entries count once each, by a hash set; what is left is the overlap of the repeats, the
-    entries of either sorted array that equal the one before them.
+    Common distinct entries count once each, by a hash set. Without repeats on either side that is all; else the overlap
+    of the repeats, the entries of either sorted array that equal the one before them, is added.
     """
     def repeats(s: Column) -> Column:
         return F.filter(s, lambda t, i: t == F.get(s, i - 1))
 
+    def of_repeats(pair: Column) -> Column:
+        sorted_ = F.struct(F.sort_array(pair["a"]).alias("a"), F.sort_array(pair["b"]).alias("b"))
+        return let(let(sorted_, lambda s: F.struct(repeats(s["a"]).alias("a"), repeats(s["b"]).alias("b"))), _merge_overlap)
+
     def count(pair: Column) -> Column:
         common = F.size(F.array_intersect(pair["a"], pair["b"]))
-        return common + let(F.struct(repeats(pair["a"]).alias("a"), repeats(pair["b"]).alias("b")), _merge_overlap)
+        plain = [F.size(F.array_distinct(pair[k])) == F.size(pair[k]) for k in ("a", "b")]
+        return common + F.when(plain[1] | plain[0], F.lit(0)).otherwise(of_repeats(pair))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), count)
 
-    return let(F.struct(F.sort_array(a).alias("a"), F.sort_array(b).alias("b")), count)
+
+def hashed(tokens: Column) -> Column:
+    """Tokens as 64-bit hashes, which compare and sort as numbers."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 def _merge_overlap(pair: Column) -> Column:
@@ -98,11 +109,9 @@ def _merge_overlap(pair: Column) -> Column:
 
 
 def longer_grams(grams: Column, tokens: Column, order: int) -> Column:
-    """n-grams of one order from those of the order below, by appending one token each."""
+    """Hashes of the n-grams of one order from those of the order below, by taking in one token each."""
     left = F.greatest(F.size(tokens) - (order - 1), F.lit(0))
-    return F.zip_with(
-        F.slice(grams, 1, left), F.slice(tokens, order, left), lambda g, t: F.concat(g, F.lit(" "), t)
-    )
+    return F.zip_with(F.slice(grams, 1, left), F.slice(tokens, order, left), lambda g, t: F.xxhash64(g, t))
 
 
 def bleu_from_counts(hits: Column, hyp_len: Column, ref_len: Column) -> Column:
@@ -129,19 +138,21 @@ def bleu_from_counts(hits: Column, hyp_len: Column, ref_len: Column) -> Column:
 
 
 def clipped_matches(hyp_tokens: Column, ref_tokens: Column) -> Column:
-    """Clipped n-gram matches of two token arrays, an entry per order."""
+    """Clipped n-gram matches of two token arrays, an entry per order. An order without a match ends the search."""
 
     def from_order(pair: Column, tokens: Column, order: int) -> Column:
-        here = F.array(multiset_overlap(pair["h"], pair["r"]))
+        here = multiset_overlap(pair["h"], pair["r"])
         if order == MAX_ORDER:
-            return here
+            return F.array(here)
         longer = F.struct(
             longer_grams(pair["h"], tokens["h"], order + 1).alias("h"),
             longer_grams(pair["r"], tokens["r"], order + 1).alias("r"),
         )
-        return F.concat(here, let(longer, lambda p: from_order(p, tokens, order + 1)))
+        none = F.array_repeat(F.lit(0), MAX_ORDER - order + 1)
+        further = let(longer, lambda p: from_order(p, tokens, order + 1))
+        return let(here, lambda c: F.when(c == 0, none).otherwise(F.concat(F.array(c), further)))
 
-    return let(F.struct(hyp_tokens.alias("h"), ref_tokens.alias("r")), lambda p: from_order(p, p, 1))
+    return let(F.struct(hashed(hyp_tokens).alias("h"), hashed(ref_tokens).alias("r")), lambda p: from_order(p, p, 1))
 
 
 def bleu_of_tokens(hyp_tokens: Column, ref_tokens: Column) -> Column:
@@ -178,7 +189,7 @@ def answer_tokens(text: Column | str) -> Column:
 
 def f1_of_tokens(a: Column, b: Column) -> Column:
     sizes = F.size(a) + F.size(b)
-    return F.when(sizes == 0, F.lit(1.0)).otherwise(F.lit(2.0) * multiset_overlap(a, b) / F.nullif(sizes, F.lit(0)))
+    return F.when(sizes == 0, F.lit(1.0)).otherwise(F.lit(2.0) * multiset_overlap(hashed(a), hashed(b)) / F.nullif(sizes, F.lit(0)))
 
 
 def token_f1(hyp: Column | str, ref: Column | str) -> Column:

@@ -36,17 +36,29 @@ def score_table(df: DataFrame, dials: Sequence[str], row: str = "model", dial: s
     return df.groupBy(row).pivot(dial, list(dials)).agg(F.avg(score))
 
 
-def confusion(df: DataFrame, by: Sequence[str] = (), truth: str = "truth", pred: str = "pred") -> DataFrame:
+def _known(df: DataFrame, pred: str, strict: bool) -> DataFrame:
+    """Under ``strict`` a null prediction, which no label map knows, fails the job."""
+    if not strict:
+        return df
+    unknown = F.raise_error(F.lit("a prediction is not in the label map")).cast(df.schema[pred].dataType)
+    return df.withColumn(pred, F.coalesce(F.col(pred), unknown))
+
+
+def confusion(df: DataFrame, by: Sequence[str] = (), truth: str = "truth", pred: str = "pred", strict: bool = False) -> DataFrame:
+    """Rows of each truth and prediction; null predictions are a column of their own, or an error under ``strict``."""
+    df = _known(df, pred, strict)
     return df.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def f1_binary(
-    df: DataFrame, positive: object, by: Sequence[str] = (), truth: str = "truth", pred: str = "pred"
+    df: DataFrame, positive: object, by: Sequence[str] = (), truth: str = "truth", pred: str = "pred", strict: bool = False
 ) -> DataFrame:
     """F1 of the positive label from ``truth`` and mapped ``pred`` values.
 
-    A null prediction (failed or unmapped row) is wrong and not positive; ``n_error`` counts such rows.
+    A null prediction (failed or unmapped row) is wrong and not positive; ``n_error`` counts such rows. ``strict``
+    makes it an error.
     """
+    df = _known(df, pred, strict)
     is_pos = F.col(truth) == F.lit(positive)
     said_pos = F.coalesce(F.col(pred) == F.lit(positive), F.lit(False))
     out = df.groupBy(*by).agg(
@@ -60,13 +72,16 @@ def f1_binary(
 
 
 def f1_weighted(
-    df: DataFrame, by: Sequence[str] = (), error_class: str = "neutral", truth: str = "truth", pred: str = "pred"
+    df: DataFrame, by: Sequence[str] = (), error_class: str = "neutral", truth: str = "truth", pred: str = "pred",
+    strict: bool = False,
 ) -> DataFrame:
-    """Per-class F1 weighted by truth support over the union of truth and predicted classes.
+    """Per-class F1 weighted by truth support over the union of truth and predicted classes, and accuracy.
 
-    The error text is scored as ``error_class``. A null prediction matches no class.
+    A prediction that contains the error text is scored as ``error_class``. A null prediction matches no class, or is
+    an error under ``strict``.
     """
-    said = F.when(F.col(pred) == V.ERROR_TEXT, F.lit(error_class)).otherwise(F.col(pred).cast("string"))
+    df = _known(df, pred, strict)
+    said = F.when(F.contains(F.col(pred).cast("string"), F.lit(V.ERROR_TEXT)), F.lit(error_class)).otherwise(F.col(pred).cast("string"))
     cells = confusion(df.withColumns({pred: said, truth: F.col(truth).cast("string")}), by, truth, pred)
     # Each cell speaks for its truth class and, if different, for its predicted class.
     match = (F.col("truth") == F.col("pred")) & F.col("truth").isNotNull()
@@ -87,6 +102,7 @@ def f1_weighted(
     total = F.sum("support")
     return classes.withColumn("f1", f1).groupBy(*by).agg(
         F.coalesce(_ratio(F.sum(F.col("support") * F.col("f1")), total), F.lit(0.0)).alias("f1_weighted"),
+        F.coalesce(_ratio(F.sum("tp"), total), F.lit(0.0)).alias("accuracy"),
         total.alias("n"),
         F.count(F.lit(1)).alias("n_classes"),
     )

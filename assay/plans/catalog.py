@@ -3,6 +3,7 @@
 from assay.plans import (  # noqa: F401
     evaluation_queries,
     projection_queries,
+    run_queries,
     source_queries,
     stream_queries,
     text_queries,

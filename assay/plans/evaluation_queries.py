@@ -38,17 +38,22 @@ def allowlist_semi_join(spark, sf_dir):
     return J.keep_keys(fx.page_records(spark, sf_dir), "key", fx.allow_list(spark, sf_dir))
 
 
+LAUGHTER_LIST = ", ".join(f"'{k}'" for k in V.LAUGHTER_KEYS)
+
+
 @query(
     "laughter_allowlist",
-    f"""SELECT page_id::VARCHAR AS key, url FROM pages WHERE page_id::VARCHAR IN ({', '.join(f"'{k}'" for k in V.LAUGHTER_KEYS)})
-        UNION ALL SELECT '1_' || page_id::VARCHAR, url FROM pages
-        WHERE '1_' || page_id::VARCHAR IN ({', '.join(f"'{k}'" for k in V.LAUGHTER_KEYS)})""",
+    f"""WITH keyed AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN [{LAUGHTER_LIST}][page_id % {len(V.LAUGHTER_KEYS)} + 1]
+            ELSE '1_' || page_id::VARCHAR END AS key FROM pages)
+        SELECT page_id, key, url FROM keyed WHERE key IN ({LAUGHTER_LIST})""",
 )
 def laughter_allowlist(spark, sf_dir):
-    pages = fx.table(spark, sf_dir, "pages")
-    plain = P.normalize_keys(pages.select(F.col("page_id").alias("key"), "url"), "key")
-    keyed = plain.unionByName(pages.select(F.concat(F.lit("1_"), F.col("page_id").cast("string")).alias("key"), "url"))
-    return J.keep_keys(keyed, "key", local_rows(spark, [(str(k),) for k in V.LAUGHTER_KEYS], "key string"))
+    """Every third page has a key of the list, the others keys of the same form."""
+    keys = F.array(*[F.lit(str(k)) for k in V.LAUGHTER_KEYS])
+    listed = F.get(keys, (F.col("page_id") % len(V.LAUGHTER_KEYS)).cast("int"))
+    key = F.when(F.col("page_id") % 3 == 0, listed).otherwise(F.concat(F.lit("1_"), F.col("page_id").cast("string")))
+    keyed = fx.table(spark, sf_dir, "pages").select("page_id", key.alias("key"), "url")
+    return J.keep_keys(keyed, "key", local_rows(spark, [(str(k),) for k in V.LAUGHTER_KEYS], "key string")).select("page_id", "key", "url")
 
 
 def _clips(spark, sf_dir):
@@ -227,19 +232,19 @@ def f1_weighted(spark, sf_dir):
     called = fx.label_scores(spark, sf_dir).select(
         "truth", F.when(F.col("vec_id") % 19 == 0, V.ERROR_TEXT).otherwise(best).alias("pred")
     )
-    return M.f1_weighted(called).withColumn("f1_weighted", F.round("f1_weighted", 6))
+    return M.f1_weighted(called).select(rounded("f1_weighted"), "n", "n_classes")
 
 
 @query(
     "label_uniqueness",
-    """WITH names AS (SELECT DISTINCT role AS task, array_to_string(string_split(text, ' ')[1:2], ' ') AS label FROM conversations)
+    """WITH names AS (SELECT DISTINCT role AS task, text AS label FROM conversations)
        SELECT task, count(*) AS n_labels, sum((contains(label, ' '))::INT)::BIGINT AS n_multi_word,
               count(DISTINCT string_split(label, ' ')[1]) AS n_distinct, count(*) = count(DISTINCT string_split(label, ' ')[1]) AS is_unique
        FROM names GROUP BY task""",
 )
 def label_uniqueness(spark, sf_dir):
     talk = fx.table(spark, sf_dir, "conversations")
-    names = talk.select(F.col("role").alias("task"), F.substring_index("text", " ", 2).alias("label")).distinct()
+    names = talk.select(F.col("role").alias("task"), F.col("text").alias("label")).distinct()
     return P.check_labels(names)
 
 
@@ -268,8 +273,8 @@ def assign_ordinal_query(spark, sf_dir):
 )
 def assign_ordinal_in_groups(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    # Small key ranges, so that each of the few groups spans many of them.
-    return assign_ordinal(events, ["ts", "event_id"], by=["event_type"], rows_per_bucket=1000).drop("ts")
+    # Many ranges, so that each of the few groups spans several of them.
+    return assign_ordinal(events, ["ts", "event_id"], by=["event_type"], ranges=40).drop("ts")
 
 
 @query(
@@ -393,10 +398,10 @@ def batch_predict(spark, sf_dir):
 
 
 def _load_rule():
-    def model(row):
-        if row["doc_id"] % 17 == 0:
+    def model(rows):
+        if any(row["doc_id"] % 17 == 0 for row in rows):
             raise ValueError("broken clip")
-        return "Yes" if len(row["text"]) >= 400 else "No"
+        return ["Yes" if len(row["text"]) >= 400 else "No" for row in rows]
 
     return model
 
@@ -408,7 +413,7 @@ def _load_rule():
 )
 def batch_predict_external(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return predict(docs, BatchPredictor(_load_rule)).select("doc_id", "pred", "error")
+    return predict(docs, BatchPredictor(_load_rule, ["doc_id", "text"])).select("doc_id", "pred", "error")
 
 
 @query(
@@ -436,9 +441,6 @@ def heldout_evaluation(spark, sf_dir):
         F.struct(F.lit("dot_product").alias("run"), argmax_label(F.col("scores")).cast("string").alias("called")),
         F.struct(F.lit("nearest_centroid").alias("run"), F.col("pred").alias("called")),
     )
-    called = both.select(F.col("label").cast("string").alias("truth"), F.inline(runs)).withColumn(
-        "score", (F.col("truth") == F.col("called")).cast("int")
-    )
-    right = M.accuracy(called, ["run"])
-    balanced = M.f1_weighted(called, ["run"], pred="called")
-    return right.join(balanced.drop("n"), "run").select("run", rounded("accuracy"), rounded("f1_weighted"), "n")
+    called = both.select(F.col("label").cast("string").alias("truth"), F.inline(runs))
+    # One table of confusion counts gives both figures.
+    return M.f1_weighted(called, ["run"], pred="called").select("run", rounded("accuracy"), rounded("f1_weighted"), "n")

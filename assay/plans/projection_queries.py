@@ -31,7 +31,6 @@ from assay.functions.text import (
     tokenizer_route,
     unblind,
     verbalize,
-    xxh32_fingerprint,
 )
 from assay.operators import prepare as P
 from assay.operators.joins import apply_label_map, label_map_frame, score_label, with_error_policy
@@ -287,14 +286,16 @@ TASK_OF_PAIR = list(V.TASK_PROMPTS)
          f"tasks(i, task, ask, grade) AS (VALUES {values_sql((i, t, V.TASK_PROMPTS[t], V.METRIC_PROMPTS[t]) for i, t in enumerate(TASK_OF_PAIR))})"],
         """SELECT id, 'You are a helpful assistant. Translate the inputs from English to ' || name || '.' AS translate, task, ask, grade,
                   'USER: <Speech>' AS left_side, '</Speech> ' || ask || chr(10) || 'ASSISTANT:' AS right_side,
-                  '###[Human]:' || ask AS human, hyp || '. Translate the inputs from English to ' || name || '.' AS suffixed
+                  '###[Human]:' || ask AS human, '###[Human]:' || ask || chr(10) || chr(10) || chr(10) || '###[Assistant]:' AS reply,
+                  hyp || ' Give a simple one sentence answer.' AS answer, 'Translate the input from English to ' || name || '.' AS asked,
+                  pair IN ('en_zh-CN', 'en_id', 'en_ar', 'en_ta', 'en_ja') AS active, hyp || '. Translate the inputs from English to ' || name || '.' AS suffixed
            FROM translations JOIN names ON code = substr(pair, 4) JOIN tasks ON i = id % 5""",
     ),
 )
 def render_prompt_query(spark, sf_dir):
     names = F.array(*[F.lit(t) for t in TASK_OF_PAIR])
     task = F.get(names, (F.col("id") % 5).cast("int"))
-    df = fx.translations(spark, sf_dir).select("id", "hyp", parse_pair("pair").alias("p"), task.alias("task"))
+    df = fx.translations(spark, sf_dir).select("id", "hyp", "pair", parse_pair("pair").alias("p"), task.alias("task"))
     df = df.withColumn("ask", task_prompt("task")).withColumn("around", around_speech(F.col("ask")))
     source, target = F.col("p.source_name"), F.col("p.target_name")
     return df.select(
@@ -306,6 +307,10 @@ def render_prompt_query(spark, sf_dir):
         F.col("around.left").alias("left_side"),
         F.col("around.right").alias("right_side"),
         render_prompt(V.HUMAN_WRAPPER, as_col("ask")).alias("human"),
+        F.concat(render_prompt(V.HUMAN_WRAPPER, as_col("ask")), F.lit(V.REPLY_WRAPPER)).alias("reply"),
+        F.concat("hyp", F.lit(V.QA_SUFFIX)).alias("answer"),
+        render_prompt(V.TRANSLATE_USER, source, target).alias("asked"),
+        F.col("pair").isin(V.TRANSLATION_PAIRS).alias("active"),
         F.concat(F.col("hyp"), render_prompt(V.TRANSLATE_SUFFIX, source, target)).alias("suffixed"),
     )
 
@@ -392,11 +397,6 @@ def content_fingerprint(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", fingerprint("text").alias("hash"))
 
 
-@query("content_fingerprint_xxh32")
-def content_fingerprint_xxh32(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", xxh32_fingerprint("text").alias("hash"))
-
-
 @query(
     "progress_text",
     fx.with_(

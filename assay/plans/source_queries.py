@@ -12,10 +12,9 @@ from assay.plans import fixtures as fx
 from assay.plans.registry import query
 from assay.plans.tasks import load_task, task_names
 from assay.session import scratch_path
-from assay.sources.keyed_json import read_keyed_json, write_keyed_json
-from assay.sources.results_log import parse_lines, read_results_log, write_results_log
+from assay.sources.keyed_json import explode_keyed_json, read_keyed_json, write_keyed_json
+from assay.sources.results_log import read_results_log, write_results_log
 from assay.sources.tables import (
-    file_manifest,
     publish,
     read_delimited,
     read_split,
@@ -42,6 +41,22 @@ def keyed_json_scalars(spark, sf_dir):
     return events.select("event_id", F.explode(parsed).alias("key", "value"))
 
 
+@query(
+    "keyed_json_quarantine",
+    """SELECT key, problem, count(*) AS n, sum(value)::BIGINT AS total FROM (
+         SELECT 'n' AS key, NULL AS problem, n_chars AS value FROM documents WHERE doc_id % 7 <> 0
+         UNION ALL SELECT 'l', 'not a bigint: ' || lang, NULL FROM documents WHERE doc_id % 7 <> 0
+         UNION ALL SELECT NULL, 'not a JSON object', NULL FROM documents WHERE doc_id % 7 = 0) GROUP BY ALL""",
+)
+def keyed_json_quarantine(spark, sf_dir):
+    """Objects with one value of another type each; every seventh is cut off."""
+    docs = fx.table(spark, sf_dir, "documents")
+    text = F.format_string('{"n": %d, "l": "%s"}', "n_chars", "lang")
+    cut = F.when(F.col("doc_id") % 7 == 0, F.substring_index(text, ",", 1)).otherwise(text)
+    rows = explode_keyed_json(docs.select(cut.alias("doc")), "doc", "bigint", mode="quarantine")
+    return rows.groupBy("key", "problem").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query(
     "delimited_scan",
     fx.with_([fx.ITEMS_SQL], "SELECT doc_id, source, n_chars, quality, toxic, split FROM items"),
@@ -54,11 +69,6 @@ def delimited_scan(spark, sf_dir):
     return read_delimited(spark, path, schema, sep="\t")
 
 
-@query("file_manifest")
-def manifest(spark, sf_dir):
-    return file_manifest(spark, f"{sf_dir}/*.parquet").select("name", "length")
-
-
 @query(
     "split_scan",
     fx.with_([fx.ITEMS_SQL], "SELECT doc_id, n_chars, split, lang AS language FROM items WHERE split = 'dev' AND lang = 'en'"),
@@ -155,23 +165,33 @@ def fx_tables(spark, sf_dir):
 
 @query(
     "results_log_scan",
-    fx.with_(fx.LINES_SQL, "SELECT model, dial, id::VARCHAR AS id, pred, score FROM lines"),
+    fx.with_(fx.LINES_SQL, "SELECT 'Mustard_sarcasm' AS dataset, 'e2e' AS m_type, model, dial, id::VARCHAR AS id, pred, score FROM lines"),
 )
 def results_log_scan(spark, sf_dir):
-    return parse_lines(fx.lines(spark, sf_dir), "line").select("model", "dial", "id", "pred", "score")
+    """Log files of three models and four dials, named as the evaluation names them; the run columns come from the paths."""
+    root = scratch_path(spark, "logs")
+    lines = fx.lines(spark, sf_dir).persist()
+    for model in ("m_len", "m_line", "m_the"):
+        for dial in fx.PAIR_OF_LANG:
+            one = lines.where((F.col("model") == model) & (F.col("dial") == dial)).select("line")
+            one.write.text(f"{root}/Mustard_sarcasm_tmp_Results/e2e_{model}/{dial}_outs.txt", lineSep="\n")
+    lines.unpersist()
+    return read_results_log(spark, root, layout="flat")
 
 
 @query(
     "results_log_write",
     fx.with_(
         fx.LINES_SQL,
-        "SELECT 'sarcasm' AS dataset, model, dial, id::VARCHAR AS id, pred, score FROM lines",
+        """SELECT 'sarcasm' AS dataset, m_type, model, dial, id::VARCHAR AS id, pred, score
+           FROM lines, (VALUES ('e2e'), ('pipe')) AS t(m_type)""",
     ),
 )
 def results_log_write(spark, sf_dir):
     root = scratch_path(spark, "results")
     scored = fx.predictions(spark, sf_dir).withColumn("score", F.when(F.col("id") % 13 != 0, F.col("score")))
-    write_results_log(scored.withColumn("dataset", F.lit("sarcasm")), root)
+    runs = scored.withColumns({"dataset": F.lit("sarcasm"), "m_type": F.explode(F.array(F.lit("e2e"), F.lit("pipe")))})
+    write_results_log(runs, root)
     return read_results_log(spark, root)
 
 

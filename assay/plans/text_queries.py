@@ -117,14 +117,13 @@ def tokenize_zh_query(spark, sf_dir):
     "sentence_bleu_zh",
     fx.with_(
         [*fx.TRANSLATIONS_SQL,
-         f"zh AS (SELECT id, translate(hyp, '{CJK[0]}', '{CJK[1]}') AS hyp, translate(ref, '{CJK[0]}', '{CJK[1]}') AS ref FROM translations WHERE pair = 'en_zh-CN')",
+         f"zh AS (SELECT id, translate(hyp, '{CJK[0]}', '{CJK[1]}') AS hyp, translate(ref, '{CJK[0]}', '{CJK[1]}') AS ref FROM translations)",
          *bleu_ctes("zh", tokens_zh_sql)],
         "SELECT id, round(bleu, 6) AS bleu FROM bleu",
     ),
 )
 def sentence_bleu_zh(spark, sf_dir):
-    pairs = fx.translations(spark, sf_dir).where(F.col("pair") == "en_zh-CN")
-    return pairs.select("id", F.round(sentence_bleu(_zh("hyp"), _zh("ref"), "zh"), 6).alias("bleu"))
+    return fx.translations(spark, sf_dir).select("id", F.round(sentence_bleu(_zh("hyp"), _zh("ref"), "zh"), 6).alias("bleu"))
 
 
 def _pair_tokens_sql(text: str) -> str:
@@ -185,22 +184,24 @@ def answer_scores(spark, sf_dir):
     "pluggable_scorer",
     fx.with_(
         [*fx.QA_SQL, "refs AS (SELECT id, pred, unnest(answers) AS ref FROM qa)"],
-        "SELECT qa.id, (SELECT max((lower(pred[1:1]) = lower(ref[1:1]))::INT) FROM refs r WHERE r.id = qa.id)::INT AS score FROM qa",
+        """SELECT qa.id, round((SELECT max(least(length(pred), length(ref))::DOUBLE / nullif(greatest(length(pred), length(ref)), 0))
+                  FROM refs r WHERE r.id = qa.id), 6) AS score FROM qa""",
     ),
 )
 def pluggable_scorer(spark, sf_dir):
-    """Any Column function can be the scorer: here, whether both texts start with the same letter."""
-    def same_start(hyp, ref):
-        return (F.lower(F.substring(hyp, 1, 1)) == F.lower(F.substring(ref, 1, 1))).cast("int")
+    """Any Column function can be the scorer: here, how near two whole texts are in length."""
+    def like_length(hyp, ref):
+        longer = F.nullif(F.greatest(F.length(hyp), F.length(ref)), F.lit(0))
+        return F.least(F.length(hyp), F.length(ref)) / longer
 
-    return fx.qa(spark, sf_dir).select("id", best_over_references("answers.text", "pred", same_start).alias("score"))
+    return fx.qa(spark, sf_dir).select("id", F.round(best_over_references("answers.text", "pred", like_length), 6).alias("score"))
 
 
 def _load_length_scorer():
-    def scorer(reference, prediction, question):
-        if "?" in question:
+    def scorer(triples):
+        if any("q" in question for _, _, question in triples):
             raise ValueError("unscorable")
-        return len(prediction) / (len(prediction) + len(reference))
+        return [len(prediction) / (len(prediction) + len(reference)) for reference, prediction, _ in triples]
 
     return scorer
 
@@ -208,7 +209,7 @@ def _load_length_scorer():
 @query(
     "pluggable_scorer_external",
     fx.with_(
-        [*fx.QA_SQL, "refs AS (SELECT id, pred, unnest(answers) AS ref FROM qa WHERE NOT contains(question, '?'))"],
+        [*fx.QA_SQL, "refs AS (SELECT id, pred, unnest(answers) AS ref FROM qa WHERE NOT contains(question, 'q'))"],
         """SELECT id, round((SELECT max(length(pred)::DOUBLE / (length(pred) + length(ref))) FROM refs r WHERE r.id = qa.id), 6) AS score
            FROM qa""",
     ),
@@ -236,3 +237,24 @@ def document_overlap(spark, sf_dir):
     pairs = docs.join(items.select("item_id", F.col("text").alias("ref")), "item_id")
     f1 = f1_of_tokens(answer_tokens("text"), answer_tokens("ref"))
     return pairs.select("doc_id", F.round(f1, 6).alias("f1"))
+
+
+LINES_F1_SQL = f"""WITH pairs AS (SELECT d.doc_id, b.text AS hyp, string_split(d.text, chr(10)) AS refs
+    FROM documents d JOIN (SELECT item_id, text, count(*) OVER () AS n FROM benchmark) b ON b.item_id = d.doc_id % b.n),
+  one AS (SELECT doc_id, hyp, unnest(refs) AS ref, unnest(range(len(refs))) AS k FROM pairs),
+  tok AS (SELECT doc_id, k, {answer_words_sql('hyp')} AS h, {answer_words_sql('ref')} AS r FROM one),
+  counts AS (SELECT doc_id, k, w, count(*) FILTER (side = 'h') AS a, count(*) FILTER (side = 'r') AS b
+    FROM (SELECT doc_id, k, 'h' AS side, unnest(h) AS w FROM tok UNION ALL SELECT doc_id, k, 'r', unnest(r) FROM tok) GROUP BY ALL),
+  hits AS (SELECT doc_id, k, sum(least(a, b)) AS c FROM counts GROUP BY ALL)
+  SELECT doc_id, round(max(CASE WHEN len(h) + len(r) = 0 THEN 1 ELSE 2.0::DOUBLE * coalesce(c, 0) / (len(h) + len(r)) END), 6) AS score, count(*) AS n_references
+  FROM tok LEFT JOIN hits USING (doc_id, k) GROUP BY doc_id"""
+
+
+@query("max_over_many_references", LINES_F1_SQL)
+def max_over_many_references(spark, sf_dir):
+    """Each line of a document is a reference of one benchmark text: many references in a row, and no join for them."""
+    items = fx.table(spark, sf_dir, "benchmark")
+    n = items.count()
+    docs = spread(fx.table(spark, sf_dir, "documents")).select("doc_id", F.split("text", "\n").alias("refs"), (F.col("doc_id") % n).alias("item_id"))
+    pairs = docs.join(items.select("item_id", F.col("text").alias("hyp")), "item_id")
+    return pairs.select("doc_id", F.round(best_over_references("refs", "hyp"), 6).alias("score"), F.size("refs").cast("bigint").alias("n_references"))
