@@ -11,9 +11,11 @@ from assay.operators import joins as J
 from assay.operators import metrics as M
 from assay.operators import prepare as P
 from assay.operators import vectors as O
+from assay.operators.evaluation import first_words, metric_run
 from assay.operators.ordinals import assign_ordinal, positional_shards
 from assay.operators.predict import (
     BatchPredictor,
+    BatchScorer,
     CentroidPredictor,
     ColumnPredictor,
     argmax_label,
@@ -21,7 +23,7 @@ from assay.operators.predict import (
     predict,
 )
 from assay.operators.preferences import preference_counter
-from assay.operators.sessions import session_steps
+from assay.operators.sessions import STEP_EVENTS, open_candidates, session_steps
 from assay.plans.tasks import load_task
 from assay.session import local_rows
 
@@ -35,14 +37,14 @@ def failure(action):
 # ---- ordinals --------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("rows_per_bucket", [7, 50, 10_000])
-def test_ordinal_with_a_hot_group(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [1, 7, 50])
+def test_ordinal_with_a_hot_group(spark, ranges):
     random.seed(1)
     # One group holds more than half of all rows and spans many key ranges.
     rows = [("hot" if random.random() < 0.6 else random.choice("abcxyz"), random.randint(0, 40), i) for i in range(900)]
     random.shuffle(rows)
     df = local_rows(spark, rows, "g string, v int, id int").repartition(5)
-    got = {r["id"]: r["ordinal"] for r in assign_ordinal(df, ["v", "id"], by=["g"], rows_per_bucket=rows_per_bucket).collect()}
+    got = {r["id"]: r["ordinal"] for r in assign_ordinal(df, ["v", "id"], by=["g"], ranges=ranges).collect()}
     want, seen = {}, {}
     for g, v, i in sorted(rows):
         want[i] = seen.get(g, 0)
@@ -50,25 +52,42 @@ def test_ordinal_with_a_hot_group(spark, rows_per_bucket):
     assert got == want
 
 
-@pytest.mark.parametrize("rows_per_bucket", [9, 10_000])
-def test_ordinal_over_a_table(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_ordinal_over_a_table(spark, ranges):
     df = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("k"), F.timestamp_millis(F.col("id")).alias("t"))
-    got = assign_ordinal(df, ["k"], rows_per_bucket=rows_per_bucket).orderBy("ordinal").collect()
+    got = assign_ordinal(df, ["k"], ranges=ranges).orderBy("ordinal").collect()
     assert [r["ordinal"] for r in got] == list(range(500))
     assert [r["k"] for r in got] == sorted(r["k"] for r in got)
-    by_time = assign_ordinal(df, ["t"], rows_per_bucket=rows_per_bucket).orderBy("t").collect()
+    by_time = assign_ordinal(df, ["t"], ranges=ranges).orderBy("t").collect()
     assert [r["ordinal"] for r in by_time] == list(range(500))
 
 
 def test_ordinal_with_nulls_and_empty(spark):
     df = local_rows(spark, [(i % 5 or None, i) for i in range(60)], "g int, id int")
-    got = assign_ordinal(df, ["id"], by=["g"], rows_per_bucket=4).where("g is null").orderBy("id").collect()
+    got = assign_ordinal(df, ["id"], by=["g"], ranges=9).where("g is null").orderBy("id").collect()
     assert [r["ordinal"] for r in got] == list(range(12))
     assert assign_ordinal(df.where("id < 0"), ["id"]).count() == 0
 
 
+def test_equal_keys_spread_and_can_be_refused(spark):
+    df = spark.range(400).select(F.lit("same").alias("k"), "id").repartition(5)
+    got = assign_ordinal(df, ["k"], ranges=8)
+    assert sorted(r["ordinal"] for r in got.collect()) == list(range(400))
+    assert "equal keys" in failure(lambda: assign_ordinal(df, ["k"], check_unique=True).collect())
+    assert assign_ordinal(df, ["id"], check_unique=True).count() == 400
+
+
+def test_no_ordinal_passes_through_one_task(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
+    plain = assign_ordinal(df, ["id"])
+    # The only single-task window is over one row per range.
+    assert plain._jdf.queryExecution().executedPlan().toString().count("SinglePartition") <= 1
+    rows = assign_ordinal(df, ["id"], by=["g"]).collect()
+    assert {(r["g"], r["ordinal"]) for r in rows} == {(i % 3, i // 3) for i in range(99)} | {(0, 33)}
+
+
 def test_shards_are_equal_and_drop_the_remainder(spark):
-    shards = positional_shards(spark.range(45).repartition(4), ["id"], 14, rows_per_bucket=6)
+    shards = positional_shards(spark.range(45).repartition(4), ["id"], 14, ranges=7)
     rows = shards.orderBy("id").collect()
     assert len(rows) == 42 and [r["shard"] for r in rows] == [i // 3 for i in range(42)]
     assert positional_shards(spark.range(5), ["id"], 14).count() == 0
@@ -93,7 +112,7 @@ def test_hash_split_share_and_stability(spark):
 
 def test_preference_counter_at_ten(spark):
     votes = spark.range(21).select((F.col("id") % 2).alias("session"), F.col("id").alias("ts"), F.col("id").alias("event_id"))
-    rows = preference_counter(votes, rows_per_bucket=4).where("session = 1").orderBy("ts").collect()
+    rows = preference_counter(votes, ranges=9).where("session = 1").orderBy("ts").collect()
     assert [r["n_votes"] for r in rows] == list(range(1, 11))
     assert rows[8]["progress"] == "# 9/10 Preferences Submitted" and rows[9]["progress"] == "# Completed! Completion Code: PLACEHOLDER"
 
@@ -230,9 +249,11 @@ def test_centroids_separate_clusters(spark):
 
 def test_failing_rows_keep_their_ids(spark):
     def load():
-        return lambda row: 1 // row["n"]
+        return lambda rows: [1 // row["n"] for row in rows]
 
-    rows = predict(local_rows(spark, [(0,), (1,)], "n int"), BatchPredictor(load)).orderBy("n").collect()
+    table = local_rows(spark, [(0, "kept"), (1, "kept")], "n int, other string")
+    rows = predict(table, BatchPredictor(load, ["n"])).orderBy("n").collect()
+    assert [r["other"] for r in rows] == ["kept", "kept"]
     assert rows[0]["pred"] == V.ERROR_TEXT and rows[0]["error"].startswith("ZeroDivisionError")
     assert rows[1]["pred"] == "1" and rows[1]["error"] is None
     rule = ColumnPredictor(F.when(F.col("n") > 0, "Yes"))
@@ -248,6 +269,92 @@ def test_argmax_ties_take_the_first(spark):
     assert argmax_rows(long, "id").first()["pred"] == "a"
 
 
+def test_a_failing_call_costs_only_its_row(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(rows):
+            calls.add(1)
+            return [10 // row["n"] for row in rows]
+
+        return model
+
+    table = spark.range(64, numPartitions=1).select(F.col("id").alias("n"))
+    rows = sorted(predict(table, BatchPredictor(load, ["n"], size=16)).collect(), key=lambda r: r["n"])
+    assert [r["pred"] for r in rows] == [V.ERROR_TEXT, *[str(10 // n) for n in range(1, 64)]]
+    assert calls.value == 4 + 16  # four calls, and the first one's rows again
+
+
+def test_scorer_is_called_in_lists(spark):
+    def load():
+        def scorer(triples):
+            if any(p == "bad" for _, p, _ in triples):
+                raise ValueError
+            return [float(len(ref)) for ref, _, _ in triples]
+
+        return scorer
+
+    rows = [(1, ["a", "abc"], "x", "q"), (2, [], "x", "q"), (3, None, "x", "q"), (4, ["abcd"], "bad", "q"), (5, ["ab"], "x", "q")]
+    table = local_rows(spark, rows, "id int, answers array<string>, pred string, question string")
+    assert [r["score"] for r in BatchScorer(load).apply(table).orderBy("id").collect()] == [3.0, None, None, None, 2.0]
+
+
+# Stored results of the sarcasm task: tp, fp, fn, tn and the accuracy and F1 they give.
+STORED = [
+    (243, 225, 102, 120, 0.5261, 0.5978), (345, 344, 0, 1, 0.5014, 0.6673), (200, 153, 145, 192, 0.5681, 0.5731), (312, 267, 33, 78, 0.5652, 0.6753),
+    (334, 299, 11, 46, 0.5507, 0.6830), (222, 235, 123, 110, 0.4812, 0.5536), (329, 309, 16, 36, 0.5290, 0.6694), (309, 320, 36, 25, 0.4841, 0.6345),
+    (342, 344, 3, 1, 0.4971, 0.6634), (262, 224, 83, 121, 0.5551, 0.6306), (345, 344, 0, 1, 0.5014, 0.6673), (308, 266, 37, 79, 0.5609, 0.6703),
+]
+
+
+def test_metric_run_gives_the_stored_results(spark):
+    cells = []
+    for run, (tp, fp, fn, tn, _, _) in enumerate(STORED):
+        cells += [(run, "true", "Yes", tp), (run, "false", "Yes", fp), (run, "true", " No ", fn), (run, "false", "No", tn)]
+    pairs = local_rows(spark, cells, "run int, truth string, pred string, n int").where("n > 0").select("run", "truth", "pred", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    got = metric_run(pairs, V.LABEL_MAPS["Mustard_sarcasm"], ["run"]).orderBy("run").collect()
+    assert [(r["metric"], round(r["accuracy"], 4), round(r["f1"], 4), r["n"]) for r in got] == [("binary", a, f, 690) for *_, a, f in STORED]
+
+
+def test_metric_run_chooses_its_figure_and_is_strict(spark):
+    rows = [("anger", "Anger"), ("joy", "Joy"), ("neutral", f"{V.ERROR_TEXT} (timeout)"), ("joy", "Anger")]
+    pairs = local_rows(spark, rows, "truth string, pred string")
+    row = metric_run(pairs, V.LABEL_MAPS["MELD_emotion_recognition"]).first()
+    assert row["metric"] == "weighted" and row["accuracy"] == 0.75 and row["f1"] == pytest.approx((2 / 3 + 2 * 2 / 3 + 1) / 4)
+    other = local_rows(spark, [("anger", "Rage"), ("joy", "Joy")], "truth string, pred string")
+    assert "not a label: Rage" in failure(lambda: metric_run(other, V.LABEL_MAPS["MELD_emotion_recognition"]).collect())
+    assert metric_run(other, V.LABEL_MAPS["MELD_emotion_recognition"], strict=False).first()["accuracy"] == 0.5
+    # Labels are known by their first word, in the order of the map; the first is positive.
+    short = first_words({"Yes indeed": "1", "No way": "0"})
+    assert list(short.items()) == [("Yes", "1"), ("No", "0")]
+    with pytest.raises(ValueError, match="not unique"):
+        first_words({"No way": "0", "No": "1"})
+    for metric in (lambda: M.confusion(null_pred(spark), strict=True), lambda: M.f1_weighted(null_pred(spark), strict=True), lambda: M.f1_binary(null_pred(spark), "a", strict=True)):
+        assert "not in the label map" in failure(lambda: metric().collect())
+
+
+def null_pred(spark):
+    return local_rows(spark, [("a", "a"), ("b", None)], "truth string, pred string")
+
+
+def test_session_steps_slice_a_hot_session(spark):
+    rng = random.Random(3)
+    rows = [(0 if rng.random() < 0.7 else rng.randrange(1, 9), rng.choice([*STEP_EVENTS, "clear"]), i) for i in range(1500)]
+    rows += [(20, "clear", 2000), (21, "recording_complete", 1), (21, "page_load", 2)]
+    rng.shuffle(rows)
+    want = {}
+    for session in {r[0] for r in rows}:
+        at = []
+        for pos, kind in sorted((p, k) for s, k, p in rows if s == session):
+            if len(at) < 3 and kind == STEP_EVENTS[len(at)]:
+                at.append(pos)
+        want[session] = (len(at), *at, *[None] * (3 - len(at)))
+    events = local_rows(spark, rows, "session int, kind string, pos int").repartition(5)
+    for slice_rows in (40, 10**6):
+        got = session_steps(events, slice_rows)
+        assert {r["session"]: tuple(r)[1:] for r in got.collect()} == want
+
+
 # ---- vectors ---------------------------------------------------------------------------------------------------
 
 
@@ -295,6 +402,28 @@ def test_codebook_in_blocks_and_ties(spark):
     assert [r["uses"] for r in usage] == [0, 1, 0, 0]
 
 
+def test_odd_vectors_are_refused_or_left_out(spark):
+    nan = float("nan")
+    book = local_rows(spark, [(0, [0.0, 1.0]), (1, [1.0, 0.0])], "code int, vector array<double>")
+    odd = local_rows(spark, [(1, [2.0, 0.0]), (2, [nan, 1.0]), (3, [None, 1.0]), (4, None)], "id int, embedding array<double>")
+    rows = O.assign_codes(odd, book).orderBy("id").collect()
+    assert [r["code"] for r in rows] == [1, None, None, None] and rows[1]["dist"] is None
+    means = O.code_means(odd, book, "embedding", True).collect()
+    assert [(r["code"], r["n"]) for r in means] == [(1, 1)]
+    for bad in ([[1.0, 0.0], [1.0, 0.0, 0.0]], [[1.0, 0.0, 0.0]]):
+        ragged = local_rows(spark, list(enumerate(bad)), "id int, embedding array<double>")
+        assert "entries" in failure(lambda: O.assign_codes(ragged, book).collect())
+
+
+def test_distances_are_cut_to_size(monkeypatch):
+    rng = np.random.default_rng(0)
+    z, book = rng.normal(size=(50, 4)), rng.normal(size=(7, 4))
+    whole = O.closest(z, book, False)
+    monkeypatch.setattr(O, "DISTANCE_BYTES", 8 * 7 * 3)
+    cut = O.closest(z, book, False)
+    assert (whole[0] == cut[0]).all() and np.allclose(whole[1], cut[1])
+
+
 def test_large_codebook_is_checkpointed(spark):
     data = clusters(spark)
     book = O.initial_means(data, "vec_id", "embedding", 4)
@@ -324,7 +453,7 @@ def test_codebook_update_against_numpy(spark):
 def test_ema_against_loop(spark):
     rows = [("hot" if i % 3 else "b", i, float(i % 7)) for i in range(200)]
     df = local_rows(spark, rows, "k string, i int, v double").repartition(4)
-    got = {r["k"]: r["ema"] for r in O.ema(df, "k", ["i"], "v", 0.9, rows_per_bucket=11).collect()}
+    got = {r["k"]: r["ema"] for r in O.ema(df, "k", ["i"], "v", 0.9, ranges=13).collect()}
     want = {}
     for k, _, v in rows:
         want[k] = want.get(k, 0.0) * 0.9 + v * (1 - 0.9)
@@ -350,9 +479,10 @@ def test_session_steps_against_loop(spark):
         step = want.get(s, 0)
         want[s] = step + 1 if step < 3 and kind == kinds[step] else step
     assert {r["session"]: r["step"] for r in session_steps(df).collect()} == want
-    # Cut anywhere, the second part goes on from the first part's steps.
+    # Cut anywhere, later or earlier events first: what may become a milestone is all that the rest needs.
     for cut in (1, 37, 200):
-        first = session_steps(df.where(F.col("pos") < cut)).select("session", "step")
-        second = session_steps(df.where(F.col("pos") >= cut), first).select("session", F.col("step").alias("later"))
-        both = first.join(second, "session", "full").select("session", F.coalesce("later", "step").alias("step"))
-        assert {r["session"]: r["step"] for r in both.collect()} == want
+        for first, second in ((F.col("pos") < cut, F.col("pos") >= cut), (F.col("pos") >= cut, F.col("pos") < cut)):
+            part = df.where(first)
+            kept = open_candidates(part.select("session", "kind", "pos"), session_steps(part))
+            whole = kept.union(df.where(second).select("session", "kind", "pos"))
+            assert {r["session"]: r["step"] for r in session_steps(whole).collect() if r["step"]} == {k: v for k, v in want.items() if v}

@@ -36,6 +36,25 @@ def test_keyed_json_whole_file_and_lines(spark, tmp_path):
     assert back.exceptAll(votes).count() == 0 and back.count() == 5
 
 
+def test_keyed_json_loses_nothing_silently(spark, tmp_path):
+    pretty = json.dumps({"a": {"n": 1}, "b": {"n": 2}}, indent=2)
+    (tmp_path / "pretty.json").write_text(pretty)
+    kind = "struct<n:int>"
+    with pytest.raises(Exception, match="not a JSON object"):
+        read_keyed_json(spark, str(tmp_path / "pretty.json"), kind).collect()
+    assert read_keyed_json(spark, str(tmp_path / "pretty.json"), kind, whole_file=True).count() == 2
+    lines = ['{"a":1,"b":"x","c":null}', "", '{"d":4', "[5]", '{"e":6} {"f":7}', '{"g":8}']
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    with pytest.raises(Exception, match="not a"):
+        read_keyed_json(spark, str(tmp_path / "lines.json"), "int").collect()
+    rows = read_keyed_json(spark, str(tmp_path / "lines.json"), "int", mode="quarantine").collect()
+    assert {(r["key"], r["value"]) for r in rows if r["problem"] is None} == {("a", 1), ("c", None), ("g", 8)}
+    bad = sorted((r["key"] or "", r["raw"]) for r in rows if r["problem"])
+    assert bad == [("", "[5]"), ("", '{"d":4'), ("", '{"e":6} {"f":7}'), ("b", "x")]
+    with pytest.raises(ValueError):
+        read_keyed_json(spark, str(tmp_path / "lines.json"), "int", mode="other")
+
+
 def test_delimited_missing_values(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("hash_name\tage\tnote\nx\t31\tNA\ny\tNaN\t\nz\tn/a\tfine\n")
     rows = read_delimited(spark, str(tmp_path / "t.tsv"), "hash_name string, age int, note string", "\t").orderBy("hash_name").collect()
@@ -95,15 +114,27 @@ def test_log_folders(spark, tmp_path):
         (tmp_path / folder).mkdir(parents=True)
         (tmp_path / folder / "kenya_outs.txt").write_text("\n".join(LINES) + "\n")
     read = read_results_log(spark, str(tmp_path / "*" / "*" / "*.txt"), layout="flat")
-    assert {tuple(r) for r in read.groupBy("dataset", "model", "dial").count().collect()} == {
-        ("Mustard_sarcasm", "model_a", "kenya", 3), ("COVOST_translation", "b", "kenya", 3), ("custom", "c", "kenya", 3)
+    assert {tuple(r) for r in read.groupBy("dataset", "m_type", "model", "dial").count().collect()} == {
+        ("Mustard_sarcasm", "e2e", "model_a", "kenya", 3), ("COVOST_translation", "pipe", "b", "kenya", 3), ("custom", "e2e", "c", "kenya", 3)
     }
 
 
+def test_log_keeps_odd_predictions_and_run_types_apart(spark):
+    root = scratch_path(spark, "log")
+    rows = [("d", m, "a", "x", i, p, s) for m in ("e2e", "pipe") for i, p, s in ((0, "one\rtwo", 1.0), (1, None, 0.0), (2, "a\r\nb", None))]
+    write_results_log(local_rows(spark, rows, "dataset string, m_type string, model string, dial string, id int, pred string, score double"), root)
+    back = {(r["m_type"], r["id"]): (r["pred"], r["score"]) for r in read_results_log(spark, root).collect()}
+    assert len(back) == 6
+    for m in ("e2e", "pipe"):
+        assert back[m, "0"] == ("one\rtwo", 1.0) and back[m, "1"] == (V.ERROR_TEXT, 0.0) and back[m, "2"] == ("a\r[NEW_LINE]b", None)
+    with pytest.raises(Exception, match="needs an id"):
+        spark.range(1).select(format_line(F.lit(None).cast("string"), F.lit("x"), F.lit(1))).collect()
+
+
 def test_log_round_trip_prunes_runs(spark):
     root = scratch_path(spark, "log")
     df = spark.range(30).select(
-        F.lit("d").alias("dataset"), F.concat(F.lit("m"), F.col("id") % 3).alias("model"), F.lit("01").alias("dial"),
+        F.lit("d").alias("dataset"), F.lit("e2e").alias("m_type"), F.concat(F.lit("m"), F.col("id") % 3).alias("model"), F.lit("01").alias("dial"),
         "id", F.when(F.col("id") == 4, "a\nb").otherwise("Yes").alias("pred"), F.when(F.col("id") % 5 != 0, F.col("id") / 10).alias("score"),
     )
     write_results_log(df, root)
@@ -118,12 +149,12 @@ def test_log_round_trip_prunes_runs(spark):
 
 
 def feed(spark, df, label, files=4):
-    """Write ``df`` to ``files`` files by position and stream them one by one."""
+    """Write ``df`` to ``files`` files of all positions and stream them one by one, the last positions' file first."""
     root = scratch_path(spark, label)
     n = df.count()
-    for i in range(files):
-        part = df.where((F.col("pos") >= i * n // files) & (F.col("pos") < (i + 1) * n // files))
-        part.coalesce(1).write.mode("append").parquet(root)
+    for i in reversed(range(files)):
+        mostly = F.when(F.xxhash64("pos") % 4 == 0, F.pmod(F.xxhash64("pos"), F.lit(files))).otherwise(F.floor(F.col("pos") * files / n))
+        df.where(mostly == i).coalesce(1).write.mode("append").parquet(root)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root)
 
 
@@ -165,7 +196,7 @@ def test_stream_steps_equal_batch(spark):
 def test_stream_results_are_written_once(spark):
     df = votes(spark, 90)
     stream = feed(spark, df, "r").select(
-        F.lit("d").alias("dataset"), F.col("best").alias("model"), F.lit("x").alias("dial"), F.col("pos").alias("id"),
+        F.lit("d").alias("dataset"), F.lit("e2e").alias("m_type"), F.col("best").alias("model"), F.lit("x").alias("dial"), F.col("pos").alias("id"),
         F.lit("Yes").alias("pred"), F.lit(1).alias("score"),
     )
     root, progress = scratch_path(spark, "o"), scratch_path(spark, "c")
