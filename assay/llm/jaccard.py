@@ -34,7 +34,7 @@ BLOCK_ROWS = 512
 # Bits of the parity sketch of a set: the second for sets of more shingles than the first has bits.
 SKETCH_BITS = (1024, 8192)
 FILTER_BITS = 26
-ROUNDS, HUBS = 2, 8
+ROUNDS, HUBS = 1, 8
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,16 +102,21 @@ def parity_sketch(values: np.ndarray) -> bytes:
     return np.packbits((np.bincount(bits, minlength=size) & 1).astype(bool)).tobytes()
 
 
+def fold(sketch: bytes) -> np.ndarray:
+    """A parity sketch in the smaller size, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, SKETCH_BITS[0] // 64))
+
+
 class Sketches:
     """Parity sketches of a batch: all of them folded to the smaller size, and the larger ones as they are."""
 
     def __init__(self, column: pa.Array):
-        parts = [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
-        small = SKETCH_BITS[0] // 64
-        self.large = np.array([len(p) > small for p in parts], bool)
-        self.folded = np.array([np.bitwise_xor.reduce(p.reshape(-1, small)) for p in parts], np.uint64).reshape(-1, small)
+        parts = column.to_pylist()
+        self.large = np.array([len(p) * 8 > SKETCH_BITS[0] for p in parts], bool)
+        self.folded = np.array([fold(p) for p in parts], np.uint64).reshape(-1, SKETCH_BITS[0] // 64)
         self.place = np.cumsum(self.large) - 1
-        self.whole = np.array([p for p in parts if len(p) > small], np.uint64).reshape(-1, SKETCH_BITS[1] // 64)
+        whole = b"".join(p for p, large in zip(parts, self.large) if large)
+        self.whole = np.frombuffer(whole, np.uint64).reshape(-1, SKETCH_BITS[1] // 64)
 
     def apart(self, i: np.ndarray, other: "Sketches", j: np.ndarray) -> np.ndarray:
         """Shingles that differ at least between set i[k] and the other set j[k]: the bits in which sketches differ."""
@@ -125,21 +130,22 @@ class Sketches:
 
 def _profile(batches):
     frequent = Frequent(COUNTERS)
-    names = ["doc_id", "n", "c1", "c2", "sketch", "token", "count"]
+    names = ["doc_id", "n", "c1", "c2", "sketch", "folded", "token", "count"]
     for batch in batches:
         values, offsets = shingle_sets(batch["text"])
         c1, c2 = digests(values, offsets)
         sketch = [parity_sketch(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+        folded = [fold(b).tobytes() if len(b) * 8 > SKETCH_BITS[0] else None for b in sketch]
         frequent.add(values)
         size = batch.num_rows
         none = pa.nulls(size, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets)), pa.array(c1), pa.array(c2), pa.array(sketch, pa.binary()), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets)), pa.array(c1), pa.array(c2), pa.array(sketch, pa.binary()), pa.array(folded, pa.binary()), none, none], names=names)
     frequent.merge()
     keep = frequent.counts > 1
     size = int(keep.sum())
     none = pa.nulls(size, pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [none, none, none, none, pa.nulls(size, pa.binary()), pa.array(frequent.keys[keep].view(np.int64)), pa.array(frequent.counts[keep])], names=names
+        [none, none, none, none, pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()), pa.array(frequent.keys[keep].view(np.int64)), pa.array(frequent.counts[keep])], names=names
     )
 
 
@@ -182,9 +188,10 @@ def _prefixes(frequent):
 
 
 def _hubs(batches):
-    """Rows of shingles that several classes share, each with the hub of its (shingle, salt): the first class there.
+    """Rows of shingles that several classes share: (grp, salt, c1, hub), the hub being the first class of the run.
 
-    Sorted input. Repeated rows go; a frequent shingle keeps its rows even where its salt has one class.
+    Sorted input. Repeated rows go. ``grp`` names the shingle by its holders, so the shingles of a passage make one group;
+    a frequent shingle, dealt out by salts, keeps its own name, and its rows even where a salt has one class.
     """
     for columns, bounds in whole_runs(batches, ["token", "salt"]):
         token, salt, c1 = (columns[k][: bounds[-1]] for k in ("token", "salt", "c1"))
@@ -192,10 +199,12 @@ def _hubs(batches):
         fresh = np.ones(len(c1), bool)
         fresh[1:] = c1[1:] != c1[:-1]
         fresh[starts] = True
+        holders = np.add.reduceat(np.where(fresh, mix(c1.view(np.uint64)), np.uint64(0)), starts)
         shared = np.repeat(np.add.reduceat(fresh.astype(np.int64), starts) > 1, sizes)
         keep = fresh & (shared | (salt > 0))
+        grp = np.where(salt > 0, token, np.repeat(mix(holders).view(np.int64), sizes))
         hub = np.repeat(c1[starts], sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, salt, c1, hub)], names=["token", "salt", "c1", "hub"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grp, salt, c1, hub)], names=["grp", "salt", "c1", "hub"])
 
 
 def _known(bits, key: str):
@@ -316,7 +325,7 @@ def least_shared(n, m):
 def _compare_blocks(batches):
     found, size = [], 0
     pack = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["a", "b", "least", "weight"])
-    for run in runs(batches, ["token", "i", "j"]):
+    for run in runs(batches, ["grp", "i", "j"]):
         part, rep, comp, n = (run[k].to_numpy() for k in ("part", "rep", "comp", "n"))
         sketch = Sketches(run["sketch"].combine_chunks())
         i, j, weight = run["i"][0].as_py(), run["j"][0].as_py(), run["weight"][0].as_py()
@@ -345,80 +354,91 @@ def classes_of_similar(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = written(docs.mapInArrow(_profile, "doc_id long, n long, c1 long, c2 long, sketch binary, token long, count long"), "shingle-profile")
+    profile = written(docs.mapInArrow(_profile, "doc_id long, n long, c1 long, c2 long, sketch binary, folded binary, token long, count long"), "shingle-profile")
     counted = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM)
     frequent = counted.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
     tokens = frequent["token"].to_numpy().view(np.uint64)
     by_hash = np.argsort(tokens)
     place = np.arange(len(tokens))[::-1][by_hash]
     sets = profile.where("token IS NULL AND n > 0 AND doc_id IS NOT NULL")
-    reps = written(sets.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    reps = written(sets.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("folded").alias("folded")), "sets")
     prefixes = docs.mapInArrow(_prefixes(spark.sparkContext.broadcast((tokens[by_hash], place))), "token long, salt int, c1 long")
     dealt = prefixes.repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "c1")
-    shared = written(dealt.mapInArrow(_hubs, "token long, salt int, c1 long, hub long"), "shared-shingles")
+    shared = written(dealt.mapInArrow(_hubs, "grp long, salt int, c1 long, hub long"), "shared-shingles")
 
     # Star links: to the hub of the shingle, and from the hubs of a frequent shingle's salts to the least of them.
-    stars = shared.where("c1 <> hub").select("c1", "hub").distinct()
-    salted = shared.where("salt > 0").select("token", "hub").distinct()
-    tops = written(salted.groupBy("token").agg(F.min("hub").alias("top")), "top-hubs")
-    stars = stars.union(salted.join(tops, "token").where("hub <> top").select("hub", "top").distinct())
+    stars = shared.where("c1 <> hub").groupBy("c1", "hub").agg(F.count("*").alias("shared"))
+    salted = shared.where("salt > 0").select("grp", "hub").distinct()
+    tops = written(salted.groupBy("grp").agg(F.min("hub").alias("top")), "top-hubs")
+    stars = stars.union(salted.join(tops, "grp").where("hub <> top").select("hub", "top").distinct().withColumn("shared", F.lit(None).cast("long")))
     names = reps.select("c1", "rep")
-    stars = stars.join(names, "c1").join(names.toDF("hub", "hub_rep"), "hub").select(F.col("hub_rep").alias("a"), F.col("rep").alias("b"))
+    stars = stars.join(names, "c1").join(names.toDF("hub", "hub_rep"), "hub").select(F.col("hub_rep").alias("a"), F.col("rep").alias("b"), "shared")
     links = written(verified_links(written(_near_pairs(stars, reps), "pairs"), docs), "similar")
     found = written(components(links), "components")
 
-    # Shingles whose holders are still in several components. Shingles with the same holders (a passage has many) count
-    # as one of that weight.
-    held = shared.select("token", "c1").distinct().join(names, "c1").select("token", "rep")
-    holders = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
-    held = written(_with_component(held, found), "holders")
-    mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), *holders).where("low <> high")
-    mixed = written(mixed.groupBy("size", "h1", "h2").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "weight"), "mixed")
-    held = written(held.join(mixed, "token"), "holders")
-
-    # Their holders meet a few other hubs in each round, the same ones wherever it can be, so that near copies come
-    # together by a few tries each.
+    # The holders of each group of shingles, and how many shingles it stands for.
+    held = written(shared.groupBy("grp", "c1").agg(F.count("*").alias("weight")), "holders")
+    held = written(_with_component(held.join(names, "c1").drop("c1"), found), "holders")
+
+    # Groups whose holders are in several components meet a few other hubs in each round, the same ones wherever it can
+    # be, so that near copies come together by a few tries each.
     for turn in range(ROUNDS):
         drawn = [F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn * HUBS + k))).alias(f"hub{k}") for k in range(HUBS)]
-        hubs = held.groupBy("token").agg(*drawn, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        hubs = hubs.select("token", F.inline(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))))
-        hubs = written(hubs.toDF("token", "hub", "hub_comp"), "hubs")
-        met = held.join(hubs, "token").where(F.col("comp") != F.col("hub_comp"))
-        stars = met.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        held = written(held.join(_mixed(held).select("grp"), "grp", "left_semi"), "holders")
+        hubs = held.groupBy("grp").agg(*drawn).select("grp", F.inline(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))))
+        hubs = written(hubs.toDF("grp", "hub", "hub_comp"), "hubs")
+        met = held.join(hubs, "grp").where(F.col("comp") != F.col("hub_comp"))
+        stars = met.groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.sum("weight").alias("shared"))
         pairs = written(_near_pairs(stars, reps), "pairs")
-        if pairs.first() is None:
-            break
-        links = written(links.union(verified_links(pairs, docs)), "similar")
-        found = written(components(links), "components")
-        held = held.drop("comp").join(hubs.select("token"), "token", "left_semi")
-        held = written(_with_component(held, found), "holders")
+        found = _joined(found, written(verified_links(pairs, docs), "similar"))
+        held = written(_with_component(held.drop("comp"), found), "holders")
 
     # What is still in different components is compared across components, block by block.
-    mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
-    mixed = written(mixed.select("token", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")), "mixed")
-    rows = held.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rows = rows.join(reps.select("rep", "n", "sketch"), "rep")
+    mixed = written(_mixed(held).select("grp", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")), "mixed")
+    rows = held.join(mixed, "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = rows.join(reps.select("rep", "n", F.coalesce("folded", "sketch").alias("sketch")), "rep")
     blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "n", "sketch", "weight")
-    dealt = blocks.repartition(partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    blocks = blocks.select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "n", "sketch", "weight")
+    dealt = blocks.repartition(partitions(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     tried = dealt.mapInArrow(_compare_blocks, "a long, b long, least long, weight long").groupBy("a", "b", "least").agg(F.sum("weight").alias("shared"))
     rest = written(tried.where("shared >= least").select("a", "b"), "pairs")
     more = written(verified_links(rest, docs), "similar")
-    found = written(components(links.union(more)), "components")
+    found = _joined(found, more)
     classed = reps.join(found, reps["rep"] == found["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     return profile.where("token IS NULL").select("doc_id", "n", "c1", "c2"), classed
 
 
+def _mixed(held: DataFrame) -> DataFrame:
+    """Groups whose holders are in several components, and their sizes."""
+    return held.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: those known so far are stars of links themselves."""
+    return written(components(links.select("a", "b").union(found.select("node", "component"))), "components")
+
+
 def _with_component(held: DataFrame, found: DataFrame) -> DataFrame:
     return held.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
 def _near_pairs(stars: DataFrame, reps: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) that sizes and sketches allow to be similar."""
-    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
-    sized = stars.where("a <> b").distinct().join(left, "a").join(right, "b").where(f"least(xn, yn) * 100 >= greatest(xn, yn) * {PERCENT}")
-    return sized.mapInArrow(_near, "a long, b long")
+    """The pairs (a, b) that sizes and sketches allow to be similar, and a quarter of the prefix shingles that similar
+    sets share at least.
+
+    ``shared`` counts the shingles at which b met this hub, null where it is not known. A hub is not met at all that two
+    sets share, so the count may leave out similar ones: the blocks compare them, with all that they share.
+    """
+    sizes = reps.select("rep", "n")
+    sized = stars.where("a <> b").join(sizes.toDF("a", "xn"), "a").join(sizes.toDF("b", "yn"), "b")
+    alike = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * PERCENT
+    both = F.col("xn") + F.col("yn")
+    need = F.ceil(both * PERCENT / (100 + PERCENT))
+    spare = lambda n: F.col(n) - F.ceil(F.col(n) * PERCENT / 100) + 1 - (F.col(n) - need)
+    often = F.col("shared").isNull() | (F.col("shared") * 4 >= F.least(spare("xn"), spare("yn")))
+    sized = sized.where(alike & often).select("a", "b", "xn", "yn").distinct()
+    sketches = reps.select("rep", "sketch")
+    return sized.join(sketches.toDF("a", "xs"), "a").join(sketches.toDF("b", "ys"), "b").mapInArrow(_near, "a long, b long")
 
 
 def _near(batches):
