@@ -119,6 +119,28 @@ def positional_align_join(spark, sf_dir):
     return pairs.select("model", "dial", "ordinal", "id", "truth", "pred", "score")
 
 
+@query(
+    "positional_align_gaps",
+    fx.with_(
+        [*fx.PREDICTIONS_SQL,
+         "numbered AS (SELECT model, dial, row_number() OVER (PARTITION BY model, dial ORDER BY id) - 1 AS ordinal, id, pred FROM predictions)",
+         """kept AS (SELECT model, dial, ordinal AS stored, pred, row_number() OVER (PARTITION BY model, dial ORDER BY ordinal) - 1 AS ordinal
+            FROM numbered WHERE ordinal % 11 <> 3)"""],
+        """SELECT n.model, n.dial, n.ordinal, n.id, k.pred, coalesce(k.stored = n.ordinal, false) AS aligned
+           FROM numbered n LEFT JOIN kept k ON k.model = n.model AND k.dial = n.dial AND k.ordinal = n.ordinal""",
+    ),
+)
+def positional_align_gaps(spark, sf_dir):
+    """A log that misses every eleventh line: from the first gap on, lines no longer belong to the example beside them."""
+    run = ["model", "dial"]
+    scored = assign_ordinal(fx.predictions(spark, sf_dir), ["id"], by=run)
+    log = scored.where(F.col("ordinal") % 11 != 3).select(*run, format_line("ordinal", "pred", "score").alias("line"))
+    log = parse_lines(log, "line").withColumn("stored", F.col("id").cast("bigint")).drop("id")
+    log = assign_ordinal(log, ["stored"], by=run)
+    pairs = J.align(log, scored.select(*run, "ordinal", "id"), run, strict=False)
+    return pairs.select(*run, "ordinal", "id", "pred", "aligned")
+
+
 @query(
     "run_matrix_cross",
     """SELECT r.dataset, r.m_type, r.model, d.lang AS dial, d.doc_id AS id
