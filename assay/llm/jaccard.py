@@ -338,10 +338,10 @@ def _compare_blocks(batches):
             both = n[ys] + n[x]
             ys = ys[apart <= both - 2 * required(both)]
             found.append((np.minimum(rep[ys], rep[x]), np.maximum(rep[ys], rep[x]), least_shared(n[ys], n[x]), np.full(len(ys), weight)))
-        size += len(left)
-        if size >= 10_000:
-            yield pack(found)
-            found, size = [], 0
+            size += len(ys)
+            if size >= 50_000 or len(found) >= 10_000:
+                yield pack(found)
+                found, size = [], 0
     if found:
         yield pack(found)
 
@@ -453,7 +453,8 @@ def similarity_classes(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_shingles, component_id.
 
     Null and empty texts have no shingles and are their own class; equal sets are linked; a row without doc_id takes
-    the class of its set, and null where no row with a doc_id has that set.
+    the class of its set, and null where no row with a doc_id has that set. A doc_id is taken to name one text: where
+    rows of several texts share one, any of these texts stands for it.
     """
     docs, classed = classes_of_similar(documents)
     joined = docs.join(classed, ["c1", "c2"], "left")
