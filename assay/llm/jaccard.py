@@ -34,7 +34,7 @@ BLOCK_ROWS = 512
 # Bits of the parity sketch of a set: the second for sets of more shingles than the first has bits.
 SKETCH_BITS = (1024, 8192)
 FILTER_BITS = 26
-ROUNDS, HUBS = 1, 8
+ROUNDS, HUBS = 2, 8
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -422,11 +422,11 @@ def _with_component(held: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _near_pairs(stars: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow to be similar, and a quarter of the prefix shingles that similar
-    sets share at least.
+    """The pairs (a, b) that sizes and sketches allow to be similar.
 
-    ``shared`` counts the shingles at which b met this hub, null where it is not known. A hub is not met at all that two
-    sets share, so the count may leave out similar ones: the blocks compare them, with all that they share.
+    The large sketches of long texts travel only for pairs that share a quarter of what similar sets must. ``shared``
+    counts the shingles at which b met this hub, null where it is not known; a hub is not met at all that two sets share,
+    so similar pairs may be left out here: the blocks compare them, with all that they share.
     """
     sizes = reps.select("rep", "n")
     sized = stars.where("a <> b").join(sizes.toDF("a", "xn"), "a").join(sizes.toDF("b", "yn"), "b")
@@ -434,7 +434,8 @@ def _near_pairs(stars: DataFrame, reps: DataFrame) -> DataFrame:
     both = F.col("xn") + F.col("yn")
     need = F.ceil(both * PERCENT / (100 + PERCENT))
     spare = lambda n: F.col(n) - F.ceil(F.col(n) * PERCENT / 100) + 1 - (F.col(n) - need)
-    often = F.col("shared").isNull() | (F.col("shared") * 4 >= F.least(spare("xn"), spare("yn")))
+    short = F.greatest("xn", "yn") <= SKETCH_BITS[0]
+    often = short | F.col("shared").isNull() | (F.col("shared") * 4 >= F.least(spare("xn"), spare("yn")))
     sized = sized.where(alike & often).select("a", "b", "xn", "yn").distinct()
     sketches = reps.select("rep", "sketch")
     return sized.join(sketches.toDF("a", "xs"), "a").join(sketches.toDF("b", "ys"), "b").mapInArrow(_near, "a long, b long")
