@@ -24,7 +24,7 @@ HIDDEN, GATE = 32, 16
 TRAINING_ROWS = 6000
 SHRINK = 16  # words
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.01, 1e-4
-CHUNK = 1 << 20  # bytes encoded at a time
+CHUNK = 1 << 18  # bytes encoded at a time
 
 
 def _byte_classes() -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assay.session import configure
 
 # Arrow batches of whole texts stay this small, so that Python workers need little memory beside the executor's heap.
-BATCH_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "16384"}
+BATCH_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "16384"}
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20  # bytes hashed at a time; bounds the 64-bit temporaries
+BLOCK = 1 << 18  # bytes hashed at a time; bounds the 64-bit temporaries
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
