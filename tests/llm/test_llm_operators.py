@@ -174,6 +174,75 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
             assert split(kept[i]) == [w for n, w in enumerate(words) if n not in covered[i]]
 
 
+def brute_passages(rows, size=40, equal=30):
+    """Words of each document that lie in ``size`` words, equal at both ends, of which ``equal`` stand in the same places of an earlier one."""
+    hit = {i: set() for i, _ in rows}
+    for (_, a), (j, b) in itertools.combinations([(i, np.array(t.split())) for i, t in sorted(rows)], 2):
+        for shift in range(-len(b) + size, len(a) - size + 1):
+            low, high = max(0, -shift), min(len(b), len(a) - shift)
+            same = b[low:high] == a[low + shift : high + shift]
+            sums = np.concatenate([[0], np.cumsum(same)])
+            for at in np.flatnonzero((sums[size:] - sums[:-size] >= equal) & same[: len(same) - size + 1] & same[size - 1 :]):
+                hit[j].update(range(low + at, low + at + size))
+    return hit
+
+
+def words_in_passages(spark, rows):
+    covered = {i: set() for i, _ in rows}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        assert r.other_id < r.doc_id and r.similarity >= 0.75 and r.end_word - r.start_word >= 40
+        a, b = dict(rows)[r.doc_id].split()[r.start_word : r.end_word], dict(rows)[r.other_id].split()[r.other_start : r.other_end]
+        if len(a) == len(b):
+            assert sum(x == y for x, y in zip(a, b)) >= 0.75 * len(a)
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+    return covered
+
+
+def test_edited_passages_are_those_of_brute_force(spark):
+    rng = random.Random(12)
+    rows, whole = [], {}
+
+    def plant(words, changed):
+        n = len(rows)
+        copy = [f"x{n}x{k}" if k in changed else w for k, w in enumerate(words)]
+        for part, i in ((words, n), (copy, n + 1)):
+            at = rng.randrange(30)
+            whole[i] = range(at, at + len(words))
+            rows.append((i, " ".join(prose(rng, at, 10**7) + part + prose(rng, rng.randrange(30), 10**7))))
+        del whole[n]
+
+    for every in (4, 5, 6, 7, 8, 10, 20):  # evenly
+        for size in (40, 60, 150):
+            plant(prose(rng, size, 10**7), set(range(every - 2, size - 1, every)))
+    plant(prose(rng, 50, 10**7), {17, 34})
+    for share in (0.05, 0.1, 0.15, 0.2, 0.25):  # at random, not at the ends
+        for size in (40, 41, 50, 80):
+            plant(prose(rng, size, 10**7), set(rng.sample(range(1, size - 1), int(share * size))))
+    want, got = brute_passages(rows), words_in_passages(spark, rows)
+    assert all(len(want[i]) >= 40 for i in whole if len(whole[i]) == 40)
+    for i, _ in rows:
+        # All of a passage of 40 words; the ends of longer ones only as far as they gain.
+        assert len(want[i] & got[i]) >= (1 if len(want[i]) == 40 else 0.9) * len(want[i]), i
+        assert got[i] <= set(whole.get(i, ()))
+
+
+def test_a_passage_with_parts_in_other_documents_is_found(spark):
+    rng = random.Random(13)
+    rows = []
+    for n in range(0, 40, 4):
+        p = prose(rng, 60, 10**7)
+        for k, part in enumerate((p[:37], p[23:], p, p)):
+            rows.append((n + k, " ".join(prose(rng, 20, 10**7) + part + prose(rng, 20, 10**7))))
+    # A long passage of stock sentences that stand alone in many documents.
+    stock = [prose(rng, 25, 10**7) for _ in range(8)]
+    rows += [(100 + k, " ".join(prose(rng, 30, 10**7) + stock[k % 8] + prose(rng, 30, 10**7))) for k in range(80)]
+    rows += [(k, " ".join(prose(rng, 20, 10**7) + sum(stock, []) + prose(rng, 20, 10**7))) for k in (300, 301)]
+    got = words_in_passages(spark, rows)
+    for i, _ in rows:
+        whole = range(20, 80) if i < 40 and i % 4 == 3 else range(20, 220) if i == 301 else ()
+        assert set(whole) == got[i], i
+
+
 def test_attention_gradients_are_slopes():
     rng = np.random.default_rng(1)
     model = quality.AttentionPooling()
