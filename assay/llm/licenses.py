@@ -3,7 +3,8 @@
 A template of m shingles is looked for in windows of 2w shingles that overlap by half, w the power of two from m on, so
 every place of it lies whole in some window, whose similarity with it is then above 1/8 even for a template cut to
 three quarters. Windows and templates that agree in one of the bands of one minimum meet: at similarity 1/8 one of 64
-bands agrees with probability above 0.999. Then the template's shingles in the window are counted exactly.
+bands agrees with probability above 0.999. Then the template's shingles in the window are counted exactly. A template of
+fewer than five words is one shingle of its own length and is found by that shingle alone.
 """
 
 from __future__ import annotations
@@ -66,6 +67,9 @@ TEMPLATES = (
     ),
 )
 
+#: With those of fewer than five words; numbers are places in this table.
+NOTICES = (*TEMPLATES, ("All rights reserved", "All rights reserved."))
+
 
 def minima(hashes: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """The least value of these shingles under each of the permutations."""
@@ -83,11 +87,18 @@ class Templates:
         values = shingles(words.hash, SHINGLE)[starts]
         row = np.searchsorted(words.offsets, starts, "right") - 1
         self.sets = [np.unique(values[row == i]) for i in range(len(templates))]
-        if not all(len(s) for s in self.sets):
-            raise ValueError("a template needs at least five words")
+        if not words.counts().all():
+            raise ValueError("a template needs a word")
+        # Shorter templates: number and shingle, by length.
+        self.short: dict[int, list[tuple[int, np.uint64]]] = {}
+        for i in np.flatnonzero(words.counts() < SHINGLE).tolist():
+            own = words.hash[words.offsets[i] : words.offsets[i + 1]]
+            self.short.setdefault(len(own), []).append((i, shingles(own, len(own))[0]))
         self.shingles = np.unique(values)
         self.bands: dict[int, dict[tuple[int, int], list[int]]] = {}
         for i, s in enumerate(self.sets):
+            if not len(s):
+                continue
             size = max(LEAST_WINDOW, 1 << (len(s) - 1).bit_length())
             found = self.bands.setdefault(size, {})
             for band, least in enumerate(minima(s).tolist()):
@@ -104,7 +115,7 @@ def _scan(templates: Templates, contained: float):
             values = shingles(words.hash, SHINGLE)[starts]
             # A window without any shingle of a template shares no minimum with one: only the others get a signature.
             at = np.minimum(np.searchsorted(templates.shingles, values), len(templates.shingles) - 1)
-            known = np.flatnonzero(templates.shingles[at] == values)
+            known = np.flatnonzero(templates.shingles[at] == values) if len(templates.shingles) else np.zeros(0, np.int64)
             row = np.searchsorted(words.offsets, starts[known], "right") - 1
             place = starts[known] - words.offsets[row]
             last = np.maximum(words.counts() - SHINGLE, 0)
@@ -125,6 +136,14 @@ def _scan(templates: Templates, contained: float):
                             # Overlapping windows see one place twice: the fuller view stays.
                             key = (r, i, found[1])
                             best[key] = max(best.get(key, found), found)
+            for n, own in templates.short.items():
+                places = window_starts(words.offsets, n)
+                grams = shingles(words.hash, n)[places]
+                for i, value in own:
+                    for p in places[grams == value]:
+                        r = int(np.searchsorted(words.offsets, p, "right")) - 1
+                        low = int(p - words.offsets[r])
+                        best[r, i, -low] = (1.0, -low, -(low + n))
             best = _apart(best)
             out = [(batch["doc_id"][r].as_py(), templates.names[i], i, -f, -l, share) for (r, i), (share, f, l) in best]
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
@@ -143,10 +162,10 @@ def _apart(best) -> list:
     return [(key, found) for key, places in kept.items() for found in places]
 
 
-def license_notices(documents: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+def license_notices(documents: DataFrame, templates=NOTICES, contained: float = CONTAINED) -> DataFrame:
     """A row for each place of a template in each whole text: doc_id, license, template (its number), first_word,
     last_word (exclusive; words are runs of letters, digits and non-ASCII characters) and containment, the share of the
-    template's five-word shingles found there.
+    template's five-word shingles found there; 1 for a shorter template, which is found whole.
 
     Documents without a notice, and null, empty or shorter texts have no row; repeated rows and rows without doc_id
     are scanned like others. All work is local to a row, so nothing is shuffled.

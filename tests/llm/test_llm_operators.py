@@ -462,3 +462,13 @@ def test_shuffle_is_uniform_and_repeatable(spark, monkeypatch):
     assert abs(np.mean(gaps) - 4000 / 3) < 60
     spread = Counter((i // 667, p // 500) for i, p in place.items())
     assert max(abs(n - 667 / 8) for (part, _), n in spread.items() if part < 5) < 45
+
+
+def test_notices_of_few_words_are_found(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id for r in license_notices(documents).where("license = 'All rights reserved'").collect()}
+    assert got == {r.doc_id for r in documents.collect() if re.search("(^| )all rights reserved( |$)", " ".join(split(r.text, False)))}
+    assert {29, 163, 584, 684, 831, 888, 975} <= got
+    rows = [(1, "All rights reserved"), (2, "a b ALL rights, reserved! c All rights reserved."), (3, "all rights"), (4, "reserved all rights"), (5, None)]
+    found = license_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.first_word, r.last_word, r.containment) for r in found) == [(1, 0, 3, 1.0), (2, 2, 5, 1.0), (2, 6, 9, 1.0)]
