@@ -74,7 +74,12 @@ def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             out[:, BUCKETS:-2] = kind / total
             if size > 2:
                 gram = (codes[0][bytes_[:-2]] + codes[1][bytes_[1:-1]] + codes[2][bytes_[2:]]) * np.uint32(0x9E3779B1) >> np.uint32(24)
-                grams = np.bincount(owner[2:] * BUCKETS + gram, minlength=len(begin) * BUCKETS)
+                # Not those that begin in another row than they end in.
+                whole = np.ones(size - 2, bool)
+                for back in (1, 2):
+                    at = ends[1:-1] - back
+                    whole[at[(at >= 0) & (at < size - 2)]] = False
+                grams = np.bincount((owner[2:] * BUCKETS + gram)[whole], minlength=len(begin) * BUCKETS)
                 out[:, :BUCKETS] = np.sqrt(grams.reshape(len(begin), -1) / total)
             n = np.minimum(PASSAGE, np.repeat(n_words, n_parts) - number * PASSAGE)
             out[:, -2] = n / PASSAGE

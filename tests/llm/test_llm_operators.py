@@ -274,6 +274,15 @@ def test_passage_features_do_not_depend_on_the_batch():
         assert np.allclose(alone[:, quality.BUCKETS :], x[offsets[i] : offsets[i + 1], quality.BUCKETS :])
 
 
+def test_trigrams_do_not_cross_rows():
+    rng = random.Random(3)
+    texts = ["ab", "x", "", None, "cd", " lead", *(" ".join(prose(rng, n)) for n in (1, 63, 65, 200)), "ab", "same text", "tail \n", "same text"]
+    x, offsets = quality.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        alone, _ = quality.encode(pa.array([text], pa.string()))
+        assert np.allclose(alone, x[offsets[i] : offsets[i + 1]])
+
+
 def test_quality_holds_on_unseen_rows(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     scores = quality.quality_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
