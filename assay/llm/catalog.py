@@ -6,6 +6,7 @@ from assay.llm import (  # noqa: F401
     embeddings,
     jaccard,
     licenses,
+    merkle,
     packing,
     passages,
     quality,
