@@ -9,6 +9,7 @@ from assay.llm import (  # noqa: F401
     merkle,
     packing,
     passages,
+    periods,
     quality,
     sharding,
     token_files,

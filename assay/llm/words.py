@@ -1,6 +1,6 @@
 """Words of whole text columns as numpy arrays: one pass over the bytes of an Arrow batch, no loop over rows.
 
-Words are maximal runs of word bytes in UTF-8, A-Z folded to a-z. A word is known by a 64-bit hash of its bytes, a
+Words are maximal runs of word bytes in UTF-8, A-Z folded to a-z unless told not to. A word is known by a 64-bit hash of its bytes, a
 shingle by a 64-bit hash of its words. Every hash is a fixed function, so all tasks and retries agree on it.
 """
 
@@ -31,9 +31,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _folded_codes() -> np.ndarray:
+def _codes(fold: bool) -> np.ndarray:
     codes = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-    codes[65:91] = codes[97:123]
+    if fold:
+        codes[65:91] = codes[97:123]
     return codes
 
 
@@ -85,7 +86,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def words_of(column: pa.Array, word_bytes: np.ndarray) -> Words:
+def words_of(column: pa.Array, word_bytes: np.ndarray, fold: bool = True) -> Words:
     data, rows = text_bytes(column)
     inside = word_bytes[data]
     first = inside.copy()
@@ -97,7 +98,7 @@ def words_of(column: pa.Array, word_bytes: np.ndarray) -> Words:
     last[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     hashes = np.empty(len(start), np.uint64)
-    codes, inverse = _folded_codes(), pow(int(_BASE), -1, 1 << 64)
+    codes, inverse = _codes(fold), pow(int(_BASE), -1, 1 << 64)
     done = 0
     power = back = np.zeros(0, np.uint64)
     while done < len(start):
