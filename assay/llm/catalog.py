@@ -12,6 +12,7 @@ from assay.llm import (  # noqa: F401
     periods,
     quality,
     sharding,
+    signatures,
     token_files,
 )
 from assay.llm.registry import ORACLES, QUERIES  # noqa: F401

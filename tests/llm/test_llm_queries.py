@@ -56,7 +56,7 @@ def test_query_matches_sql(spark, sf_dir, database, name):
     assert len({c.lower() for c in df.columns}) == len(df.columns)
 
 
-@pytest.mark.parametrize("name", ["op2_perspective_rotation", "op10_hypergeometric_shards"])
+@pytest.mark.parametrize("name", ["op2_perspective_rotation", "op10_hypergeometric_shards", "op11_weighted_sampling"])
 def test_native_queries_run_no_python(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "ExistingRDD"))
