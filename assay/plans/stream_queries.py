@@ -9,7 +9,6 @@ from assay.operators.sessions import session_steps
 from assay.plans import fixtures as fx
 from assay.plans.registry import query
 from assay.session import scratch_path
-from assay.sources.results_log import read_results_log
 from assay.streaming import runs as R
 
 FEED_FILES = 6
@@ -60,7 +59,7 @@ def session_step_machine(spark, sf_dir):
 @query("stream_session_steps", fx.with_(STEPS_SQL, "SELECT session, step FROM steps"))
 def stream_session_steps(spark, sf_dir):
     events = fx.session_events_of(feed(spark, sf_dir, "feed"))
-    return R.stream_session_steps(events, scratch_path(spark, "steps"), scratch_path(spark, "progress"))
+    return R.stream_session_steps(events, scratch_path(spark, "steps"), scratch_path(spark, "progress")).select("session", "step")
 
 
 @query(
@@ -84,4 +83,4 @@ def stream_results_flush(spark, sf_dir):
     )
     root = scratch_path(spark, "flushed")
     R.stream_results(results, root, scratch_path(spark, "progress"))
-    return read_results_log(spark, root)
+    return R.read_flushed(spark, root)

@@ -61,15 +61,22 @@ def _dataset_of(folder: Column) -> Column:
     return F.coalesce(*known, F.regexp_replace(folder, "_tmp$", ""))
 
 
-def read_results_log(spark: SparkSession, path: str, mode: str = "strict", layout: str = "partitioned") -> DataFrame:
+def read_results_log(
+    spark: SparkSession, path: str | list[str], mode: str = "strict", layout: str = "partitioned", base_path: str | None = None
+) -> DataFrame:
     """Read logs with their run columns ``dataset``, ``m_type``, ``model``, ``dial``.
 
-    ``partitioned`` is the layout ``write_results_log`` makes: filters on run columns skip whole folders.
+    ``partitioned`` is the layout ``write_results_log`` makes: filters on run columns skip whole folders. Several such
+    folders below ``base_path`` may be given.
     ``flat`` takes the run columns from ``<dataset>_<tag>_Results/<type>_<model>/<dial>_outs.txt`` paths.
     """
     if layout == "partitioned":
         schema = ", ".join(f"{c} string" for c in ("value", *RUN_COLUMNS))
-        lines = spark.read.schema(schema).text(path, lineSep="\n")
+        if path == []:
+            lines = spark.createDataFrame([], schema)
+        else:
+            reader = spark.read if base_path is None else spark.read.option("basePath", base_path)
+            lines = reader.schema(schema).text(path, lineSep="\n")
     elif layout == "flat":
         folder, m_type, model, dial = [F.regexp_extract("_metadata.file_path", FLAT_PATH, i) for i in (1, 2, 3, 4)]
         lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True).select(

@@ -1,8 +1,8 @@
 """Structured Streaming jobs over vote, session and result feeds.
 
-Each query keeps its progress in its own checkpoint and its state as one snapshot per micro-batch, made from the
-snapshot before and the batch: nothing older is read again, and older snapshots are deleted. A batch that is retried
-after a failure overwrites its own folder only, so results hold each input once.
+State lives in Spark's state store (RocksDB, checkpointed by its changes): a micro-batch reads and writes only the keys that
+it touches, and hands out the new values of these keys alone. They go to a ``BatchTable``, which a retried batch can't
+enter twice and which keeps its files few; the current value of a key is its newest row.
 """
 
 from __future__ import annotations
@@ -15,104 +15,61 @@ from pyspark.sql.streaming import StreamingQuery
 
 from assay.functions import fixed_values as V
 from assay.functions.text import progress_text
-from assay.operators.sessions import STEP_EVENTS, open_candidates, session_steps
-from assay.session import written
-from assay.sources.results_log import RUN_COLUMNS, format_line
+from assay.sources.results_log import RUN_COLUMNS, format_line, read_results_log
+from assay.streaming.batch_table import BatchTable, newest
+from assay.streaming.session_state import STEP_SCHEMA, SessionSteps, thinned
 
 AVAILABLE = {"availableNow": True}
 
 
 def run_batches(
-    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict = AVAILABLE, wait: bool = True
+    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict = AVAILABLE, wait: bool = True, mode: str = "append"
 ) -> StreamingQuery:
     """Start the query; with the default trigger it ends when all that is available is done, and is waited for."""
-    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     query = writer.trigger(**trigger).foreachBatch(each).start()
     if wait:
         query.awaitTermination()
     return query
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
-def keep_snapshot(
-    stream: DataFrame,
-    root: str,
-    checkpoint: str,
-    prepare: Callable[[DataFrame], DataFrame],
-    merge: Callable[[DataFrame], DataFrame],
-    **how,
-) -> StreamingQuery:
-    """State after batch i, below ``root/batch=i``: ``merge`` of the state after batch i - 1 and ``prepare`` of the batch."""
-
-    def advance(batch_rows: DataFrame, batch: int) -> None:
-        spark, state = batch_rows.sparkSession, prepare(batch_rows)
-        if batch:
-            state = state.unionByName(spark.read.schema(state.schema).parquet(f"{root}/batch={batch - 1}"))
-        merge(state).write.mode("overwrite").parquet(f"{root}/batch={batch}")
-        if batch > 1:
-            _delete(spark, f"{root}/batch={batch - 2}")
-
-    return run_batches(stream, advance, checkpoint, **how)
-
-
-def last_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest state; only that folder is read."""
-    saved = spark.read.parquet(root)
-    newest = saved.agg(F.max("batch")).first()[0]
-    return saved.where(F.col("batch") == newest).drop("batch")
+def keep_newest(changed: DataFrame, keys: list[str], root: str, checkpoint: str, **how) -> DataFrame:
+    """Write the rows that each batch changed, and return the newest of each key once the query has ended."""
+    spark = changed.sparkSession
+    table = BatchTable(spark, root, merge=lambda rows: newest(rows, keys))
+    run_batches(changed, lambda rows, batch: table.append(rows.withColumn("batch", F.lit(batch).cast("long")), batch), checkpoint, mode="update", **how)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changed.schema)
+    return newest(table.read(f"{schema}, batch bigint"), keys).drop("batch")
 
 
 def stream_tally(stream: DataFrame, root: str, checkpoint: str, best: str = "best", **how) -> DataFrame:
     """Running votes per model."""
-    counts = lambda df: df.groupBy(best).agg(F.count(F.lit(1)).alias("votes"))
-    merged = lambda df: df.groupBy(best).agg(F.sum("votes").alias("votes"))
-    keep_snapshot(stream, root, checkpoint, counts, merged, **how)
-    return last_snapshot(stream.sparkSession, root)
+    return keep_newest(stream.groupBy(best).agg(F.count(F.lit(1)).alias("votes")), [best], root, checkpoint, **how)
 
 
 def stream_counter(stream: DataFrame, root: str, checkpoint: str, goal: int = V.VOTE_GOAL, session: str = "session", **how) -> DataFrame:
     """Votes per session with completion."""
-    counts = lambda df: df.groupBy(session).agg(F.count(F.lit(1)).alias("n_votes"))
-    merged = lambda df: df.groupBy(session).agg(F.sum("n_votes").alias("n_votes"))
-    keep_snapshot(stream, root, checkpoint, counts, merged, **how)
-    latest = last_snapshot(stream.sparkSession, root)
+    latest = keep_newest(stream.groupBy(session).agg(F.count(F.lit(1)).alias("n_votes")), [session], root, checkpoint, **how)
     return latest.withColumns({"completed": F.col("n_votes") >= goal, "progress": progress_text("n_votes", goal)})
 
 
 def stream_session_steps(stream: DataFrame, root: str, checkpoint: str, **how) -> DataFrame:
-    """Step of every session after all events so far (``session``, ``kind``, ``pos``), in whatever order they came.
-
-    The state holds the events that are, or may yet become, milestones, and a row for each session seen.
-    """
-
-    def prepare(events: DataFrame) -> DataFrame:
-        named = events.select("session", "kind", "pos").where(F.col("kind").isin(STEP_EVENTS))
-        seen = events.select("session").distinct()
-        return named.unionByName(seen.select("session", F.lit(None).cast("string").alias("kind"), F.lit(None).cast(events.schema["pos"].dataType).alias("pos")))
+    """Step of every session after all events so far (``session``, ``kind``, ``pos``), in whatever order they came."""
+    events = stream.select("session", "kind", F.col("pos").cast("long").alias("pos"))
+    events = events.mapInPandas(thinned, events.schema)
+    kind = stream.schema["session"].dataType.simpleString()
+    steps = events.groupBy("session").transformWithStateInPandas(SessionSteps(), f"session {kind}, {STEP_SCHEMA}", "update", "none")
+    return keep_newest(steps, ["session"], root, checkpoint, **how)
 
-    def merge(candidates: DataFrame) -> DataFrame:
-        return open_candidates(candidates, written(session_steps(candidates), "steps"))
 
-    keep_snapshot(stream, root, checkpoint, prepare, merge, **how)
-    return session_steps(last_snapshot(stream.sparkSession, root)).select("session", "step")
+def stream_results(stream: DataFrame, root: str, checkpoint: str, **how) -> None:
+    """Append result lines as they come, a folder per run in each entry of the table below ``root``."""
+    table = BatchTable(stream.sparkSession, root, keys=RUN_COLUMNS, kind="text")
+    lines = stream.select(format_line("id", "pred", "score").alias("value"), *RUN_COLUMNS)
+    run_batches(lines, table.append, checkpoint, **how)
 
 
-def stream_results(stream: DataFrame, root: str, checkpoint: str, **how) -> None:
-    """Append result lines as they come, below ``root/dataset=/m_type=/model=/dial=/batch=``."""
-    keys = [*RUN_COLUMNS, "batch"]
-
-    def flush(df: DataFrame, batch: int) -> None:
-        lines = df.select(*RUN_COLUMNS, F.lit(batch).alias("batch"), format_line("id", "pred", "score").alias("value"))
-        (
-            lines.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("lineSep", "\n")
-            .partitionBy(*keys)
-            .text(root)
-        )
-
-    run_batches(stream, flush, checkpoint, **how)
+def read_flushed(spark: SparkSession, root: str, mode: str = "strict") -> DataFrame:
+    """The results that ``stream_results`` has committed so far, each once."""
+    folders = BatchTable(spark, root).folders()
+    return read_results_log(spark, folders, mode=mode, base_path=f"{root.rstrip('/')}/data")

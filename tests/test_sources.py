@@ -190,7 +190,7 @@ def test_stream_steps_equal_batch(spark):
     )
     got = R.stream_session_steps(feed(spark, df, "s", 7), scratch_path(spark, "o"), scratch_path(spark, "c"))
     want = session_steps(df).select("session", "step")
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    assert {tuple(r) for r in got.select("session", "step").collect()} == {tuple(r) for r in want.collect()}
 
 
 def test_stream_results_are_written_once(spark):
@@ -202,7 +202,7 @@ def test_stream_results_are_written_once(spark):
     root, progress = scratch_path(spark, "o"), scratch_path(spark, "c")
     R.stream_results(stream, root, progress)
     R.stream_results(stream, root, progress)
-    back = read_results_log(spark, root)
+    back = R.read_flushed(spark, root)
     assert back.count() == 90 and back.select("id").distinct().count() == 90
 
 
