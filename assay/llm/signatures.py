@@ -91,6 +91,8 @@ def in_rings(documents: DataFrame) -> DataFrame:
     visit = F.struct(at(before, "int").alias("part"), F.lit(True).alias("guest"))
     seats = F.when(F.col("doc_id").eqNullSafe(at(first, "bigint")), F.array(home, visit)).otherwise(F.array(home))
     seated = docs.withColumn("part", part).withColumn("seat", F.explode(seats)).select("seat.part", "seat.guest", "doc_id", "text")
+    # As many tasks as parts, which AQE leaves as they are: a task holds the words of few texts.
+    seated = seated.repartition(n, "part")
     order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return seated.select("part", F.row_number().over(order).alias("row"), "guest", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
