@@ -22,8 +22,8 @@ from assay.operators.predict import (
 from assay.operators.preferences import preference_counter, preference_tally
 from assay.plans import fixtures as fx
 from assay.plans.registry import query
-from assay.session import local_rows
-from assay.sources.results_log import format_line, parse_lines
+from assay.session import local_rows, scratch_path
+from assay.sources.results_log import format_line, parse_lines, read_results_log, write_results_log
 
 
 def rounded(name: str, out: str | None = None):
@@ -110,13 +110,49 @@ def required_lookup_join(spark, sf_dir):
     ),
 )
 def positional_align_join(spark, sf_dir):
+    """Each run's log is written in example order and paired with the examples by the place of its lines in their files."""
+    run = ["model", "dial"]
+    scored = assign_ordinal(fx.predictions(spark, sf_dir), ["id"], by=run)
+    log = logged(spark, scored.withColumns({"dataset": F.lit("yes_no"), "place": F.col("ordinal")}))
+    pairs = J.align(log.select(*run, "stored", "ordinal", "pred", "score"), scored.select(*run, "ordinal", "id", "truth"), run)
+    return pairs.select(*run, "ordinal", "id", "truth", "pred", "score")
+
+
+def logged(spark, scored):
+    """Rows with dataset, model, dial, ordinal, place, pred, score as logs in the order of ``place``, read back: the index in
+    the line as ``stored``, the place of the line in its run as ``ordinal``."""
+    root = scratch_path(spark, "logs")
+    rows = scored.select("dataset", F.lit("e2e").alias("m_type"), "model", "dial", F.col("ordinal").alias("id"), "pred", "score", "place")
+    write_results_log(rows, root, order="place")
+    return read_results_log(spark, root, places=True).withColumns({"stored": F.col("id").cast("bigint"), "ordinal": F.col("place")}).drop("id", "place")
+
+
+@query(
+    "positional_align_file",
+    fx.with_(
+        [*fx.PREDICTIONS_SQL,
+         "numbered AS (SELECT model, dial, row_number() OVER (PARTITION BY model, dial ORDER BY id) - 1 AS o, count(*) OVER (PARTITION BY model, dial) AS n, id, pred FROM predictions)",
+         """logs AS (
+            SELECT 'right' AS dataset, model, dial, o AS stored, o AS place, pred FROM numbered
+            UNION ALL SELECT 'swapped', model, dial, o, CASE WHEN o % 10 = 4 AND o + 1 < n THEN o + 1 WHEN o % 10 = 5 THEN o - 1 ELSE o END, pred FROM numbered
+            UNION ALL SELECT 'short', model, dial, o, row_number() OVER (PARTITION BY model, dial ORDER BY o) - 1, pred FROM numbered WHERE o % 50 <> 20)"""],
+        """SELECT v.dataset, e.model, e.dial, e.o AS ordinal, e.id, l.pred, coalesce(l.stored = e.o, false) AS aligned
+           FROM numbered e CROSS JOIN (VALUES ('right'), ('swapped'), ('short')) AS v(dataset)
+           LEFT JOIN logs l ON l.dataset = v.dataset AND l.model = e.model AND l.dial = e.dial AND l.place = e.o""",
+    ),
+)
+def positional_align_file(spark, sf_dir):
+    """A right log, one with neighbouring lines swapped and one that misses lines, each held against the examples by place."""
+    run = ["dataset", "model", "dial"]
     scored = assign_ordinal(fx.predictions(spark, sf_dir), ["id"], by=["model", "dial"])
-    log = parse_lines(scored.select("model", "dial", format_line("ordinal", "pred", "score").alias("line")), "line")
-    log = log.withColumn("stored", F.col("id").cast("bigint")).drop("id")
-    log = assign_ordinal(log, ["stored"], by=["model", "dial"])
-    examples = assign_ordinal(fx.answers(spark, sf_dir).drop("pred"), ["id"], by=["model", "dial"])
-    pairs = J.align(log, examples, ["model", "dial"])
-    return pairs.select("model", "dial", "ordinal", "id", "truth", "pred", "score")
+    sizes = scored.groupBy("model", "dial").agg(F.count(F.lit(1)).alias("n"))
+    o = F.col("ordinal")
+    swapped = F.when((o % 10 == 4) & (o + 1 < F.col("n")), o + 1).when(o % 10 == 5, o - 1).otherwise(o)
+    kinds = F.array(*[F.struct(F.lit(name).alias("dataset"), place.alias("place")) for name, place in (("right", o), ("swapped", swapped), ("short", o))])
+    every = scored.join(sizes, ["model", "dial"]).select("*", F.inline(kinds))
+    log = logged(spark, every.where((F.col("dataset") != "short") | (o % 50 != 20)))
+    pairs = J.align(log.select(*run, "stored", "ordinal", "pred"), every.select(*run, "ordinal", "id"), run, strict=False)
+    return pairs.select(*run, "ordinal", "id", "pred", "aligned")
 
 
 @query(

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assay.functions import fixed_values as V
 from assay.functions.text import md5_uniform
-from assay.operators.ordinals import positional_shards
+from assay.operators.ordinals import assign_ordinal, positional_shards
 from assay.operators.preferences import append_preferences
 from assay.plans import fixtures as fx
 from assay.plans.registry import query
 from assay.plans.tasks import load_task, task_names
 from assay.session import scratch_path
-from assay.sources.keyed_json import explode_keyed_json, read_keyed_json, write_keyed_json
+from assay.sources.keyed_json import explode_keyed_json, read_indented_json, read_keyed_json, write_keyed_json
 from assay.sources.results_log import read_results_log, write_results_log
 from assay.sources.tables import (
     publish,
@@ -36,9 +37,12 @@ def keyed_json_scan(spark, sf_dir):
     "WHERE json_extract_string(props, '$.k') IS NOT NULL",
 )
 def keyed_json_scalars(spark, sf_dir):
-    events = fx.table(spark, sf_dir, "events")
-    parsed = F.from_json("props", "map<string,bigint>")
-    return events.select("event_id", F.explode(parsed).alias("key", "value"))
+    """Every event's properties, keyed by the event and the property."""
+    events = fx.table(spark, sf_dir, "events").where(F.col("props").isNotNull())
+    named = F.to_json(F.create_map(F.concat_ws(":", "event_id", F.lit("k")), F.get_json_object("props", "$.k").cast("bigint")))
+    rows = explode_keyed_json(events.where(F.get_json_object("props", "$.k").isNotNull()).select(named.alias("doc")), "doc", "bigint")
+    name = F.split("key", ":")
+    return rows.select(name[0].cast("bigint").alias("event_id"), name[1].alias("key"), "value")
 
 
 @query(
@@ -57,6 +61,63 @@ def keyed_json_quarantine(spark, sf_dir):
     return rows.groupBy("key", "problem").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+@query("keyed_json_indented", fx.with_(fx.PAGE_KEYS_SQL, "SELECT key, url, n FROM page_records"))
+def keyed_json_indented(spark, sf_dir):
+    """Pages as indented objects, a file for every thousand pages, each read by as many tasks as it has ranges."""
+    path = scratch_path(spark, "indented")
+    pages = assign_ordinal(fx.page_records(spark, sf_dir), ["key"])
+    shard, last = F.floor(F.col("ordinal") / 1000).cast("int"), F.lead("ordinal").over(Window.partitionBy("shard").orderBy("ordinal")).isNull()
+    pages = pages.withColumn("shard", F.coalesce(shard, F.lit(0))).withColumns({"first": F.col("ordinal") % 1000 == 0, "last": last})
+    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
+    rows = F.array_compact(
+        F.array(
+            F.when(F.col("first"), F.lit("{")),
+            F.concat(F.lit("  "), quoted("key"), F.lit(": {")),
+            F.concat(F.lit('    "url": '), quoted("url"), F.lit(",")),
+            F.concat(F.lit('    "n": '), F.col("n").cast("string")),
+            F.when(F.col("last"), F.lit("  }")).otherwise(F.lit("  },")),
+            F.when(F.col("last"), F.lit("}")),
+        )
+    )
+    lines = pages.select("shard", "ordinal", F.posexplode(rows).alias("place", "value")).repartition("shard").sortWithinPartitions("shard", "ordinal", "place")
+    lines.select("shard", "value").write.partitionBy("shard").text(path, lineSep="\n")
+    return read_indented_json(spark, path, "struct<url:string,n:bigint>").select("key", "value.url", "value.n")
+
+
+@query(
+    "delimited_by_name",
+    "SELECT doc_id, text, n_chars, lang FROM documents",
+)
+def delimited_by_name(spark, sf_dir):
+    """Whole texts, line breaks and quotes included, through a delimited file whose columns stand in another order."""
+    path = scratch_path(spark, "csv")
+    docs = fx.table(spark, sf_dir, "documents")
+    docs.select("lang", "text", "source", "n_chars", "doc_id").write.csv(path, header=True, escape='"', quoteAll=True, lineSep="\n")
+    return read_delimited(spark, path, "doc_id long, text string, n_chars long, lang string", na_values=[], multi_line=True)
+
+
+@query(
+    "delimited_quarantine",
+    """SELECT doc_id, n_chars, problem FROM (
+         SELECT CASE WHEN doc_id % 5 IN (0, 4) THEN doc_id END AS doc_id, CASE WHEN doc_id % 5 IN (0, 4) THEN n_chars END AS n_chars,
+                CASE doc_id % 5 WHEN 1 THEN 'not 3 fields but 4' WHEN 2 THEN 'not 3 fields but 2' WHEN 3 THEN 'n_chars is not bigint: ' || lang END AS problem
+         FROM documents)""",
+)
+def delimited_quarantine(spark, sf_dir):
+    """Lines with a field too many, one too few, and a value of another type."""
+    path = scratch_path(spark, "tsv")
+    kind, id_, n = F.col("doc_id") % 5, F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    line = (
+        F.when(kind == 1, F.concat_ws("\t", "lang", id_, n, F.lit("x")))
+        .when(kind == 2, F.concat_ws("\t", "lang", id_))
+        .when(kind == 3, F.concat_ws("\t", "lang", id_, "lang"))
+        .otherwise(F.concat_ws("\t", F.lit('"a\tb"'), id_, n))
+    )
+    fx.table(spark, sf_dir, "documents").select(line.alias("lang\tdoc_id\tn_chars")).write.csv(path, header=True, sep="\x01", quote="", lineSep="\n")
+    rows = read_delimited(spark, path, "n_chars long, doc_id long", sep="\t", mode="quarantine")
+    return rows.select("doc_id", "n_chars", "problem")
+
+
 @query(
     "delimited_scan",
     fx.with_([fx.ITEMS_SQL], "SELECT doc_id, source, n_chars, quality, toxic, split FROM items"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.sources.lines import json_members, numbered_lines
+
 MODES = ("strict", "quarantine")
 
 
@@ -56,15 +58,24 @@ def explode_keyed_json(
 def read_keyed_json(
     spark: SparkSession, path: str, value_type: str, root: str | None = None, whole_file: bool = False, mode: str = "strict"
 ) -> DataFrame:
-    """Read object-of-records JSON.
+    """Read object-of-records JSON, a line per object; a large file splits over many tasks.
 
-    By default every line is one object, so a large file splits over many tasks. ``whole_file=True`` reads files
-    that hold a single pretty-printed object; each such file is one task's work, which the form implies.
+    ``whole_file=True`` reads files that hold a single object with an enclosing key ``root``, each as one task's work;
+    without such a key ``read_indented_json`` reads them in parallel.
     """
     lines = spark.read.text(path, wholetext=whole_file, lineSep=None if whole_file else "\n")
     return explode_keyed_json(lines, "value", value_type, root, mode)
 
 
+def read_indented_json(spark: SparkSession, path: str, value_type: str, mode: str = "strict") -> DataFrame:
+    """Read files that hold one object (or several, one after the other) laid out over lines, many tasks to a file.
+
+    A file is cut where a member of the object ends with its line; only single members are parsed. Braces that don't close
+    are a problem of their file.
+    """
+    return explode_keyed_json(json_members(numbered_lines(spark, path)), "value", value_type, mode=mode)
+
+
 def write_keyed_json(df: DataFrame, key: str, path: str) -> None:
     """Write one single-key object per line: the splittable form ``read_keyed_json`` reads back."""
     record = F.struct(*[F.col(c) for c in df.columns if c != key])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import fixed_values as V
 from assay.functions.text import as_col, decode_pred, encode_pred
+from assay.sources.lines import ranged, with_places
 
 RUN_COLUMNS = ["dataset", "m_type", "model", "dial"]
 # <dataset>_<run tag>_Results/<run type>_<model>/<dial>_outs.txt, a file or a folder of files
@@ -62,12 +63,14 @@ def _dataset_of(folder: Column) -> Column:
 
 
 def read_results_log(
-    spark: SparkSession, path: str | list[str], mode: str = "strict", layout: str = "partitioned", base_path: str | None = None
+    spark: SparkSession, path: str | list[str], mode: str = "strict", layout: str = "partitioned", base_path: str | None = None,
+    places: bool = False,
 ) -> DataFrame:
     """Read logs with their run columns ``dataset``, ``m_type``, ``model``, ``dial``.
 
     ``partitioned`` is the layout ``write_results_log`` makes: filters on run columns skip whole folders. Several such
     folders below ``base_path`` may be given.
+    ``places`` adds ``place``, the number of each line in its run (from 0, over all files of the run in their order).
     ``flat`` takes the run columns from ``<dataset>_<tag>_Results/<type>_<model>/<dial>_outs.txt`` paths.
     """
     if layout == "partitioned":
@@ -79,20 +82,33 @@ def read_results_log(
             lines = reader.schema(schema).text(path, lineSep="\n")
     elif layout == "flat":
         folder, m_type, model, dial = [F.regexp_extract("_metadata.file_path", FLAT_PATH, i) for i in (1, 2, 3, 4)]
-        lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True).select(
-            "value", _dataset_of(folder).alias("dataset"), m_type.alias("m_type"), model.alias("model"), dial.alias("dial")
-        )
+        lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True)
+        runs = {"dataset": _dataset_of(folder), "m_type": m_type, "model": model, "dial": dial}
+        lines = lines.select("value", *[c.alias(name) for name, c in runs.items()], "_metadata")
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    return parse_lines(lines, mode=mode).select(
-        *RUN_COLUMNS, "id", "pred", "score", *(["malformed"] if mode == "quarantine" else [])
-    )
+    if places:
+        lines = with_places(ranged(lines), RUN_COLUMNS, "place")
+    extra = [*(["place"] if places else []), *(["malformed"] if mode == "quarantine" else [])]
+    return parse_lines(lines, mode=mode).select(*RUN_COLUMNS, "id", "pred", "score", *extra)
 
 
-def write_results_log(df: DataFrame, root: str, mode: str = "errorifexists") -> None:
+def write_results_log(df: DataFrame, root: str, mode: str = "errorifexists", order: str | None = None) -> None:
     """Write ``id``, ``pred``, ``score`` of every run below one root, a folder per run.
 
-    A run is a dataset, a run type, a model and a dial.
+    A run is a dataset, a run type, a model and a dial. With ``order`` its lines stand in ascending order of that column:
+    rows are sorted into ranges of run and order, and the numbers in the names of a run's files follow the ranges, so
+    that reading with ``places`` numbers the lines as they were written, over any number of files.
     """
-    lines = df.select(*RUN_COLUMNS, format_line("id", "pred", "score").alias("value"))
-    lines.hint("rebalance", *RUN_COLUMNS).write.mode(mode).partitionBy(*RUN_COLUMNS).text(root, lineSep="\n")
+    line = format_line("id", "pred", "score").alias("value")
+    if order is None:
+        df.select(*RUN_COLUMNS, line).hint("rebalance", *RUN_COLUMNS).write.mode(mode).partitionBy(*RUN_COLUMNS).text(root, lineSep="\n")
+        return
+    # The writer sorts once more, and loses the order, unless it sees the folder names sorted: it does not see that of
+    # nullable or constant ones, so they are made neither (nothing of the order is appended).
+    nothing = F.substring(F.coalesce(F.col(f"`{order}`").cast("string"), F.lit("")), F.lit(1), F.lit(0))
+    runs = [F.coalesce(F.concat(F.col(c).cast("string"), nothing), F.lit("")).alias(c) for c in RUN_COLUMNS]
+    lines = df.select(*runs, F.col(f"`{order}`").alias("_order"), line)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = lines.repartitionByRange(ranges, *RUN_COLUMNS, "_order").sortWithinPartitions(*RUN_COLUMNS, "_order")
+    placed.select(*RUN_COLUMNS, "value").write.mode(mode).partitionBy(*RUN_COLUMNS).text(root, lineSep="\n")
