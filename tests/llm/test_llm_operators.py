@@ -198,6 +198,84 @@ def words_in_passages(spark, rows):
     return covered
 
 
+def reworded(rng, words, likeness):
+    """Words put in, left out and changed at random places, so that about this share of the longer side stays equal."""
+    out, edits = list(words), round(len(words) * (1 - likeness))
+    for _ in range(edits):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        out[at : at + (kind != 0)] = [] if kind == 2 else [f"e{rng.randrange(10**6)}"]
+    return out
+
+
+def test_passages_with_words_put_in_and_left_out_are_found(spark):
+    rng = random.Random(15)
+    rows, planted = [], {}
+    for case in range(160):
+        kind = ("in 8", "in 12", "in 16", 0.95, 0.9, 0.85, 0.8, 0.76)[case % 8]
+        passage = prose(rng, 60, 10**6)
+        if isinstance(kind, str):
+            step = int(kind.split()[1])
+            again = [w for i, word in enumerate(passage) for w in ([word, f"e{rng.randrange(10**6)}"] if i % step == step - 1 else [word])]
+        else:
+            again = reworded(rng, passage, kind)
+        for doc, part in ((2 * case, passage), (2 * case + 1, again)):
+            before = prose(rng, 50, 10**6)
+            rows.append((doc, " ".join(before + part + prose(rng, 50, 10**6))))
+            planted[doc] = (50, 50 + len(part), kind)
+    found = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        low, high, _ = planted[r.doc_id]
+        assert r.other_id == r.doc_id - 1 and r.similarity >= 0.75
+        found[r.doc_id] = max(found.get(r.doc_id, 0), (min(high, r.end_word) - max(low, r.start_word)) / (high - low))
+    recall = {}
+    for doc, (_, _, kind) in planted.items():
+        if doc % 2:
+            recall.setdefault(kind, []).append(found.get(doc, 0) >= 0.6)
+    shares = {kind: sum(hits) / len(hits) for kind, hits in recall.items()}
+    print(shares)
+    assert min(v for k, v in shares.items() if k != 0.76) >= 0.9 and shares[0.76] >= 0.6, shares
+
+
+def test_pairs_of_near_copies_grow_with_their_number(spark):
+    rng = random.Random(16)
+    base = prose(rng, 300, 10**6)
+    sizes = {}
+    for n in (60, 240):
+        rows = [(i, " ".join(edited(rng, base, 0.05))) for i in range(n)]
+        found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {r.doc_id for r in found} == set(range(1, n))
+        sizes[n] = len({(r.doc_id, r.other_id) for r in found}) / n
+    assert sizes[240] <= 1.5 * sizes[60] and sizes[240] < 12
+
+
+def test_matches_do_not_depend_on_the_batches():
+    rng = random.Random(17)
+    rows = sorted({(rng.randrange(6), rng.randrange(12), rng.randrange(40)) for _ in range(300)})
+    rows = [(s, d, p if rng.random() < 0.7 else ~p) for s, d, p in rows]
+    want = set()
+    for seed in range(6):
+        mine = [(d, p if p >= 0 else ~p, p >= 0) for s, d, p in rows if s == seed]
+        for k, (d, p, seeks) in enumerate(mine):
+            earlier = [(e, q) for e, q, _ in mine[:k] if e < d]
+            if seeks and earlier:
+                want |= {(d, *hub, p) for hub in {earlier[0]} | ({earlier[-1]} if earlier[-1][0] != earlier[0][0] else set())}
+    for size in (1, 2, 7, 1000):
+        batches = []
+        for low in range(0, len(rows), size):
+            s, d, p = zip(*rows[low : low + size])
+            batches.append(pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32())], names=["seed", "doc_id", "pos"]))
+        got = {(d, h, q, p) for b in passages._short_matches(iter(batches)) for d, h, p, q in zip(*(b[c].to_pylist() for c in ("doc_id", "hub", "pos", "hub_pos")))}
+        assert got == want, size
+
+
+def test_rare_runs_are_kept_in_every_window():
+    rng = random.Random(18)
+    key = np.array([rng.randrange(200) for _ in range(500)], np.uint32)
+    got = passages.rare_enough(key, 38, 7)
+    want = [any(sum(key[j] < key[i] for j in range(max(0, s), min(500, s + 38))) >= 7 for s in range(i - 37, i + 1)) for i in range(500)]
+    assert got.tolist() == want and 0 < got.sum() < 500
+
+
 def test_edited_passages_are_those_of_brute_force(spark):
     rng = random.Random(12)
     rows, whole = [], {}
