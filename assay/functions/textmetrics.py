@@ -1,16 +1,20 @@
 """BLEU and token-overlap scores as Column expressions.
 
-Each score needs one text pair only, so it is computed inside the row: no explode and no shuffle.
-Tokens and n-grams are compared as 64-bit hashes, multisets by hash set, and by one merge of their sorted repeats only
-where both sides have repeats.
+Each score needs one text pair only: no explode and no shuffle. Tokens and n-grams are compared as 64-bit hashes. The
+n-grams of BLEU are counted over whole Arrow batches; token multisets are compared inside the row, by hash set, and by one
+merge of their sorted repeats only where both sides have repeats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.functions import fixed_values as V
 from assay.functions.arrays import let
@@ -108,66 +112,80 @@ def _merge_overlap(pair: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.aggregate(steps, start, step, lambda s: s["hits"])).otherwise(0)
 
 
-def longer_grams(grams: Column, tokens: Column, order: int) -> Column:
-    """Hashes of the n-grams of one order from those of the order below, by taking in one token each."""
-    left = F.greatest(F.size(tokens) - (order - 1), F.lit(0))
-    return F.zip_with(F.slice(grams, 1, left), F.slice(tokens, order, left), lambda g, t: F.xxhash64(g, t))
-
-
-def bleu_from_counts(hits: Column, hyp_len: Column, ref_len: Column) -> Column:
-    """Exponentially smoothed BLEU of one pair from its clipped matches per order (array of 4)."""
-    orders = F.array(
-        *[
-            F.struct(F.get(hits, F.lit(n - 1)).alias("c"), F.greatest(hyp_len - (n - 1), F.lit(0)).alias("t"))
-            for n in range(1, MAX_ORDER + 1)
-        ]
-    )
-    start = F.struct(F.lit(1.0).alias("k"), F.lit(0.0).alias("logs"))
-
-    def smooth(s: Column, o: Column) -> Column:
-        k = F.when(o["c"] == 0, s["k"] * 2.0).otherwise(s["k"])
-        share = F.when(o["c"] == 0, F.lit(100.0) / (k * o["t"])).otherwise(F.lit(100.0) * o["c"] / o["t"])
-        return F.struct(k.alias("k"), (s["logs"] + F.log(share)).alias("logs"))
-
-    brevity = F.when(hyp_len >= ref_len, F.lit(1.0)).otherwise(
-        F.exp(F.lit(1.0) - ref_len.cast("double") / F.nullif(hyp_len, F.lit(0)))
-    )
-    mean_log = F.aggregate(orders, start, smooth, lambda s: s["logs"] / F.lit(float(MAX_ORDER)))
-    scored = (hyp_len >= MAX_ORDER) & F.exists(hits, lambda c: c > 0)
-    return F.when(scored, brevity * F.exp(mean_log)).otherwise(F.lit(0.0))
-
-
-def clipped_matches(hyp_tokens: Column, ref_tokens: Column) -> Column:
-    """Clipped n-gram matches of two token arrays, an entry per order. An order without a match ends the search."""
-
-    def from_order(pair: Column, tokens: Column, order: int) -> Column:
-        here = multiset_overlap(pair["h"], pair["r"])
-        if order == MAX_ORDER:
-            return F.array(here)
-        longer = F.struct(
-            longer_grams(pair["h"], tokens["h"], order + 1).alias("h"),
-            longer_grams(pair["r"], tokens["r"], order + 1).alias("r"),
-        )
-        none = F.array_repeat(F.lit(0), MAX_ORDER - order + 1)
-        further = let(longer, lambda p: from_order(p, tokens, order + 1))
-        return let(here, lambda c: F.when(c == 0, none).otherwise(F.concat(F.array(c), further)))
-
-    return let(F.struct(hashed(hyp_tokens).alias("h"), hashed(ref_tokens).alias("r")), lambda p: from_order(p, p, 1))
+SLICE_TOKENS = 1 << 20  # tokens that are compared at a time; bounds the temporaries
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _gram_keys(tokens: np.ndarray, row: np.ndarray, ends: np.ndarray):
+    """For every order, a 64-bit key of each (row, n-gram) and its row: a rolling hash takes in one token more each time."""
+    at = np.arange(len(tokens))
+    grams = _mixed(tokens + np.uint64(1))
+    for order in range(1, MAX_ORDER + 1):
+        if order > 1:
+            at = at[ends[row[at]] - at >= order]
+            grams = _mixed(grams[at] * np.uint64(0x9E3779B97F4A7C15) + tokens[at + order - 1])
+            whole = np.zeros(len(tokens), np.uint64)
+            whole[at] = grams
+            grams = whole
+        yield _mixed(grams[at] + row[at].astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), row[at]
+
+
+def matches_of_rows(hyp: pa.Array, ref: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Clipped n-gram matches (rows x orders) and lengths of the token lists of each row."""
+    sizes = [pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64) for side in (hyp, ref)]
+    hits = np.zeros((len(hyp), MAX_ORDER), np.int64)
+    flat = [side.flatten() for side in (hyp, ref)]
+    bounds = [np.concatenate([[0], np.cumsum(s)]) for s in sizes]
+    low = 0
+    while low < len(hyp):
+        # As many rows as fit, at least one.
+        far = min(int(np.searchsorted(b, b[low] + SLICE_TOKENS, "right")) - 1 for b in bounds)
+        high = min(len(hyp), max(low + 1, far))
+        parts = [f.slice(b[low], b[high] - b[low]) for f, b in zip(flat, bounds)]
+        # Equal tokens of the slice get the same number.
+        codes = pa.concat_arrays(parts).dictionary_encode().indices.to_numpy().astype(np.uint64)
+        sides = []
+        for tokens, b in zip((codes[: len(parts[0])], codes[len(parts[0]) :]), bounds):
+            ends = b[low + 1 : high + 1] - b[low]
+            sides.append(_gram_keys(tokens, np.repeat(np.arange(high - low), np.diff(b[low : high + 1])), ends))
+        for order, ((a, rows), (b, _)) in enumerate(zip(*sides)):
+            a, first, n = np.unique(a, return_index=True, return_counts=True)
+            b, m = np.unique(b, return_counts=True)
+            _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            np.add.at(hits[low:high, order], rows[first[i]], np.minimum(n[i], m[j]))
+        low = high
+    return hits, sizes[0], sizes[1]
+
+
+def bleu_of_matches(hits: np.ndarray, hyp_len: np.ndarray, ref_len: np.ndarray) -> np.ndarray:
+    """Exponentially smoothed BLEU (0..100) of each row from its clipped matches per order."""
+    totals = np.maximum(hyp_len[:, None] - np.arange(MAX_ORDER), 0)
+    halvings = 2.0 ** np.cumsum(hits == 0, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.where(hits == 0, 100.0 / (halvings * totals), 100.0 * hits / totals)
+        brevity = np.where(hyp_len >= ref_len, 1.0, np.exp(1.0 - ref_len / hyp_len))
+        score = brevity * np.exp(np.log(share).sum(axis=1) / MAX_ORDER)
+    return np.where((hyp_len >= MAX_ORDER) & (hits > 0).any(axis=1), score, 0.0)
+
+
+def _bleu(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    missing = pc.or_(pc.is_null(hyp), pc.is_null(ref)).to_numpy(zero_copy_only=False)
+    return pa.array(bleu_of_matches(*matches_of_rows(hyp, ref)), pa.float64(), mask=missing)
 
 
 def bleu_of_tokens(hyp_tokens: Column, ref_tokens: Column) -> Column:
-    def score(pair: Column) -> Column:
-        hits = clipped_matches(pair["h"], pair["r"])
-        return let(hits, lambda c: bleu_from_counts(c, F.size(pair["h"]), F.size(pair["r"])))
-
-    return let(F.struct(hyp_tokens.alias("h"), ref_tokens.alias("r")), score)
+    """BLEU of two token arrays, over Arrow batches: one vectorised pass for each order."""
+    return F.arrow_udf(_bleu, T.DoubleType())(hyp_tokens, ref_tokens)
 
 
 def sentence_bleu(hyp: Column | str, ref: Column | str, base_code: str = "en") -> Column:
     """BLEU (0..100) of one pair taken as a corpus of one sentence; null if either text is null."""
-    hyp, ref = as_col(hyp), as_col(ref)
-    score = bleu_of_tokens(bleu_tokens(hyp, base_code), bleu_tokens(ref, base_code))
-    return F.when(hyp.isNotNull() & ref.isNotNull(), score)
+    return bleu_of_tokens(bleu_tokens(hyp, base_code), bleu_tokens(ref, base_code))
 
 
 def pair_bleu(hyp: Column | str, ref: Column | str, pair: Column | str) -> Column:
@@ -176,10 +194,9 @@ def pair_bleu(hyp: Column | str, ref: Column | str, pair: Column | str) -> Colum
     A Japanese target fails the job: its tokeniser needs a dictionary that is not bundled.
     """
     base = language_parts(pair)[2]
-    refuse = F.raise_error(F.lit("Japanese BLEU needs a morphological tokeniser; none is bundled")).cast("double")
-    return (
-        F.when(base == "zh", sentence_bleu(hyp, ref, "zh")).when(base == "ja", refuse).otherwise(sentence_bleu(hyp, ref))
-    )
+    refuse = F.raise_error(F.lit("Japanese BLEU needs a morphological tokeniser; none is bundled")).cast("array<string>")
+    tokens = lambda t: F.when(base == "ja", refuse).when(base == "zh", tokenize_zh(t)).otherwise(tokenize_13a(t))
+    return bleu_of_tokens(tokens(hyp), tokens(ref))
 
 
 def answer_tokens(text: Column | str) -> Column:

@@ -20,12 +20,12 @@ from assay.operators.ordinals import assign_ordinal
 from assay.operators.vectors import (
     BLOCK_BYTES,
     as_matrix,
+    book_bytes,
     codebook_blocks,
-    dimension,
     mean_vectors,
-    settle,
     with_nearest,
 )
+from assay.session import written
 
 
 class Predictor(Protocol):
@@ -155,8 +155,7 @@ class CentroidPredictor:
         """Mean vector of every label; codes number the labels in order."""
         rows = train.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
         means = mean_vectors(rows, label, doubles(vector)).withColumnRenamed(label, "label")
-        means = settle(means.select("label", "vector"), dimension(rows, vector))
-        numbered = assign_ordinal(means, ["label"], name="code")
+        numbered = assign_ordinal(means.select("label", "vector"), ["label"], name="code")
         return CentroidPredictor(numbered.select(F.col("code").cast("int").alias("code"), "label", "vector"), vector)
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -166,13 +165,32 @@ class CentroidPredictor:
         return out.withColumn("error", F.when(F.col("pred").isNull(), F.lit("no vector")))
 
     def scores(self, df: DataFrame, out: str = "scores") -> DataFrame:
-        """Add ``array<struct<label, score>>``: the dot product with every centroid, in label order."""
-        blocks = list(codebook_blocks(self.centroids, "code", "vector", BLOCK_BYTES))
-        dots = [_dots(book)(self.vector) for _, book in blocks]
+        """Add ``array<struct<label, score>>``: the dot product with every centroid, in label order.
+
+        All labels of an example are one row here, so the centroids must fit in one block; ``score_blocks`` has no limit.
+        """
+        if book_bytes(self.centroids, "vector") > BLOCK_BYTES:
+            raise ValueError("too many labels for one row of scores, use score_blocks")
+        (_, book), *_ = codebook_blocks(self.centroids, "code", "vector", BLOCK_BYTES)
         labels = [r["label"] for r in self.centroids.orderBy("code").select("label").collect()]
         names = F.array(*[F.lit(label) for label in labels])
         pairs = F.zip_with(names, F.col(out), lambda n, s: F.struct(n.alias("label"), s.alias("score")))
-        return df.withColumn(out, F.concat(*dots)).withColumn(out, pairs)
+        return df.withColumn(out, _dots(book)(self.vector)).withColumn(out, pairs)
+
+    def score_blocks(self, df: DataFrame, key: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        """Dot products with every centroid as rows ``key``, ``block``, ``first`` (the code of its first score), ``scores``.
+
+        One block of centroids is collected, multiplied with all vectors, written and forgotten before the next, so neither
+        driver nor a row ever holds all labels. Unusable vectors have no rows.
+        """
+        out = None
+        for i, (codes, book) in enumerate(codebook_blocks(self.centroids, "code", "vector", block_bytes)):
+            here = df.select(key, F.lit(i).alias("block"), F.lit(int(codes[0])).alias("first"), _dots(book)(self.vector).alias("scores"))
+            here = written(here.where(F.col("scores").isNotNull()), "scores")
+            out = here if out is None else out.union(here)
+        if out is None:
+            raise ValueError("no centroids")
+        return out
 
 
 def _dots(book: np.ndarray):
@@ -211,3 +229,54 @@ def sample_label(probs: Column, key: Column | str, seed: int = V.SPLIT_SEED) ->
     """Draw one label by its probability; the same row and seed always draw the same label."""
     index = draw(F.transform(probs, lambda e: e["prob"]), md5_uniform(key, seed))
     return F.get(probs, index)["label"]
+
+
+def best_of_blocks(blocks: DataFrame, key: str) -> DataFrame:
+    """``key`` and the ``code`` of the highest score over all blocks; the lowest code wins ties."""
+    top = F.array_max("scores")
+    here = F.struct(top.alias("s"), (-F.col("first") - F.array_position("scores", top) + 1).alias("c"))
+    return blocks.groupBy(key).agg((-F.max(here)["c"]).cast("int").alias("code"))
+
+
+def _masses(blocks: DataFrame, key: str, temperature: float) -> DataFrame:
+    """Per example: ``top``, the highest score, and ``masses`` (block, mass), the sums of ``exp((s - top) / t)``, in order.
+
+    Each block gives its own highest score and the sum relative to it; these few numbers are brought to one scale.
+    """
+    top = F.array_max("scores")
+    mass = F.aggregate("scores", F.lit(0.0), lambda total, v: total + F.exp((v - top) / F.lit(float(temperature))))
+    sums = blocks.groupBy(key).agg(F.max(top).alias("top"), F.sort_array(F.collect_list(F.struct("block", top.alias("top"), mass.alias("mass")))).alias("parts"))
+    scaled = F.transform("parts", lambda p: F.struct(p["block"].alias("block"), (p["mass"] * F.exp((p["top"] - F.col("top")) / F.lit(float(temperature)))).alias("mass")))
+    return sums.select(key, "top", scaled.alias("masses"))
+
+
+def softmax_blocks(blocks: DataFrame, key: str, temperature: float) -> DataFrame:
+    """The blocks with ``probs`` instead of ``scores``: the softmax over all labels of the example."""
+    masses = _masses(blocks, key, temperature)
+    total = F.aggregate("masses", F.lit(0.0), lambda s, m: s + m["mass"])
+    both = blocks.join(masses.select(key, "top", total.alias("total")), key)
+    probs = F.transform("scores", lambda v: F.exp((v - F.col("top")) / F.lit(float(temperature))) / F.col("total"))
+    return both.select(key, "block", "first", probs.alias("probs"))
+
+
+def draw_from_blocks(blocks: DataFrame, key: str, temperature: float, seed: int = V.SPLIT_SEED) -> DataFrame:
+    """``key`` and the ``code`` drawn by the softmax of all its labels, the same for the same key and seed.
+
+    The running sum first passes over whole blocks, to the one in which it reaches the drawn number, and then over the
+    labels of that block.
+    """
+    masses = _masses(blocks, key, temperature)
+    total = F.aggregate("masses", F.lit(0.0), lambda s, m: s + m["mass"])
+    start = F.struct(F.lit(0.0).alias("mass"), F.lit(0.0).alias("before"), F.lit(0).alias("at"))
+
+    def step(s: Column, m: Column) -> Column:
+        mass = s["mass"] + m["mass"]
+        passed = mass < F.col("wanted")
+        return F.struct(mass.alias("mass"), F.when(passed, mass).otherwise(s["before"]).alias("before"), (s["at"] + passed.cast("int")).alias("at"))
+
+    reached = masses.withColumn("wanted", md5_uniform(key, seed) * total).withColumn("reached", F.aggregate("masses", start, step))
+    at = F.least(F.col("reached.at"), F.size("masses") - 1)
+    reached = reached.select(key, "top", "wanted", F.col("reached.before").alias("before"), F.get("masses", at)["block"].alias("block"))
+    chosen = blocks.join(reached, [key, "block"])
+    weights = F.transform("scores", lambda v: F.exp((v - F.col("top")) / F.lit(float(temperature))))
+    return chosen.select(key, (F.col("first") + draw(weights, F.col("wanted") - F.col("before"))).cast("int").alias("code"))

@@ -22,7 +22,7 @@ from assay.functions.arrays import doubles, l2_normalize, standardize
 from assay.functions.text import as_col
 from assay.operators.ordinals import assign_ordinal
 from assay.operators.prepare import sample_n
-from assay.session import ensure_checkpoint_dir, local_rows, written
+from assay.session import written
 
 BLOCK_BYTES = 64 * 1024 * 1024
 # Bytes of one matrix of distances; rows of a batch are cut to fit.
@@ -105,23 +105,22 @@ def _closest(codes: np.ndarray, book: np.ndarray, cosine: bool, normalize: bool)
     return F.arrow_udf(score, BEST)
 
 
-def _partial_means(codes: np.ndarray, book: np.ndarray, cosine: bool, normalize: bool):
-    """Arrow batch function: one row per code used in a task, with the mean and count of its vectors."""
+def _partial_means(normalize: bool):
+    """Arrow batch function over (code, vector): mean and count of the vectors of each code in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros(book.shape), np.zeros(len(book), dtype=np.int64)
         for batch in batches:
-            z, _ = as_matrix(batch.column(0), book.shape[1])
-            if z.shape[0]:
-                z = unit_rows(z) if normalize else z
-                best, _ = closest(z, book, cosine)
-                np.add.at(sums, best, z)
-                counts += np.bincount(best, minlength=len(book))
-        used = np.flatnonzero(counts)
-        means = sums[used] / counts[used, None]
-        ends = np.arange(0, means.size + 1, book.shape[1], dtype=np.int32)
-        columns = [pa.array(codes[used]), pa.ListArray.from_arrays(pa.array(ends), pa.array(means.ravel())), pa.array(counts[used])]
-        yield pa.RecordBatch.from_arrays(columns, names=["code", "mean", "n"])
+            z, _ = as_matrix(batch.column(1))
+            if not z.shape[0]:
+                continue
+            z = unit_rows(z) if normalize else z
+            codes, which, counts = np.unique(batch.column(0).to_numpy(), return_inverse=True, return_counts=True)
+            means = np.zeros((len(codes), z.shape[1]))
+            np.add.at(means, which, z)
+            means /= counts[:, None]
+            ends = np.arange(0, means.size + 1, z.shape[1], dtype=np.int32)
+            columns = [pa.array(codes), pa.ListArray.from_arrays(pa.array(ends), pa.array(means.ravel())), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["code", "mean", "n"])
 
     return run
 
@@ -195,18 +194,14 @@ def code_means(
 ) -> DataFrame:
     """Mean and count of the (normalised) vectors nearest to each code: ``code``, ``vector``, ``n``; used codes only.
 
-    With a codebook of one block, each task assigns and sums its vectors in one pass and emits a row per code.
-    A larger codebook is assigned block by block and averaged by Spark's aggregation.
+    Every Arrow batch of assigned vectors gives one mean per code that it uses, and Spark merges these.
     """
     rows = df.where(F.col(vector).isNotNull()).select(vector)
-    if book_bytes(codebook, "vector") <= block_bytes:
-        step = _partial_means(*next(codebook_blocks(codebook, "code", "vector", block_bytes)), cosine, normalize)
-        partial = rows.mapInArrow(step, "code int, mean array<double>, n bigint")
-        mean = Summarizer.mean(array_to_vector("mean"), F.col("n").cast("double"))
-        return partial.groupBy("code").agg(vector_to_array(mean).alias("vector"), F.sum("n").alias("n"))
     assigned = with_nearest(rows, codebook, vector, normalize=normalize, cosine=cosine, block_bytes=block_bytes)
-    assigned = assigned.where(F.col("_best").isNotNull()).withColumn("code", F.col("_best.code"))
-    return mean_vectors(assigned, "code", l2_normalize(vector) if normalize else doubles(vector))
+    assigned = assigned.where(F.col("_best").isNotNull()).select(F.col("_best.code").alias("code"), vector)
+    partial = assigned.mapInArrow(_partial_means(normalize), "code int, mean array<double>, n bigint")
+    mean = Summarizer.mean(array_to_vector("mean"), F.col("n").cast("double"))
+    return partial.groupBy("code").agg(vector_to_array(mean).alias("vector"), F.sum("n").alias("n"))
 
 
 def book_bytes(codebook: DataFrame, vector: str) -> int:
@@ -214,31 +209,11 @@ def book_bytes(codebook: DataFrame, vector: str) -> int:
     return 8 * shape["n"] * (shape["d"] or 0)
 
 
-def dimension(df: DataFrame, vector: str) -> int:
-    first = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
-    return max(1, first[0]) if first else 1
-
-
-def settle(codebook: DataFrame, dim: int, rows: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Cut the lineage of a codebook: literal rows if it fits in one block, a checkpoint otherwise.
-
-    ``rows`` is its row count where known.
-    """
-    cap = max(1, block_bytes // (8 * dim))
-    if rows is None or rows <= cap:
-        head = codebook.limit(cap + 1).collect() if rows is None else codebook.collect()
-        if len(head) <= cap:
-            return local_rows(codebook.sparkSession, sorted(tuple(r) for r in head), codebook.schema)
-    ensure_checkpoint_dir(codebook.sparkSession)
-    return codebook.checkpoint()
-
-
 def initial_means(df: DataFrame, key: str, vector: str, k: int, seed: int = V.SPLIT_SEED) -> DataFrame:
     """``k`` sampled vectors as codes 0..k-1."""
     rows = df.where(F.col(vector).isNotNull()).select(key, vector)
     picked = sample_n(rows, key, k, seed)
-    means = picked.select(F.col("draw").cast("int").alias("code"), doubles(vector).alias("vector"))
-    return settle(means, dimension(rows, vector), k)
+    return picked.select(F.col("draw").cast("int").alias("code"), doubles(vector).alias("vector"))
 
 
 def kmeans(
@@ -254,27 +229,17 @@ def kmeans(
     """Lloyd's rounds from sampled means: ``code``, ``vector``, ``n`` of the last assignment.
 
     With ``cosine`` the nearest mean is the one with the largest dot product, and means are re-normalised. An
-    empty cluster keeps its mean. Every round is one pass over the vectors that shuffles ``k`` rows per task.
+    empty cluster keeps its mean. Every round is one pass over the vectors that shuffles a row per code and batch.
     """
     # Read and projected once for all rounds; what memory can't hold goes to disk.
     points = df.where(F.col(vector).isNotNull()).select(key, vector).persist()
-    dim = dimension(points, vector)
-    means = initial_means(points, key, vector, k, seed).withColumn("n", F.lit(0).cast("bigint"))
+    means = written(initial_means(points, key, vector, k, seed).withColumn("n", F.lit(0).cast("bigint")), "means")
     for _ in range(iters):
         fresh = code_means(points, means, vector, False, cosine, block_bytes)
         moved = l2_normalize("f.vector") if cosine else F.col("f.vector")
-        means = settle(
-            means.alias("m")
-            .join(fresh.alias("f"), "code", "left")
-            .select(
-                "code",
-                F.coalesce(moved, F.col("m.vector")).alias("vector"),
-                F.coalesce("f.n", F.lit(0).cast("bigint")).alias("n"),
-            ),
-            dim,
-            k,
-            block_bytes,
-        )
+        both = means.alias("m").join(fresh.alias("f"), "code", "left")
+        # Written, whatever its size: a round reads the means of the round before and nothing older.
+        means = written(both.select("code", F.coalesce(moved, "m.vector").alias("vector"), F.coalesce("f.n", F.lit(0).cast("bigint")).alias("n")), "means")
     points.unpersist()
     return means
 

@@ -15,8 +15,11 @@ from assay.operators.predict import (
     CentroidPredictor,
     argmax_label,
     argmax_rows,
+    best_of_blocks,
+    draw_from_blocks,
     predict,
     sample_label,
+    softmax_blocks,
     softmax_scores,
 )
 from assay.operators.preferences import preference_counter, preference_tally
@@ -398,6 +401,42 @@ def categorical_sample(spark, sf_dir):
     return fx.label_scores(spark, sf_dir).select("vec_id", sample_label(probs, "vec_id", 7).alias("label"))
 
 
+LABEL_BLOCK = 3 * 64 * 8  # three labels, so that the queries have several blocks
+
+
+def label_blocks(spark, sf_dir):
+    """Held-out vectors' scores in blocks of labels, and the labels by code."""
+    fit, held = fx.vector_parts(spark, sf_dir)
+    model = CentroidPredictor.fit(fit, "label")
+    return model.score_blocks(held, "vec_id", LABEL_BLOCK), model.centroids.select("code", "label")
+
+
+@query("argmax_label_blocks", fx.with_(fx.SCORES_SQL, "SELECT vec_id, arg_max(label, score) AS best FROM label_scores GROUP BY vec_id"))
+def argmax_label_blocks(spark, sf_dir):
+    blocks, labels = label_blocks(spark, sf_dir)
+    return best_of_blocks(blocks, "vec_id").join(labels, "code").select("vec_id", F.col("label").alias("best"))
+
+
+@query("softmax_label_blocks", fx.with_(SOFTMAX_SQL, "SELECT vec_id, label, round(prob, 6) AS prob FROM probs"))
+def softmax_label_blocks(spark, sf_dir):
+    blocks, labels = label_blocks(spark, sf_dir)
+    probs = softmax_blocks(blocks, "vec_id", 0.1).select("vec_id", "first", F.posexplode("probs").alias("at", "prob"))
+    rows = probs.withColumn("code", F.col("first") + F.col("at")).join(labels, "code")
+    return rows.select("vec_id", "label", F.round("prob", 6).alias("prob"))
+
+
+@query(
+    "categorical_sample_blocks",
+    fx.with_(
+        [*SOFTMAX_SQL, "running AS (SELECT vec_id, label, sum(prob) OVER (PARTITION BY vec_id ORDER BY label) AS mass FROM probs)"],
+        f"SELECT vec_id, min(label) FILTER (mass >= {fx.u_sql('vec_id', 7)}) AS label FROM running GROUP BY vec_id",
+    ),
+)
+def categorical_sample_blocks(spark, sf_dir):
+    blocks, labels = label_blocks(spark, sf_dir)
+    return draw_from_blocks(blocks, "vec_id", 0.1, 7).join(labels, "code").select("vec_id", "label")
+
+
 @query("hash_split", f"SELECT doc_id, CASE WHEN {fx.u_sql('doc_id')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM documents")
 def hash_split(spark, sf_dir):
     return P.hash_split(fx.table(spark, sf_dir, "documents").select("doc_id"), "doc_id")

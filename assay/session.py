@@ -87,11 +87,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-
-
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A few driver-side rows as a local relation, so the planner knows how small they are."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

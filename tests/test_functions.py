@@ -236,3 +236,15 @@ def test_answer_scores(spark):
     assert one(spark, x=TM.best_over_references(F.array().cast("array<string>"), F.lit("x"))) is None
     assert one(spark, x=TM.token_f1(F.lit("..."), F.lit(""))) == 1.0
     assert one(spark, x=TM.token_f1(F.lit("word"), F.lit(""))) == 0.0
+
+
+def test_bleu_of_long_texts_in_slices(spark, monkeypatch):
+    random.seed(4)
+    pairs = [tuple(" ".join(random.choice("abcdefgh") for _ in range(random.randint(0, 300))) for _ in "hr") for _ in range(25)]
+    import pyarrow as pa
+
+    lists = [pa.array([p[k].split() for p in pairs] + [None], pa.list_(pa.string())) for k in (0, 1)]
+    for size in (1 << 20, 100, 1):
+        monkeypatch.setattr(TM, "SLICE_TOKENS", size)
+        got = TM._bleu(lists[0].slice(3), lists[1].slice(3)).to_pylist()
+        assert got[:-1] == pytest.approx([bleu(h.split(), r.split()) for h, r in pairs[3:]], abs=1e-9) and got[-1] is None

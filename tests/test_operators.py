@@ -20,7 +20,12 @@ from assay.operators.predict import (
     ColumnPredictor,
     argmax_label,
     argmax_rows,
+    best_of_blocks,
+    draw_from_blocks,
     predict,
+    sample_label,
+    softmax_blocks,
+    softmax_scores,
 )
 from assay.operators.preferences import preference_counter
 from assay.operators.sessions import STEP_EVENTS, open_candidates, session_steps
@@ -424,11 +429,24 @@ def test_distances_are_cut_to_size(monkeypatch):
     assert (whole[0] == cut[0]).all() and np.allclose(whole[1], cut[1])
 
 
-def test_large_codebook_is_checkpointed(spark):
-    data = clusters(spark)
-    book = O.initial_means(data, "vec_id", "embedding", 4)
-    settled = O.settle(book, 8, rows=4, block_bytes=64)
-    assert sorted(settled.collect()) == sorted(book.collect())
+def test_label_blocks_are_the_array_form(spark):
+    data = clusters(spark).withColumn("label", F.col("vec_id") % 7)
+    model = CentroidPredictor.fit(data, "label")
+    whole = model.scores(data)
+    for size in (8 * 8, 3 * 8 * 8, 1 << 20):  # one label, three, all of them in a block
+        blocks = model.score_blocks(data, "vec_id", size)
+        best = {r.vec_id: r.code for r in best_of_blocks(blocks, "vec_id").collect()}
+        assert best == {r.vec_id: r.b for r in whole.select("vec_id", argmax_label(F.col("scores")).alias("b")).collect()}
+        probs = softmax_scores(F.col("scores"), 0.3)
+        want = {(r.vec_id, r.label): r.prob for r in whole.select("vec_id", F.inline(probs)).collect()}
+        rows = softmax_blocks(blocks, "vec_id", 0.3).collect()
+        got = {(r.vec_id, r["first"] + i): p for r in rows for i, p in enumerate(r.probs)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        drawn = {r.vec_id: r.code for r in draw_from_blocks(blocks, "vec_id", 0.3, 5).collect()}
+        assert drawn == {r.vec_id: r.d for r in whole.select("vec_id", sample_label(probs, "vec_id", 5).alias("d")).collect()}
+        assert len(set(drawn.values())) > 3
+    blank = data.withColumn("embedding", F.lit(None).cast("array<double>"))
+    assert model.score_blocks(blank, "vec_id").count() == 0
 
 
 def test_codebook_update_against_numpy(spark):
