@@ -1,23 +1,68 @@
-"""Connected components of a link table by alternating stars, with the links written out between rounds."""
+"""Connected components of a link table: contracted inside tasks, then by alternating stars written out between rounds."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.storage import discard, written
 
+# Links that are contracted together: bounds what a task holds.
+TOGETHER = 1 << 18
+
+
+def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node but the least of its component, with that least node; by minima along links and short cuts."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        before = least.copy()
+        # The least known on either side goes to the roots of both, then every node looks past its root.
+        low = np.minimum(least[u], least[v])
+        for side in (u, v):
+            np.minimum.at(least, least[side], low)
+            np.minimum.at(least, side, low)
+        while (least[least] != least).any():
+            least = least[least]
+        if (least == before).all():
+            moved = np.flatnonzero(least != np.arange(len(nodes)))
+            return nodes[moved], nodes[least[moved]]
+
+
+def _contracted(batches):
+    waiting, size = [], 0
+
+    def stars():
+        u, v = stars_of(*(np.concatenate(c) for c in zip(*waiting)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for batch in batches:
+        waiting.append((batch["u"].to_numpy(), batch["v"].to_numpy()))
+        size += batch.num_rows
+        if size >= TOGETHER:
+            yield stars()
+            waiting, size = [], 0
+    if size:
+        yield stars()
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the smallest node that links reach.
 
-    Large stars and small stars alternate until all links point at their smallest node, after about log(n) rounds. A
-    hub of any degree is safe: minima merge from partial aggregates, and the join that hands them out reads written
-    tables on both sides, so a hot hub is split among tasks.
+    Links are first dealt out in lots of ``TOGETHER`` at most and each lot is contracted to stars, in its task; a table of one
+    lot is done then. Large stars and small stars alternate until all links point at their smallest node, after about
+    log(n) rounds. A hub of any degree is safe: minima merge from partial aggregates, and the join that hands them out reads
+    written tables on both sides, so a hot hub is split among tasks.
     """
     # Every link points from its larger to its smaller end.
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    while not _are_stars(edges):
+    found = written(links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")), "links")
+    lots = -(-found.count() // TOGETHER)
+    edges = written(found.repartition(max(1, lots)).mapInArrow(_contracted, "u long, v long"), "links")
+    discard(found)
+    while lots > 1 and not _are_stars(edges):
         # Large star: the larger neighbours of each node move to its smallest neighbour.
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "stars")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.llm.graph import components
 from assay.llm.registry import query, table
@@ -482,11 +483,31 @@ def op3_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def _with_digests(batches):
+    for batch in batches:
+        c1, c2 = digests(*shingle_sets(batch["text"]))
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(c1), pa.array(c2)], names=["row", "doc_id", "c1", "c2"])
+
+
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose doc_id is the smallest of its class, with all their columns.
 
-    Rows that share a doc_id are one document and stay or go together; a row without doc_id can't be named and stays.
+    A row is judged by its doc_id and its text: where rows of different texts share a doc_id, only those whose text has an
+    earlier copy go. A row without doc_id can't be named and stays, as do rows without shingles.
     """
-    classes = similarity_classes(documents)
-    copies = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return documents.join(copies, documents["doc_id"].cast("long") == copies["_copy"], "left_anti")
+    docs, classed = classes_of_similar(documents)
+    sets = docs.where("n > 0 AND doc_id IS NOT NULL").distinct().join(classed, ["c1", "c2"])
+    sets = written(sets.select("doc_id", "c1", "c2", (F.col("doc_id") != F.col("component")).alias("copy")), "copies")
+    ids = sets.groupBy("doc_id").agg(F.bool_or("copy").alias("any"), F.bool_and("copy").alias("all"), F.count("*").alias("texts")).where("any")
+    # Empty texts beside a copy make it a doc_id of several texts too.
+    empty = docs.where("n = 0").select(F.col("doc_id").alias("_copy")).distinct().withColumn("_empty", F.lit(True))
+    ids = ids.select(F.col("doc_id").alias("_copy"), "all").join(empty, "_copy", "left")
+    ids = written(ids.select("_copy", (~F.col("all") | F.coalesce("_empty", F.lit(False))).alias("_several")), "copies")
+    own = documents["doc_id"].cast("long") == ids["_copy"]
+    kept = documents.join(ids, own, "left_anti")
+    # Whole rows travel as one struct, so that no column of theirs can clash with these.
+    several = documents.join(ids.where("_several"), own, "left_semi")
+    rows = several.select(F.struct(*[several[f"`{c}`"] for c in documents.columns]).alias("row"), several["doc_id"].cast("long").alias("doc_id"), several["text"].alias("text"))
+    kind = T.StructType([T.StructField("row", documents.schema), *[T.StructField(c, T.LongType()) for c in ("doc_id", "c1", "c2")]])
+    single = rows.mapInArrow(_with_digests, kind).join(sets.where("copy"), ["doc_id", "c1", "c2"], "left_anti")
+    return kept.unionByName(single.select([F.col("row").getField(c).alias(c) for c in documents.columns]))

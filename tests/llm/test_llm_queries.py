@@ -92,6 +92,14 @@ def test_similarity_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 3, 5, 6, 6, 7]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "un deux trois quatre cinq six")
+    rows = [(1, a), (2, a), (2, b), (2, ""), (3, c), (3, c), (4, c), (4, c), (5, a), (5, b)]
+    kept = one_of_each(spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, row string, c1 int"))
+    assert kept.columns == ["doc_id", "text", "row", "c1"]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (2, b), (2, ""), (3, c), (3, c)])
+
+
 def test_passages_of_odd_rows(spark, odd, none):
     assert repeated_passages(none).count() == 0 and without_repeats(none).count() == 0
     assert repeated_passages(odd).count() == 0
