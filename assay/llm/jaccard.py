@@ -207,13 +207,13 @@ def _hubs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grp, salt, c1, hub)], names=["grp", "salt", "c1", "hub"])
 
 
-def _known(bits, key: str):
+def _known(bits, key: str, wanted: bool):
     def run(batches):
         known = bits.value
         for batch in batches:
             place = mix(batch[key].cast(pa.int64()).fill_null(-1).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
             kept = (known[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-            yield batch.filter(pa.array(kept))
+            yield batch.filter(pa.array(kept == wanted))
 
     return run
 
@@ -228,7 +228,13 @@ def _filter_cells(batches):
 
 
 def rows_with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose key may be in ``ids`` (id): a filter of fixed size that lets no wanted row go.
+    """The rows of ``df`` whose key may be in ``ids`` (id): the first half of ``parted_by_ids``."""
+    return parted_by_ids(df, ids, key)[0]
+
+
+def parted_by_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key may be in ``ids`` (id), and the others, by a filter of fixed size that lets no wanted
+    row go.
 
     It spares most rows the shuffle of the join that follows; 8 MB at any size of ``ids``.
     """
@@ -236,7 +242,9 @@ def rows_with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     found = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     known = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     known[found["cell"].to_numpy()] = found["bits"].to_numpy()
-    return df.mapInArrow(_known(df.sparkSession.sparkContext.broadcast(known.view(np.uint64)), key), df.schema)
+    bits = df.sparkSession.sparkContext.broadcast(known.view(np.uint64))
+    may, others = (df.mapInArrow(_known(bits, key, wanted), df.schema) for wanted in (True, False))
+    return may, others
 
 
 def similar_in_trie(hub: np.ndarray, others: list[np.ndarray], percent: int = PERCENT) -> list[int]:
