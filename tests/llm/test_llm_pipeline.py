@@ -85,3 +85,22 @@ def test_every_token_is_packed(stages):
 def test_run_gives_the_last_stage(spark, sf_dir, stages):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.exceptAll(stages["packing"]).count() == 0 and rows.count() == stages["packing"].count()
+
+
+def test_run_stands_odd_rows(spark, sf_dir, tmp_path):
+    long = " ".join(f"w{i}" for i in range(5000))
+    rows = [(1, long), (2, None), (2, ""), (3, long), (None, long), (4, "one"), (4, "one"), (4, "two words"), (5, " \n . ")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, spans int, c1 long, _copy int"
+    for name, kept in (("odd", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame([(*r, None, "s", len(r[1] or ""), "x", 1, 2, 3) for r in kept], kind).write.parquet(str(folder / "documents.parquet"))
+        for table in ("labels", "benchmark"):
+            source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            (source if kept else source.where("false")).write.parquet(str(folder / f"{table}.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for stage, step in corpus_pipeline.STAGES[:-1]:
+            out = step(spark, docs, str(folder))
+            assert sorted(out.columns) == sorted(docs.columns), stage
+            assert out.count() <= docs.count(), stage
+        packed = corpus_pipeline.run(spark, str(folder))
+        assert packed.count() >= 0 and (kept or packed.count() == 0)

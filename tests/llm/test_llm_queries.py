@@ -1,11 +1,15 @@
 """Every query of the subpackage against its SQL, and the cases every operator must stand."""
 
+import math
+import zlib
+
 import compare
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
-from assay.llm import catalog
+from assay.llm import catalog, quality
 from assay.llm.decontamination import clean_documents, contamination
 from assay.llm.dialogues import rotated
 from assay.llm.embeddings import near_vectors
@@ -116,7 +120,12 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert quality_scores(none, labels).count() == 0
     assert {r.score for r in quality_scores(odd, labels.where("false")).collect()} == {0.5}
-    assert accepted_documents(odd, labels).columns == odd.columns
+    scores = {(r.doc_id, round(r.score, 6)) for r in got}
+    kept = accepted_documents(odd, labels)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.score >= 0.5) and scores
+    assert accepted_documents(odd, labels.where("false")).count() == len(ROWS)
+    assert accepted_documents(none, labels).count() == 0
 
 
 def test_shards_of_odd_rows(spark, odd, none):
@@ -167,3 +176,40 @@ def test_dialogues_of_odd_rows(spark):
             assert own or r.loss_start == r.loss_end
     assert [r.segment for r in got if r.conv_id is None] == ["<|assistant|>\nn<|end|>\n"]
     assert rotated(table.where("false")).count() == 0
+
+
+def test_shards_keep_their_contract(spark, sf_dir):
+    rows = catalog.QUERIES["op10_hypergeometric_shards"](spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: (len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == want and len(rows) == len(docs)
+    assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)} and {r.shard for r in rows} <= set(range(40))
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    counts = [len(slots.get(s, [])) for s in range(40)]
+    assert max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_scores_are_those_of_a_plain_forward_pass(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    got = {r.doc_id: r for r in catalog.QUERIES["op4_attention_pooling"](spark, sf_dir).collect()}
+    p = {k: v.tolist() for k, v in model.p.items()}
+    dot = lambda x, w, j: sum(a * row[j] for a, row in zip(x, w))
+    for r in docs.orderBy("doc_id").limit(12).collect():
+        x, _ = quality.encode(pa.array([r.text]))
+        passages = []
+        for row in model.scaled(x).tolist():
+            h = [math.tanh(dot(row, p["embed"], j) + b) for j, b in enumerate(p["embed_bias"])]
+            gates = range(len(p["attend"]))
+            e = sum(math.tanh(dot(h, p["view"], j)) / (1 + math.exp(-dot(h, p["gate"], j))) * p["attend"][j][0] for j in gates)
+            passages.append((h, e))
+        top = max(e for _, e in passages)
+        total = sum(math.exp(e - top) for _, e in passages)
+        z = [sum(math.exp(e - top) / total * h[j] for h, e in passages) for j in range(len(p["score"]))]
+        score = 1 / (1 + math.exp(-dot(z, p["score"], 0) - p["score_bias"][0]))
+        row = got[r.doc_id]
+        assert abs(row.score - score) < 1e-6 and row.predicted == int(score >= 0.5)
+        assert row.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
