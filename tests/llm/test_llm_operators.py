@@ -321,6 +321,70 @@ def test_a_passage_with_parts_in_other_documents_is_found(spark):
         assert set(whole) == got[i], i
 
 
+def test_passages_of_holders_in_the_middle_are_found(spark):
+    """Neither the first holders of any seed nor those right before hold the passage: they have single sentences of it."""
+    rng = random.Random(21)
+    stock = [prose(rng, 12, 10**7) for _ in range(6)]
+    whole = sum(stock, [])
+    changed = [f"x{k}" if k % 7 == 5 else w for k, w in enumerate(whole)]
+    longer = [w for k, word in enumerate(whole) for w in ([word, f"y{k}"] if k % 10 == 9 else [word])]
+    rows = []
+
+    def add(doc, part):
+        rows.append((doc, " ".join(prose(rng, 20, 10**7) + part + prose(rng, 20, 10**7))))
+
+    for k in range(60):
+        add(k, stock[k % 6])
+        add(200 + k, stock[k % 6])
+        add(400 + k, stock[k % 6])
+    add(100, whole)
+    for doc, part in ((500, whole), (501, changed), (502, longer)):
+        add(doc, part)
+        for k in range(6):
+            add(doc + 100 + k, stock[k])
+    # What 500 holds is an exact copy, so those after it have only 100 to go by.
+    got = words_in_passages(spark, [r for r in rows if r[0] != 500] + [r for r in rows if r[0] == 500])
+    assert {i for i, _ in rows if got[i]} == {500, 501, 502}
+    assert got[500] == set(range(20, 92))
+    for doc, n in ((501, len(changed)), (502, len(longer))):
+        assert len(got[doc] & set(range(20, 20 + n))) >= 0.8 * n and got[doc] <= set(range(18, 22 + n)), doc
+
+
+def test_shared_seeds_and_their_rarest_are_those_of_the_plain_rule(monkeypatch):
+    rng = random.Random(22)
+    monkeypatch.setattr(passages, "MANY", 8)
+    rows = sorted((rng.randrange(40) if rng.random() < 0.7 else 3, rng.randrange(12)) for _ in range(600))
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
+    table = pa.RecordBatch.from_arrays([*columns, pa.array(range(600), pa.int32())], names=["seed", "doc_id", "pos"])
+    count, docs = Counter(s for s, _ in rows), {}
+    for s, d in rows:
+        docs.setdefault(s, set()).add(d)
+    want = [(s, d, p, min(count[s], 8)) for p, (s, d) in enumerate(rows) if len(docs[s]) > 1]
+    for size in (1, 7, 50, 600):
+        batches = [table.slice(a, size) for a in range(0, 600, size)]
+        shared = passages.Shared()
+        told = [*(b for batch in batches for b in shared.take(batch)), *shared.close()]
+        got = [r for b in told for r in zip(*(b[k].to_pylist() for k in ("hub", "doc_id", "pos", "hub_pos")))]
+        assert got == want
+    monkeypatch.undo()
+    # Any eight shared runs of a window have their least frequent one among those kept.
+    at = sorted(rng.sample(range(3000), 900))
+    n = [rng.choice((2, 3, 900)) for _ in at]
+    doc = pa.RecordBatch.from_arrays(
+        [pa.array([rng.randrange(10**15) for _ in at], pa.int64()), pa.array([5] * 900, pa.int64()), pa.array(at, pa.int32()), pa.array([1] * 900, pa.int32()), pa.array(n, pa.int32())],
+        names=["seed", "doc_id", "pos", "seeks", "n"],
+    )
+    kept = {p for b in passages._rarest(40, 0.75)(iter([doc])) for p in b["pos"].to_pylist()}
+    frequency = dict(zip(at, n))
+    for low in range(0, 2960, 3):
+        places = [p for p in at if low <= p < low + 38]
+        if len(places) >= 8:
+            some = rng.sample(places, 8)
+            least = min(frequency[p] for p in some)
+            assert any(p in kept for p in some if frequency[p] == least)
+    assert len(kept) < 900
+
+
 def test_attention_gradients_are_slopes():
     rng = np.random.default_rng(1)
     model = quality.AttentionPooling()
