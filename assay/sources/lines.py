@@ -32,13 +32,13 @@ def ranged(lines: DataFrame) -> DataFrame:
 def with_places(lines: DataFrame, by: Sequence[str] = ("file",), name: str = "line") -> DataFrame:
     """Number the lines of ``ranged`` from 0 in each ``by`` group: file by file as their writer's tasks were numbered.
 
-    The scan is planned twice, alike, so that ``read`` is the same in both; the ranges are handed out by a join without
-    hint, as there is one for every file split.
+    The scan is planned twice, alike, so that ``read`` is the same in both; the ranges, a row for every file split, are
+    broadcast, so that no text is shuffled for its place.
     """
     ranges = lines.groupBy(*dict.fromkeys([*by, "file", "range"])).agg(F.min("read").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*by).orderBy(_number(F.col("file"), _PART), _number(F.col("file"), _FILE_OF_TASK), "file", "range").rowsBetween(W.unboundedPreceding, -1)
     shifts = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("file", "range", "_first", "_before")
-    placed = lines.join(shifts, ["file", "range"])
+    placed = lines.join(F.broadcast(shifts), ["file", "range"])
     return placed.withColumn(name, F.col("read") - F.col("_first") + F.col("_before")).drop("_first", "_before", "read")
 
 
@@ -55,7 +55,7 @@ def running(lines: DataFrame, amount: Column, name: str) -> DataFrame:
     ranges = lines.groupBy("file", "range").agg(F.sum(amount).alias("_run_sum"))
     before = W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     shifts = ranges.select("file", "range", F.coalesce(F.sum("_run_sum").over(before), F.lit(0)).alias("_run_before"))
-    return summed.join(shifts, ["file", "range"]).withColumn(name, F.col("_run_inside") + F.col("_run_before")).drop("_run_amount", "_run_inside", "_run_before")
+    return summed.join(F.broadcast(shifts), ["file", "range"]).withColumn(name, F.col("_run_inside") + F.col("_run_before")).drop("_run_amount", "_run_inside", "_run_before")
 
 
 def grouped_lines(lines: DataFrame, group: str) -> DataFrame:
@@ -76,16 +76,17 @@ def quoted_records(lines: DataFrame, quote: str = '"') -> DataFrame:
     A line begins inside quotes if an odd number of quotes stands before it. Lines that are records by themselves are left
     alone. After a quote that nothing closes, the lines up to the end of the file are rows of their own, with ``open``.
     """
-    quotes = count_of(F.col("value"), quote)
-    lines = running(written(lines, "lines"), quotes, "_quotes")
-    lines = lines.withColumn("_inside", F.col("_quotes") % 2 == 1).withColumn("_opens", ~F.col("_inside") & (quotes % 2 == 1))
+    odd = count_of(F.col("value"), quote) % 2
+    lines = running(written(lines, "lines"), odd, "_odds")
+    # A record opens where the odd lines before are even in number; it goes on, and ends, where there is one more.
+    lines = lines.withColumns({"_inside": F.col("_odds") % 2 == 1, "_opens": (F.col("_odds") % 2 == 0) & (odd == 1), "_record": F.floor(F.col("_odds") / 2)})
     lines = written(lines, "lines")
     alone = lines.where(~F.col("_inside") & ~F.col("_opens")).select("file", "line", "value", F.lit(False).alias("open"))
-    counted = running(lines, F.col("_opens").cast("int"), "_before").withColumn("_record", F.col("_before") + F.col("_opens").cast("int"))
-    parts = counted.where(F.col("_inside") | F.col("_opens"))
+    parts = lines.where(F.col("_inside") | F.col("_opens"))
     # The last record of a file with an odd number of quotes never ends.
-    unclosed = lines.groupBy("file").agg((F.sum(quotes) % 2 == 1).alias("_odd"), F.sum(F.col("_opens").cast("int")).alias("_last")).where("_odd")
-    parts = parts.join(unclosed.select("file", "_last"), "file", "left")
+    ends = lines.groupBy("file").agg(F.max(F.struct("line", "_inside", "_opens", "_record", odd.alias("odd"))).alias("_end"))
+    unclosed = ends.where((F.col("_end._inside") & (F.col("_end.odd") == 0)) | F.col("_end._opens")).select("file", F.col("_end._record").alias("_last"))
+    parts = parts.join(unclosed, "file", "left")
     lost = F.coalesce(F.col("_record") == F.col("_last"), F.lit(False))
     whole = grouped_lines(parts.where(~lost), "_record").withColumn("open", F.lit(False))
     return alone.union(whole).union(parts.where(lost).select("file", "line", "value", F.lit(True)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assay.session import local_rows, scratch_path
 from assay.sources.keyed_json import read_indented_json, read_keyed_json
-from assay.sources.lines import numbered_lines
+from assay.sources.lines import numbered_lines, quoted_records
 from assay.sources.results_log import read_results_log, write_results_log
 from assay.sources.tables import read_delimited
 
@@ -155,3 +155,19 @@ def test_odd_objects(spark, tmp_path):
             read_indented_json(spark, str(tmp_path / name), "int").collect()
         kept = read_indented_json(spark, str(tmp_path / name), "int", mode="quarantine").collect()
         assert any(r.problem for r in kept), name
+
+
+def test_lines_are_not_shuffled_for_their_place(spark, tmp_path):
+    with open(f"{tmp_path}/a.txt", "w") as f:
+        f.write("".join(f'{k},"x\n{k}"\n' for k in range(50)))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = numbered_lines(spark, str(tmp_path))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted((r.line, r.value) for r in lines.collect())[:3] == [(0, '0,"x'), (1, '0"'), (2, '1,"x')]
+        got = sorted((r.line, r.value, r.open) for r in quoted_records(lines).collect())
+        assert got == [(2 * k, f'{k},"x\n{k}"', False) for k in range(50)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
