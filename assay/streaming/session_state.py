@@ -35,11 +35,16 @@ class SessionSteps(StatefulProcessor):
         self.waiting = [handle.getListState(f"waiting{i}", "pos long") for i in range(1, len(STEP_EVENTS))]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        marks = list(self.marks.get()) if self.marks.exists() else [None] * len(STEP_EVENTS)
+        # One call to the store, none more: its answers take longer than the work on a session.
+        known = self.marks.get()
+        marks = list(known) if known is not None else [None] * len(STEP_EVENTS)
+        old = tuple(marks)
         found: list[list[np.ndarray]] = [[] for _ in STEP_EVENTS]
         for frame in rows:
+            kinds, pos = frame["kind"].to_numpy(), frame["pos"].to_numpy()
+            known_pos = ~pd.isna(pos)
             for i, kind in enumerate(STEP_EVENTS):
-                found[i].append(frame.pos[(frame.kind == kind) & frame.pos.notna()].to_numpy(np.int64))
+                found[i].append(pos[(kinds == kind) & known_pos].astype(np.int64))
         new = [np.unique(np.concatenate(f)) if f else np.zeros(0, np.int64) for f in found]
         before, moved = None, False  # the milestone before, and whether it is a new one
         for i in range(len(STEP_EVENTS)):
@@ -65,10 +70,10 @@ class SessionSteps(StatefulProcessor):
             if moved:
                 marks[i] = best
             before = marks[i]
-        self.marks.update(tuple(marks))
+        if known is None or old != tuple(marks):
+            self.marks.update(tuple(marks))
         step = sum(m is not None for m in marks)
-        row = {"session": [key[0]], "step": np.array([step], np.int32)}
-        yield pd.DataFrame(row | {f"at{i + 1}": pd.array([m], "Int64") for i, m in enumerate(marks)})
+        yield pd.DataFrame([(key[0], step, *marks)], columns=["session", "step", "at1", "at2", "at3"], dtype=object)
 
     def close(self) -> None:
         pass

@@ -124,3 +124,44 @@ def test_a_folder_without_entry_is_not_read(spark):
 def test_newest(spark):
     rows = local_rows(spark, [(1, "a", 0), (1, "b", 2), (2, "c", 1), (None, "d", 0)], "k int, v string, batch int")
     assert {tuple(r) for r in newest(rows, ["k"]).collect()} == {(1, "b", 2), (2, "c", 1), (None, "d", 0)}
+
+
+def test_a_session_asks_the_store_once_and_writes_what_changed():
+    import pandas as pd
+
+    from assay.streaming.session_state import SessionSteps
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Nothing:
+        def exists(self):
+            return False
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getListState(self, *_):
+            return Nothing()
+
+    steps = SessionSteps()
+    steps.init(Handle())
+    for pos in (4, 9):
+        (row,) = steps.handleInputRows((7,), iter([pd.DataFrame({"session": [7, 7], "kind": ["page_load", "other"], "pos": [pos, None]})]), None)
+        assert row.values.tolist() == [[7, 1, 4, None, None]]
+    assert calls == ["get", "update", "get"]
