@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assay.llm.registry import query, table
-from assay.llm.storage import partitions, written
+from assay.llm.storage import partitions
 
 SAMPLES = 48
 AT_ONCE = 8  # samples that one row of the sampling computes
@@ -88,7 +88,8 @@ def in_rings(documents: DataFrame) -> DataFrame:
         before[s.part] = starts[k - 1].part
     at = lambda values, kind: F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("part"))
     home = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
-    visit = F.struct(at(before, "int").alias("part"), F.lit(True).alias("guest"))
+    # Never null, and known to be: else a join by part filters one of its sides, which then needs an exchange of its own.
+    visit = F.struct(F.coalesce(at(before, "int"), F.lit(0)).alias("part"), F.lit(True).alias("guest"))
     seats = F.when(F.col("doc_id").eqNullSafe(at(first, "bigint")), F.array(home, visit)).otherwise(F.array(home))
     seated = docs.withColumn("part", part).withColumn("seat", F.explode(seats)).select("seat.part", "seat.guest", "doc_id", "text")
     # As many tasks as parts, which AQE leaves as they are: a task holds the words of few texts.
@@ -140,7 +141,8 @@ def edited_fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFra
     both = minima.groupBy(*keys, "block").agg(*[c.alias(f"a{k}") for k, c in enumerate(merged(2))], *[c.alias(f"b{k}") for k, c in enumerate(merged(1))])
     digits = both.select(*keys, "block", *[_digits([F.col(f"{s}{k}") for k in range(AT_ONCE)]).alias(s) for s in "ab"])
     joined = lambda c: F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("block", c))), lambda x: x[c])).alias(c)
-    prints = written(digits.groupBy(*keys).agg(joined("a"), joined("b")), "fingerprints")
+    # Not written before the join: its two sides then read one exchange of the texts.
+    prints = digits.groupBy(*keys).agg(joined("a"), joined("b"))
     plain = rings.select(*keys, "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited_text(F.col("text"), F.col("next_text")), 256).alias("edited_sha256"))
     named = plain.join(prints, keys, "left").withColumns({"a": F.coalesce("a", F.lit("")), "b": F.coalesce("b", F.lit(""))})
     after = F.lead("a").over(Window.partitionBy("part").orderBy("row"))

@@ -116,3 +116,11 @@ def test_odd_rows(spark):
 def test_likeness_of_nothing(spark):
     row = spark.range(1).select(likeness(F.lit(""), F.lit("")), likeness(F.lit(""), F.lit("0" * 4 * SAMPLES)), likeness(F.lit("0" * 4 * SAMPLES), F.lit("0" * 4 * SAMPLES))).first()
     assert tuple(row) == (1.0, 0.0, 1.0)
+
+
+def test_texts_are_exchanged_once(spark, sf_dir):
+    df = op11_weighted_sampling(spark, sf_dir)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    exchanges = [line for line in final.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(exchanges) == 2 and sum("ReusedExchange" in line for line in exchanges) == 1
