@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,23 @@ def test_bleu_against_definition(spark):
     assert got == pytest.approx([bleu(h.split(), r.split()) for h, r in pairs], abs=1e-9)
 
 
+def test_bleu_tokens_are_those_of_the_rules(spark):
+    """Closed form against the rules one after the other: the same tokens get the same hashes, in the same number."""
+    random.seed(5)
+    chars = [".", ",", "-", "1", "2", "a", "b", " ", "\n", "\u3000", "\u2003", "你", "。", "é", "𝕏", "$", "'", "/"]
+    texts = ["", ".", "..5", "5.", ".5", "5..", "a..5", "1.,2", "1-2-3", "--1-", "-", "&amp;.5", "5.你", "你.5", "😀.,.1", "1,000.5-", "a" * 400]
+    texts += ["".join(random.choices(chars, k=random.randint(1, 14))) for _ in range(3000)]
+    df = local_rows(spark, [(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for code, tokens in (("zh", TM.tokenize_zh("t")), ("en", TM.tokenize_13a("t"))):
+        rows = df.select("i", tokens.alias("tokens"), TM.bleu_text("t", code).alias("text")).orderBy("i").toArrow()
+        hashes, ends = TM.token_hashes(rows["text"].combine_chunks(), np.full(len(texts), code == "zh"))
+        want = rows["tokens"].to_pylist()
+        assert np.diff(ends).tolist() == [len(t) for t in want]
+        flat = [t for row in want for t in row]
+        seen = dict(zip(flat, hashes.tolist()))
+        assert [seen[t] for t in flat] == hashes.tolist() and len(set(seen.values())) == len(seen)
+
+
 def test_bleu_by_hand(spark):
     # 1-grams 4/5, 2-grams 2/4, 3-grams 0/3 -> 1/(2*3), 4-grams 0/2 -> 1/(4*2); no brevity penalty.
     want = math.exp(sum(math.log(p) for p in (80.0, 50.0, 100 / 6, 100 / 8)) / 4)
