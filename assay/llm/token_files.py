@@ -9,6 +9,7 @@ with it.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -23,7 +24,8 @@ from assay.llm.storage import discard, partitions, written
 from assay.session import scratch_path
 
 END = 0  # id that ends each document
-CHUNK = 1 << 18  # characters encoded at a time
+CHUNK = 1 << 23  # characters encoded at a time
+GATHER = 1 << 23
 
 
 class Encoder:
@@ -34,14 +36,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts = parts_at_blanks(json.loads(self.tokenizer.to_str()))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the offsets of the texts."""
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """All ids, and the offsets of the texts.
+
+        Where the tokenizer parts texts at blanks between letters, each distinct piece between such places is encoded once.
+        """
+        if not self.parts:
+            return self._encoded(texts)
+        whole = pa.array(texts, pa.large_string())
+        at = np.frombuffer(whole.buffers()[1], np.int64)[: len(texts) + 1]
+        raw = whole.buffers()[2] if at[-1] else pa.py_buffer(b"")
+        data = np.frombuffer(raw, np.uint8)[: at[-1]]
+        letter = (data | 32) - np.uint8(97) < 26
+        cuts = np.flatnonzero((data[1:-1] == 32) & letter[:-2] & letter[2:]) + 1
+        starts = np.unique(np.concatenate([at[:-1][at[:-1] < at[-1]], cuts]))
+        bounds = pa.py_buffer(np.append(starts, at[-1]).astype(np.int64))
+        pieces = pa.LargeStringArray.from_buffers(len(starts), bounds, raw).dictionary_encode()
+        ids, offsets = self._encoded(pieces.dictionary.to_pylist())
+        which = pieces.indices.to_numpy()
+        sizes = np.diff(offsets)[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ids[np.repeat(offsets[which] - ends[:-1], sizes) + np.arange(ends[-1])], ends[np.searchsorted(starts, at)]
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = []
+        for low in range(0, len(texts), 4096):
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[low : low + 4096], add_special_tokens=False)]
         offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
         return np.concatenate([*ids, np.zeros(0, np.uint32)]), offsets
 
 
+def parts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer's words end before any blank between two ASCII letters, so that the text may be cut there.
+
+    So it is with the byte-level rule on raw text, by which a blank only ever stands at the front of a word of letters, as
+    long as no added token holds or takes in blanks, and nothing is random, cut or padded.
+    """
+    split, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    added = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    return plain and not added and model["type"] == "BPE" and not any((spec["normalizer"], spec["truncation"], spec["padding"], model.get("dropout")))
+
+
+def _gathered(batches):
+    """Arrow batches put together until their texts have about ``GATHER`` bytes: the more, the more pieces of them repeat."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch["text"].nbytes
+        if size >= GATHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def code(ranks: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Control and data bytes of each document."""
     ranks = ranks.astype("<u4")
@@ -80,7 +131,7 @@ def _tokenize(path: str, width: str):
         encoder = Encoder(path)
         counts = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
         names = ["doc_id", "row", "ids", "token", "count"]
-        for batch in batches:
+        for batch in _gathered(batches):
             texts = batch["text"].fill_null("").to_pylist()
             low = 0
             while low < len(texts):
@@ -151,9 +202,10 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, folder: str) ->
     ranked = spark.createDataFrame(pa.table({"rank": pa.array(range(size), pa.int32()), "token": pa.array(order, pa.int32())}))
     ranked.coalesce(1).write.parquet(f"{folder}/ranks")
     texts = encoded.where("token IS NULL")
-    coded = texts.mapInArrow(_code(spark.sparkContext.broadcast(rank_of), width), "doc_id long, row long, n_tokens long, control binary, data binary")
-    dealt = coded.repartitionByRange(partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    placed = dealt.mapInArrow(_place, "doc_id long, row long, n_tokens long, control binary, data binary, place long")
+    # Ids are coded after they are dealt: the bounds of the parts are drawn from the written rows, which are coded once.
+    dealt = texts.select("doc_id", "row", "ids").repartitionByRange(partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    coded = dealt.mapInArrow(_code(spark.sparkContext.broadcast(rank_of), width), "doc_id long, row long, n_tokens long, control binary, data binary")
+    placed = coded.mapInArrow(_place, "doc_id long, row long, n_tokens long, control binary, data binary, place long")
     placed.select(F.spark_partition_id().alias("part"), "place", "doc_id", "n_tokens", "control", "data").write.option("compression", "zstd").parquet(f"{folder}/tokens")
     discard(encoded)
 

@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import json
 import itertools
 import math
 import random
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from assay.llm import embeddings, jaccard, packing, passages, quality, sharding
 from assay.llm.graph import components
 from assay.llm.licenses import TEMPLATES, license_notices
-from assay.llm.token_files import Encoder, code, decode, read_token_files, write_token_files
+from assay.llm.token_files import Encoder, code, decode, parts_at_blanks, read_token_files, write_token_files
 from assay.llm.words import alphanumeric, unspaced, words_of
 
 
@@ -458,6 +459,22 @@ def test_ranks_survive_coding():
         assert len(control) == -(-sizes[i] // 4)
 
 
+def test_distinct_pieces_are_encoded_once(tokenizer_path):
+    rng = random.Random(7)
+    bits = ["a", "b", "Z", " ", "  ", "\n", "'s", "1", ".", "<|endoftext|>", "é", "你", "\u3000", " the", " x ", "don't go"]
+    texts = ["", "", " ", "a ", "b c", " d", "a b", "a <|endoftext|> b", ""] + ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(2000)] + [""]
+    encoder, seen = Encoder(tokenizer_path), []
+    want = encoder._encoded(texts)
+    plain = encoder._encoded
+    encoder._encoded = lambda pieces: seen.extend(pieces) or plain(pieces)
+    got = encoder.encode(texts)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+    assert encoder.parts and len(seen) == len(set(seen)) and sum(map(len, seen)) < sum(map(len, texts))
+    spec = json.loads(encoder.tokenizer.to_str())
+    assert not parts_at_blanks(spec | {"normalizer": {"type": "Lowercase"}})
+    assert not parts_at_blanks(spec | {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}})
+
+
 def test_token_files_hold_every_text_in_order(spark, tokenizer_path, tmp_path):
     rng = random.Random(6)
     rows = [(i, " ".join(prose(rng, rng.randrange(50)))) for i in rng.sample(range(10**6), 300)] + [(5, None), (5, ""), (None, "no id"), (-3, "x " * 40_000)]
