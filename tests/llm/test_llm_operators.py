@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -385,6 +386,68 @@ def test_shared_seeds_and_their_rarest_are_those_of_the_plain_rule(monkeypatch):
     assert len(kept) < 900
 
 
+def test_products_of_matrices_leave_out_no_alike_pair():
+    rng = np.random.default_rng(23)
+    width, n = passages._around(40)[1], 120
+    words = passages.mix(rng.integers(1, 400, (n, width)).astype(np.uint64)).astype(np.uint16)
+    for k in range(0, n, 2):
+        changed = rng.random(width) < rng.choice([0.1, 0.2, 0.3])
+        words[k + 1] = np.where(changed, words[k + 1], np.roll(words[k], rng.integers(-passages.OFF, passages.OFF)))
+    words[5, :20] = words[8, 60:] = words[9] = 0
+    i, j = (x.ravel() for x in np.meshgrid(range(n), range(n), indexing="ij"))
+    alike = passages.alike_words(words[i], words[j], 40, 30).reshape(n, n)
+    maybe = passages.maybe_alike(words, words, 40, 30)
+    assert alike.sum() > n and not (alike & ~maybe).any() and maybe.mean() < 0.1
+
+
+def test_cells_in_turns_give_the_same_passages_and_leave_no_tables(spark, monkeypatch):
+    rng = random.Random(24)
+    rows = []
+    for group in range(4):
+        stock = [prose(rng, 12, 10**7) for _ in range(6)]
+        whole = sum(stock, [])
+        changed = [f"x{group}x{k}" if k % 7 == 5 else w for k, w in enumerate(whole)]
+        for k, part in enumerate([*stock * 5, whole, *stock * 5, changed, whole, *stock]):
+            rows.append((group * 1000 + k, " ".join(prose(rng, 20, 10**7) + part + prose(rng, 20, 10**7))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tables, put = [], passages.written
+
+    def watched(df, label, *args):
+        tables.append((label, put(df, label, *args)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(passages, "written", watched)
+    want = {tuple(r) for r in passages.repeated_passages(docs).collect()}
+    assert len({r[0] for r in want}) == 8 and [x for x, _ in tables].count("rest") == 1
+    # Neither words nor matches stay on disk.
+    for label, df in tables:
+        assert label in ("passages", "covered") or not any(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles()), label
+    tables.clear()
+    for name, value in (("PASS", 1), ("CELL", 4), ("DENSE", 2)):
+        monkeypatch.setattr(passages, name, value)
+    assert {tuple(r) for r in passages.repeated_passages(docs).collect()} == want
+    assert [x for x, _ in tables].count("rest") > 2
+
+
+def test_places_without_a_partner_get_no_words(spark, monkeypatch):
+    """Of a seed's places only those that seek behind a holder, and those that hold before one that seeks."""
+    rows = [(d, 7, p, 1 - (d == 9), 1, 5) for d, p in ((1, 0), (2, 30), (9, 0))]  # 9 seeks nothing
+    rows += [(3, 8, 0, 0, 1, 2), (4, 8, 0, 0, 1, 2), (5, 9, 0, 1, 0, 2), (6, 9, 0, 0, 1, 2), (1, 10, 50, 1, 1, 2)]
+    kept = spark.createDataFrame(rows, "doc_id long, seed long, pos int, seeks int, holds int, n int")
+    docs = spark.createDataFrame([(d, " ".join(f"w{d}x{k}" for k in range(60))) for d in range(10)], "doc_id long, text string")
+    seen, put = [], passages.written
+
+    def watched(df, label, *args):
+        out = put(df, label, *args)
+        if label == "coded":
+            seen.extend((r.doc_id, w.seed, w.seeks, w.holds) for r in out.collect() for w in r.wanted)
+        return out
+
+    monkeypatch.setattr(passages, "written", watched)
+    passages._rest_pairs(docs, passages.written(kept, "rarest"), 40, 0.75)
+    assert sorted(seen) == [(1, 7, 0, 1), (2, 7, 1, 0)]
+
+
 def test_attention_gradients_are_slopes():
     rng = np.random.default_rng(1)
     model = quality.AttentionPooling()
