@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assay.llm import embeddings, jaccard, packing, passages, quality, sharding
+from assay.llm import embeddings, jaccard, packing, passages, quality, sharding, token_files
 from assay.llm.graph import components
 from assay.llm.licenses import TEMPLATES, license_notices
 from assay.llm.token_files import Encoder, code, decode, read_token_files, write_token_files
@@ -511,6 +511,41 @@ def test_batches_give_the_ids_of_single_texts(tokenizer_path):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_give_the_ids_of_whole_texts_and_are_encoded_once(tokenizer_path, monkeypatch):
+    rng = random.Random(12)
+    letters = "aabcéü×÷ÀßŁжا中한𝔸 \n \n'sdt1½.,|#<>-\t\u0301\u2002\u3000\xa0\x85\x1c\x7f!" + "\r"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += ["", " ", "  a", "a  <|endoftext|>  b", "x <|endoftext|>.", "I'll  don't 'S", " " * 9, "\n\nA", "a \n b", "foo ", "foo.\n\nBar, baz"]
+    encoder = Encoder(tokenizer_path)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for known in (1 << 25, 0):
+        monkeypatch.setattr(token_files, "KNOWN", known)
+        for low in range(0, len(texts), 700):
+            got = encoder.encode_rows(pa.array(texts[low : low + 700]))
+            assert [np.frombuffer(b, encoder.width).tolist() for b in got.to_pylist()] == want[low : low + 700]
+    assert encoder.cuttable
+    monkeypatch.setattr(token_files, "KNOWN", 1 << 25)
+    sizes, plain = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda texts: sizes.append(sum(map(len, texts))) or plain(texts))
+    encoder.forget()
+    encoder.encode_rows(pa.array(["some words, some more words.\nSome words"] * 500))
+    assert sum(sizes) < 100
+    sizes.clear()
+    encoder.encode_rows(pa.array(["more words, some words"] * 500))
+    assert sum(sizes) < 10
+
+
+def test_other_tokenizers_encode_whole_texts(tokenizer_path, tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    changed = Tokenizer.from_file(tokenizer_path)
+    changed.normalizer = normalizers.Replace(" b", "b")
+    changed.save(f"{tmp_path}/changed.json")
+    encoder = Encoder(f"{tmp_path}/changed.json")
+    (row,) = encoder.encode_rows(pa.array(["a b c"])).to_pylist()
+    assert np.frombuffer(row, encoder.width).tolist() == changed.encode("a b c", add_special_tokens=False).ids
+
+
 def test_ranks_survive_coding():
     rng = np.random.default_rng(1)
     sizes = [0, 1, 3, 4, 5, 100]
