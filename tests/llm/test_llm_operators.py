@@ -269,6 +269,36 @@ def test_matches_do_not_depend_on_the_batches():
         assert got == want, size
 
 
+def test_places_of_a_seed_are_matched_in_turn_whatever_the_batches():
+    rng = random.Random(27)
+    rows = sorted({(rng.randrange(5), rng.randrange(9), rng.randrange(40)) for _ in range(400)})
+    want = set()
+    for (s, d), mine in itertools.groupby(rows, key=lambda r: r[:2]):
+        docs = sorted({e for t, e, _ in rows if t == s and e < d})
+        for k, (_, _, p) in enumerate(mine):
+            for at, e in enumerate(dict.fromkeys([*docs[:1], *docs[-1:]])):
+                held = [q for t, f, q in rows if (t, f) == (s, e)]
+                want |= {(d, e, p, held[-at]), (d, e, p, held[k % len(held)])}
+    for size in (1, 3, 50, 1000):
+        batches = []
+        for low in range(0, len(rows), size):
+            s, d, p = zip(*rows[low : low + size])
+            batches.append(pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32())], names=["seed", "doc_id", "pos"]))
+        got = [r for b in passages._short_matches(iter(batches), in_turn=True) for r in zip(*(b[c].to_pylist() for c in ("doc_id", "hub", "pos", "hub_pos")))]
+        assert set(got) == want, size
+
+
+def test_runs_of_a_few_words_need_no_pairs_of_all_places(spark, monkeypatch):
+    rng, sought = random.Random(28), []
+    rows = [(i, " ".join([*prose(rng, 30), *(["is", "one"] * 40), *prose(rng, 30)])) for i in range(12)]
+    pairs = passages._rest_pairs
+    monkeypatch.setattr(passages, "_rest_pairs", lambda docs, kept, *rest: sought.append(kept.where("seeks > 0").count()) or pairs(docs, kept, *rest))
+    covered = words_in_passages(spark, rows)
+    assert all(covered[i] >= set(range(30, 110)) for i in range(1, 12)) and not covered[0]
+    # The first document's alone, of 80 each.
+    assert sought[0] <= 100
+
+
 def test_rare_runs_are_kept_in_every_window():
     rng = random.Random(18)
     key = np.array([rng.randrange(200) for _ in range(500)], np.uint32)
